@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import prepare, raw_texts
-from gridloom.llm.pieces import Memo, as_bytes
+from gridloom.llm.pieces import Memo, as_bytes, measure_each
 
+#: Words of one generation of a worker's memo.
+ENTRIES = 600_000
 _memos: dict[str, Memo] = {}
 
 
@@ -21,6 +23,36 @@ def split_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+class WordIds:
+    """Ids of many words at once: a word of letters is one pre-token, whose last piece ends a word."""
+
+    group = 256
+
+    def __init__(self):
+        self.ends: np.ndarray | None = None
+
+    def __call__(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        if self.ends is None:
+            vocabulary = tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        found = dict.fromkeys(words)
+        plain = [w for w in words if w.isalpha() or (t := w.decode()).isalpha() and max(t) < "\u0180"]
+        groups = [plain[at : at + self.group] for at in range(0, len(plain), self.group)]
+        lines = [b" ".join(g).decode() for g in groups]
+        for g, x in zip(groups, tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(x.ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(g):
+                raw, at = ids.tobytes(), 0
+                for word, cut in zip(g, cuts):
+                    found[word] = raw[at:cut]
+                    at = cut
+        rest = [w for w, ids in found.items() if ids is None]
+        found.update(zip(rest, measure_each(tokenizer, rest, as_bytes)))
+        return list(found.values())
+
+
 def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """Each text's ids and then ``end_id``, as little-endian unsigned 32-bit numbers.
 
@@ -30,11 +62,11 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """
     memo = _memos.get(path)
     if memo is None:
-        memo = _memos[path] = Memo(path, as_bytes)
+        memo = _memos[path] = Memo(path, as_bytes, WordIds(), ENTRIES)
     end, out = as_bytes([end_id]), []
     for at in range(0, len(texts), 250):
         words = [(x if b"<|" in x else x.lower()).split() for x in texts[at : at + 250]]
-        memo.learn(w for ws in words for w in ws)
+        memo.learn(set().union(*words))
         out += [b"".join(map(memo.__getitem__, ws)) + end for ws in words]
     return out
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 
 import numpy as np
 
@@ -30,15 +32,19 @@ def load(path: str):
 
 
 class Memo(dict):
-    """Chunk of text -> what ``measure`` makes of its ids; ``add`` combines two results.
+    """Chunk of text -> what ``measure`` makes of its ids.
 
     A chunk is text that the tokenizer never joins to its neighbours. A chunk that ends in a run
     of ``TAIL`` after a letter is combined from the two parts, which the pre-tokenizer separates.
+    Two generations bound the memory: a full memo becomes the old one, from which chunks that come
+    again return. ``many`` may measure a list of chunks at once.
     """
 
-    def __init__(self, path: str, measure):
+    def __init__(self, path: str, measure, many=None, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.path, self.measure, self._tokenizer = path, measure, None
+        self.path, self.measure, self.many, self.entries = path, measure, many, entries
+        self.old: dict = {}
+        self._tokenizer = None
 
     @property
     def tokenizer(self):
@@ -49,35 +55,40 @@ class Memo(dict):
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: bytes):
-        if len(self) >= MEMO_ENTRIES:
+    def _turn(self) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        base = chunk.rstrip(TAIL)
-        if len(base) < len(chunk) and base and letters_end(base):
-            value = self[base] + self[chunk[len(base) :]]
-        else:
-            value = self.measure(self.ids(chunk.decode("utf-8")))
+
+    def __missing__(self, chunk: bytes):
+        value = self.old.get(chunk)
+        if value is None:
+            base = chunk.rstrip(TAIL)
+            if len(base) < len(chunk) and base and letters_end(base):
+                value = self[base] + self[chunk[len(base) :]]
+            else:
+                value = self.measure(self.ids(chunk.decode("utf-8")))
         self[chunk] = value
         return value
 
-    def learn(self, chunks) -> None:
-        """Encode the unknown ones among ``chunks`` in one call to the library."""
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode the unknown ones among ``chunks`` in few calls to the library."""
+        self._turn()
         fresh = set()
-        for chunk in set(chunks).difference(self):
+        for chunk in chunks.difference(self).difference(self.old):
             base = chunk.rstrip(TAIL)
             fresh.add(base if base and letters_end(base) else chunk)
-        fresh.difference_update(self)
-        if len(self) + len(fresh) >= MEMO_ENTRIES:
-            self.clear()
-        fresh = list(fresh)
-        if len(fresh) > MEMO_ENTRIES // 2:
-            fresh = fresh[: MEMO_ENTRIES // 2]  # the others are encoded as they come
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False)
-        measure = self.measure
-        for chunk, x in zip(fresh, found):
-            self[chunk] = measure(x.ids)
+        fresh = list(fresh.difference(self).difference(self.old))
+        if self.many is not None:
+            self.update(zip(fresh, self.many(self.tokenizer, fresh)))
+        else:
+            self.update(zip(fresh, measure_each(self.tokenizer, fresh, self.measure)))
+
+
+def measure_each(tokenizer, chunks: list[bytes], measure) -> list:
+    return [measure(x.ids) for x in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
 
 
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()

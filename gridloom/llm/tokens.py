@@ -35,7 +35,7 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
     size = 0
 
     def settle() -> None:
-        memo.learn(chunk for _, table in tables for chunk in table)
+        memo.learn(set().union(*(table for _, table in tables)))
         for i, table in tables:
             out[i] = sum(n * memo[chunk] for chunk, n in table.items())
         tables.clear()
