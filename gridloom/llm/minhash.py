@@ -136,8 +136,8 @@ def _odd_bits(a: str, b: str, p: Params):
     return reduce(add, parts)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on full shingle sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTables, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold on full shingle sets, as a table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -147,15 +147,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         return list_array([shingles(raw, p.shingle).view(np.int64) for raw in raw_texts(text)], pa.int64())
 
     sets = docs.join(ids, "id", "left_semi").select("id", full_set("body").alias("set_"))
+    sets = tables.save(sets, f"{name}-sets")  # both sides of the join read it
     common = F.size(F.array_intersect("x.set_", "y.set_")).cast("long")
     union = F.size("x.set_").cast("long") + F.size("y.set_") - common
-    return (
+    found = (
         pairs.join(sets.alias("x"), F.col("a") == F.col("x.id"))
         .join(sets.alias("y"), F.col("b") == F.col("y.id"))
         .where(100 * common >= p.percent * union)
         .select("a", "b")
         .distinct()
     )
+    found = tables.save(found, name)
+    tables.drop(f"{name}-sets")
+    return found
 
 
 def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
@@ -239,7 +243,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .distinct()
     )
     first = tables.save(first, "spokes")
-    links = tables.save(_confirmed(first, body, p), "links")
+    links = _confirmed(first, body, p, tables, "links")
     stars = components(links, tables, "stars")
 
     placed = (
@@ -265,7 +269,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .distinct()
     )
     second = tables.save(second.join(first, ["a", "b"], "left_anti"), "across")
-    more = tables.save(_confirmed(second, body, p), "links-across")
+    more = _confirmed(second, body, p, tables, "links-across")
     reached = stars
     if more.limit(1).count():
         over = stars.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
