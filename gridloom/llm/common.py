@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +59,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class SharedTables:
-    """Parquet tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Parquet tables in the shared folder, which outlive lost executors, and kept frames.
+
+    A kept frame is cached with its lineage: what is lost with an executor is computed again.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.kept: list[DataFrame] = []
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
+        """Write and reread; ``files`` bounds the number of files where they would be small."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
+    def release(self, *frames: DataFrame) -> None:
+        """Uncache these frames, or all."""
+        for df in frames or tuple(self.kept):
+            df.unpersist()
+            self.kept = [x for x in self.kept if x is not df]
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

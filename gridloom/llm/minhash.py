@@ -23,6 +23,8 @@ from gridloom.llm.common import (
     raw_texts,
 )
 
+#: Rows that one file of an intermediate table takes.
+FILE_NODES, FILE_EDGES = 50_000, 1_000_000
 #: Ids up to this number are sent to the executors to select texts; more are joined by an exchange.
 BROADCAST_IDS = 200_000
 
@@ -136,8 +138,8 @@ def _odd_bits(a: str, b: str, p: Params):
     return reduce(add, parts)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTables, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on full shingle sets, as a table."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTables) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold on full shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -146,20 +148,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTable
     def full_set(text: pa.Array) -> pa.Array:
         return list_array([shingles(raw, p.shingle).view(np.int64) for raw in raw_texts(text)], pa.int64())
 
-    sets = docs.join(ids, "id", "left_semi").select("id", full_set("body").alias("set_"))
-    sets = tables.save(sets, f"{name}-sets")  # both sides of the join read it
+    sets = docs.join(ids, "id", "left_semi").select("id", full_set.asNondeterministic()("body").alias("set_"))
+    sets = tables.keep(sets)  # both sides of the join read it
     common = F.size(F.array_intersect("x.set_", "y.set_")).cast("long")
     union = F.size("x.set_").cast("long") + F.size("y.set_") - common
-    found = (
+    return tables.keep(
         pairs.join(sets.alias("x"), F.col("a") == F.col("x.id"))
         .join(sets.alias("y"), F.col("b") == F.col("y.id"))
         .where(100 * common >= p.percent * union)
         .select("a", "b")
         .distinct()
     )
-    found = tables.save(found, name)
-    tables.drop(f"{name}-sets")
-    return found
 
 
 def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
@@ -173,26 +172,24 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = tables.save(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        f"{name}-0",
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before, step = mark(edges), 0
-    while before[0]:
+    if not before[0]:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    files = -(-before[0] // FILE_EDGES)  # no round has more edges than the last
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = tables.save(hung, f"{name}-{step}-large")
+        hung = tables.save(hung, f"{name}-{step}-large", files)
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         small = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = tables.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step + 1}")
-        after = mark(new)
-        tables.drop(f"{name}-{step}", f"{name}-{step}-large")
-        edges, step = new, step + 1
+        edges = tables.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}", files)
+        tables.drop(f"{name}-{step}-large", *([f"{name}-{step - 1}"] if step else []))
+        after = mark(edges)
         if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before, step = after, step + 1
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,9 +216,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     signed = tables.save(_signed(body, p), "signed")
     groups = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    nodes = tables.save(
-        signed.join(groups, "key").where("id = rep").dropDuplicates(["key", "id"]).select("id", "n", "bands", *sketch), "nodes"
-    )
+    files = -(-signed.count() // FILE_NODES) or 1
+    nodes = signed.join(groups, "key").where("id = rep").dropDuplicates(["key", "id"]).select("id", "n", "bands", *sketch)
+    nodes = tables.save(nodes, "nodes", files)
     body = body.where("id is not null")
 
     spread = nodes.select("id", "n", F.explode("bands").alias("bucket"))
@@ -231,7 +228,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .where("members > 1")
         .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    crowded = tables.save(spread.join(hubs, "bucket"), "crowded")
+    crowded = tables.save(spread.join(hubs, "bucket"), "crowded", files)
 
     spokes = crowded.where((F.col("id") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), p))
     spokes = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -242,8 +239,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .select("a", "b")
         .distinct()
     )
-    first = tables.save(first, "spokes")
-    links = _confirmed(first, body, p, tables, "links")
+    first = tables.keep(first)
+    links = _confirmed(first, body, p, tables)
     stars = components(links, tables, "stars")
 
     placed = (
@@ -251,7 +248,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .join(stars.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
         .select("bucket", "id", "n", "hub", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
     )
-    placed = tables.save(placed, "placed")
+    placed = tables.save(placed, "placed", files)
     strays = placed.where("c <> hub_c")
     mixed = placed.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
     faces = nodes.select("id", *sketch)
@@ -268,13 +265,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    second = tables.save(second.join(first, ["a", "b"], "left_anti"), "across")
-    more = _confirmed(second, body, p, tables, "links-across")
+    second = tables.keep(second.join(first, ["a", "b"], "left_anti"))
+    more = _confirmed(second, body, p, tables)
     reached = stars
     if more.limit(1).count():
         over = stars.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
         reached = components(over, tables, "all")
-    tables.drop("nodes", "crowded", "spokes", "links", "placed", "across", "links-across")
+    tables.release()
+    tables.drop("nodes", "crowded", "placed")
 
     found = (
         signed.select("id", "n", "key")
@@ -294,4 +292,5 @@ def drop_near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str
     gone = tables.save(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), "gone")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(gone, id_col, "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
