@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, licenses, minhash, packing, rules, tokens
+from gridloom.llm import decontam, extract, langid, licenses, minhash, packing, quality, rules, secrets, tokens
 from gridloom.llm.common import table
 
 
@@ -35,6 +35,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    span = "transform(secrets, s -> concat_ws(':', s.start, s.length, s.kind))"
+    return found.withColumn("spans", F.array_join(F.expr(span), ",")).drop("secrets")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -43,9 +53,27 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_packing, op4_decontamination, op7_token_counts, op8_quality_rules, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_language_id,
+        op3_packing,
+        op4_decontamination,
+        op5_secret_scan,
+        op6_quality_classifier,
+        op7_token_counts,
+        op8_quality_rules,
+        op9_html_extraction,
+        op10_license_scan,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
