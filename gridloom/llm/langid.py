@@ -55,6 +55,8 @@ class Model:
             codes[at : at + len(raw)] = self.symbol[np.frombuffer(raw, np.uint8)]
             starts.append(at)
             at += len(raw)
+        if len(codes) == ORDER * len(texts):
+            return np.zeros((len(texts), len(self.languages)))
         low_at = (codes[1:-2] * s + codes[2:-1]) * s + codes[3:]  # (a, b, c) of each byte from the fourth place on
         before = np.zeros(len(low_at), np.int32)
         before[1:] = low_at[:-1]

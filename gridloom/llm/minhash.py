@@ -175,6 +175,7 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before, step = mark(edges), 0
     if not before[0]:
+        edges = tables.save(edges, f"{name}-none", 1)
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     files = -(-before[0] // FILE_EDGES)  # no round has more edges than the last
     while True:
