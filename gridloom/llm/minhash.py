@@ -24,7 +24,7 @@ from gridloom.llm.common import (
 )
 
 #: Rows that one file of an intermediate table takes.
-FILE_NODES, FILE_EDGES = 50_000, 1_000_000
+FILE_NODES, FILE_EDGES = 30_000, 1_000_000
 #: Ids up to this number are sent to the executors to select texts; more are joined by an exchange.
 BROADCAST_IDS = 200_000
 
@@ -203,11 +203,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     text: they fall to a document with the same set, else their component is null and they are kept.
     An empty table gives an empty one; other columns are not read.
 
-    Equal sets are one node, by a 128-bit key, so copies make no pairs. Each band's bucket links its
-    members to its least member (a star, not all pairs), if size, odd sketch and then the full sets
-    agree. Members that this leaves outside the component of their bucket's least member are held
-    against the bucket's members of other components, again by size and sketch inside the join and
-    then by full sets. So every pair of a bucket is joined by links or has been compared.
+    Equal sets are one node, by a 128-bit key, so copies make no pairs. Candidates pass size, odd
+    sketch and then full sets, in three rounds that leave out pairs already in one component: each
+    node with the least of its buckets' hubs (a bucket's least member); with all its hubs; and the
+    members outside their hub's component with the bucket's members of other components, by size
+    and sketch inside the join. So every pair of a bucket is connected or has been compared, while a
+    large group of near copies makes a few pairs for each member.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -231,49 +232,60 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     )
     crowded = tables.save(spread.join(hubs, "bucket"), "crowded", files)
 
-    spokes = crowded.where((F.col("id") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), p))
-    spokes = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = (
-        spokes.join(nodes.select("id", *sketch).alias("x"), F.col("a") == F.col("x.id"))
-        .join(nodes.select("id", *sketch).alias("y"), F.col("b") == F.col("y.id"))
-        .where(_odd_bits("x", "y", p) <= p.most_odd_bits)
-        .select("a", "b")
-        .distinct()
-    )
-    first = tables.keep(first)
-    links = _confirmed(first, body, p, tables)
-    stars = components(links, tables, "stars")
-
-    placed = (
-        crowded.join(stars.select("id", F.col("component").alias("c")), "id", "left")
-        .join(stars.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
-        .select("bucket", "id", "n", "hub", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
-    )
-    placed = tables.save(placed, "placed", files)
-    strays = placed.where("c <> hub_c")
-    mixed = placed.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
+    def placed(reached: DataFrame | None, name: str) -> DataFrame:
+        """The crowded buckets' members with their component and that of their hub."""
+        if reached is None:
+            return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
+        found = (
+            crowded.join(reached.select("id", F.col("component").alias("c")), "id", "left")
+            .join(reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
+            .select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
+        )
+        return tables.save(found, name, files)
+
+    def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
+        """Components after the links that full sets confirm among candidate pairs."""
+        links = _confirmed(tables.keep(pairs), body, p, tables)
+        if reached is not None:
+            if not links.limit(1).count():
+                return reached
+            links = links.union(reached.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        return components(links, tables, name)
+
     faces = nodes.select("id", *sketch)
-    x, y = strays.join(faces, "id").alias("x"), mixed.join(faces, "id").alias("y")
-    second = (
-        x.join(
-            y,
-            (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.c") != F.col("y.c"))
-            & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.id") < F.col("y.id")))
-            & _may_link(F.col("x.n"), F.col("y.n"), p)
-            & (_odd_bits("x", "y", p) <= p.most_odd_bits),
+
+    def spokes(members: DataFrame) -> DataFrame:
+        """(hub, member) in different components whose size and sketch allow a link."""
+        return members.where((F.col("c") != F.col("hub_c")) & (F.col("id") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), p))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(faces.alias("x"), F.col("a") == F.col("x.id"))
+            .join(faces.alias("y"), F.col("b") == F.col("y.id"))
+            .where(_odd_bits("x", "y", p) <= p.most_odd_bits)
+            .select("a", "b")
         )
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    second = tables.keep(second.join(first, ["a", "b"], "left_anti"))
-    more = _confirmed(second, body, p, tables)
-    reached = stars
-    if more.limit(1).count():
-        over = stars.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
-        reached = components(over, tables, "all")
+
+    one = spokes(placed(None, "")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    reached = joined(sketched(one.select("a", "b")), None, "one")
+    every = spokes(placed(reached, "placed-every")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    reached = joined(sketched(every), reached, "every")
+
+    settled = placed(reached, "placed-across")
+    strays = settled.where("c <> hub_c")
+    mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
+    x, y = strays.join(faces, "id").alias("x"), mixed.join(faces, "id").alias("y")
+    across = x.join(
+        y,
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.c") != F.col("y.c"))
+        & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.id") < F.col("y.id")))
+        & _may_link(F.col("x.n"), F.col("y.n"), p)
+        & (_odd_bits("x", "y", p) <= p.most_odd_bits),
+    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    reached = joined(across.distinct(), reached, "across")
     tables.release()
-    tables.drop("nodes", "crowded", "placed")
+    tables.drop("nodes", "crowded", "placed-every", "placed-across")
 
     found = (
         signed.select("id", "n", "key")
