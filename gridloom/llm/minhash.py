@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import (
+    _STEP,
     LOWER_ASCII,
     WORDS,
     SharedTables,
@@ -34,26 +35,43 @@ class Params:
     """Texts are linked if 100 * |A & B| >= percent * |A | B| over sets of ``shingle``-word shingles.
 
     At a similarity s a pair shares a band with probability 1 - (1 - s**rows)**bands: at 0.8 all but
-    3 in a million pairs do. Of these, odd sketches pass over those whose estimate is ``slack`` below
-    the threshold, over 4.5 standard deviations.
+    3 in a million pairs do. Of these, odd sketches pass over those with more odd bits than a pair at
+    the threshold has by ``deviations`` standard deviations, again some 3 in a million.
     """
 
     shingle: int = 4
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    sketch_words: int = 8  #: 64-bit words of the odd sketch
-    slack: float = 0.22
+    bins: int = 1536  #: MinHash samples of the sketch: the least hash of each bin of hashes
+    sketch_words: int = 16  #: 64-bit words of the odd sketch
+    deviations: float = 4.5
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def most_odd_bits(self) -> int:
-        """Largest XOR population count of a candidate pair: 1 + n / 4k * ln(1 - 2z / n) >= J - slack."""
-        n = 64 * self.sketch_words
-        return int(n / 2 * (1 - np.exp(4 * self.samples / n * (self.percent / 100 - self.slack - 1))))
+
+def most_odd_bits(n, m, other_n, other_m, p: Params, fn):
+    """XOR population count up to which two sketches may belong to a link.
+
+    ``n`` are set sizes and ``m`` numbers of filled bins, as columns (``fn`` is the functions
+    module) or numbers (numpy). A pair at the threshold t has a union of (n + n') / (1 + t), fills N
+    of the bins with it and agrees in t * N of them, the more surely the fewer shingles share a bin;
+    all other samples flip a bit each, and some bits twice.
+    """
+    t, k, bits = p.percent / 100, float(p.bins), 64.0 * p.sketch_words
+    union = (n + other_n) / (1 + t)
+    met = (m + other_m) / (2 * k - k * fn.exp(-n / k) - k * fn.exp(-other_n / k))
+    filled = k * (1 - fn.exp(-union / k)) * met
+    variance = filled * (t * (1 - t)) * (1 - filled / union) + 0.5
+    flips = m + other_m - 2 * t * filled
+    slope = fn.exp(-2 * flips / bits)
+    expected = bits / 2 * (1 - slope)
+    least = getattr(fn, "least", None) or fn.minimum
+    full = fn.lit(bits**0.5 / 2) if hasattr(fn, "lit") else bits**0.5 / 2
+    chance = least(fn.abs(flips) * (2 / bits) ** 0.5, full)
+    return expected + p.deviations * fn.sqrt(4 * variance * slope * slope + chance * chance) + 1
 
 
 def shingles(raw: bytes, k: int) -> np.ndarray:
@@ -88,41 +106,50 @@ def band_keys(signatures: np.ndarray, p: Params) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketches(signatures: np.ndarray, p: Params) -> np.ndarray:
-    """Parity bitmaps: each (place, minimum) of a signature flips one bit."""
-    docs, k = signatures.shape
+def bin_samples(hashes: np.ndarray, p: Params) -> np.ndarray:
+    """MinHash samples of a sorted set: the least hash of each bin that has one."""
+    first = np.full(p.bins, -1, np.int64)
+    bins = (mix64(hashes) % np.uint64(p.bins)).astype(np.int64)
+    first[bins[::-1]] = np.arange(len(hashes) - 1, -1, -1)  # of several, the last written is the least
+    return hashes[first[first >= 0]]
+
+
+def odd_sketches(samples: list[np.ndarray], p: Params) -> np.ndarray:
+    """Parity bitmaps: each sample of a set flips one bit of its bitmap."""
     n = 64 * p.sketch_words
-    cells = signatures.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))
-    bits = (mix64(cells) % np.uint64(n)).astype(np.int64) + n * np.arange(docs)[:, None]
-    odd = (np.bincount(bits.reshape(-1), minlength=docs * n) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(docs, p.sketch_words)
+    doc = np.repeat(np.arange(len(samples)), [len(x) for x in samples])
+    flat = np.concatenate(samples) if samples else np.empty(0, np.uint64)
+    bits = (mix64(flat ^ _STEP) % np.uint64(n)).astype(np.int64) + n * doc
+    odd = (np.bincount(bits, minlength=len(samples) * n) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(samples), p.sketch_words)
 
 
 def _signed(docs: DataFrame, p: Params) -> DataFrame:
-    """``id, n, key, bands, o0..``: set size, 128-bit key of the set, band keys and odd sketch."""
+    """``id, n, key, bands, m, o0..``: set size, its 128-bit key, band keys, filled bins and odd sketch."""
 
     @F.arrow_udf(
-        "struct<n:long,key:binary,bands:array<long>," + ",".join(f"o{i}:long" for i in range(p.sketch_words)) + ">"
+        "struct<n:long,key:binary,bands:array<long>,m:int," + ",".join(f"o{i}:long" for i in range(p.sketch_words)) + ">"
     )
     def sign(text: pa.Array) -> pa.Array:
         sets = [shingles(raw, p.shingle) for raw in raw_texts(text)]
         filled = [i for i, s in enumerate(sets) if len(s)]
         bands: list[np.ndarray] = [np.empty(0, np.int64)] * len(sets)
-        sketch = np.zeros((len(sets), p.sketch_words), np.int64)
         if filled:
             signatures = np.stack([minhashes(sets[i], p.samples) for i in filled])
             for i, keys in zip(filled, band_keys(signatures, p)):
                 bands[i] = keys
-            sketch[filled] = odd_sketches(signatures, p)
+        samples = [bin_samples(s, p) for s in sets]
+        sketch = odd_sketches(samples, p)
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.binary()),
                 list_array(bands, pa.int64()),
+                pa.array([len(x) for x in samples], pa.int32()),
                 *(pa.array(sketch[:, i], pa.int64()) for i in range(p.sketch_words)),
             ],
-            names=["n", "key", "bands", *(f"o{i}" for i in range(p.sketch_words))],
+            names=["n", "key", "bands", "m", *(f"o{i}" for i in range(p.sketch_words))],
         )
 
     return docs.select("id", sign.asNondeterministic()("body").alias("s_")).select("id", "s_.*")
@@ -133,9 +160,10 @@ def _may_link(n, m, p: Params):
     return 100 * F.least(n, m) >= p.percent * F.greatest(n, m)
 
 
-def _odd_bits(a: str, b: str, p: Params):
+def _sketches_allow(a: str, b: str, p: Params):
     parts = (F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(p.sketch_words))
-    return reduce(add, parts)
+    sizes = (F.col(f"{side}.{c}").cast("double") for side in (a, b) for c in ("n", "m"))
+    return reduce(add, parts) <= most_odd_bits(*sizes, p, F)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTables) -> DataFrame:
@@ -213,7 +241,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     spark = docs.sparkSession
     prepare(spark)
     p = params
-    sketch = [f"o{i}" for i in range(p.sketch_words)]
+    sketch = ["m", *(f"o{i}" for i in range(p.sketch_words))]
     tables = SharedTables(spark, "near-duplicates")
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     signed = tables.save(_signed(body, p), "signed")
@@ -252,7 +280,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             links = links.union(reached.select(F.col("component").alias("a"), F.col("id").alias("b")))
         return components(links, tables, name)
 
-    faces = nodes.select("id", *sketch)
+    faces = nodes.select("id", "n", *sketch)
 
     def spokes(members: DataFrame) -> DataFrame:
         """(hub, member) in different components whose size and sketch allow a link."""
@@ -262,7 +290,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         return (
             pairs.join(faces.alias("x"), F.col("a") == F.col("x.id"))
             .join(faces.alias("y"), F.col("b") == F.col("y.id"))
-            .where(_odd_bits("x", "y", p) <= p.most_odd_bits)
+            .where(_sketches_allow("x", "y", p))
             .select("a", "b")
         )
 
@@ -274,14 +302,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     settled = placed(reached, "placed-across")
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
-    x, y = strays.join(faces, "id").alias("x"), mixed.join(faces, "id").alias("y")
+    x, y = strays.join(faces.drop("n"), "id").alias("x"), mixed.join(faces.drop("n"), "id").alias("y")
     across = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.id") < F.col("y.id")))
         & _may_link(F.col("x.n"), F.col("y.n"), p)
-        & (_odd_bits("x", "y", p) <= p.most_odd_bits),
+        & _sketches_allow("x", "y", p),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     reached = joined(across.distinct(), reached, "across")
     tables.release()
