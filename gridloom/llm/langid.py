@@ -142,22 +142,26 @@ def training_texts(
     """A bounded sample of labelled documents: for each language up to ``most_docs`` whole texts.
 
     Rows with a null language or text, and those held out (crc32 of the id modulo 3 is 1), are never
-    learnt from. The sample is the first by a hash of the id, and ends before ``most_bytes``.
+    learnt from. Rows are counted by language, those whose hash lies in the share that is needed go
+    to the driver, and the first by hash, up to ``most_bytes``, are taken.
     """
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"), F.xxhash64(id_col).alias("dealt"),
         held_out(F.col(id_col)).alias("held"),
     ).where("not held and lang is not null and length(body) between 1 and 20000")
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(rows.select("lang").distinct().collect()):
-        found, size = [], 0
-        for x in rows.where(F.col("lang") == r["lang"]).orderBy("dealt", "body").limit(most_docs).select("body").collect():
-            raw = x["body"].encode()
-            size += len(raw)
-            if found and size > most_bytes:
-                break
-            found.append(raw)
-        texts[r["lang"]] = found
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = F.lit(0.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, min(1.0, (1.3 * most_docs + 30) / n)).otherwise(share)
+    near = rows.where(F.col("dealt").cast("double") <= share * 2.0**64 - 2.0**63)
+    found = near.select("lang", "dealt", "body").limit(4 * most_docs * max(len(counts), 1)).collect()
+    texts: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
+    sizes = dict.fromkeys(texts, 0)
+    for r in sorted(found, key=lambda r: (r["lang"], r["dealt"], r["body"])):
+        raw, group = r["body"].encode(), texts[r["lang"]]
+        if len(group) < most_docs and (not group or sizes[r["lang"]] + len(raw) <= most_bytes):
+            group.append(raw)
+            sizes[r["lang"]] += len(raw)
     return texts
 
 
