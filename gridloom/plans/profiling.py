@@ -207,18 +207,21 @@ def dedupe_keep_first(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").where("doc_id % 3 > 0")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", F.col("toxic").alias("lang"))
-    return docs, labels
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return docs, read(spark, sf_dir, "labels").select("doc_id", "quality", F.col("toxic").alias("lang"))
 
 
-_L, _R = "(SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 > 0) l", "(SELECT doc_id, quality, toxic AS lang_right FROM labels) r"
-for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    query(f"SELECT doc_id, l.lang, n_chars, quality, lang_right FROM {_L} {_join} {_R} USING (doc_id)", f"join_{_how}")(
+_DOCS, _LABELS = "(SELECT doc_id, lang, n_chars FROM documents)", "(SELECT doc_id, quality, toxic AS lang FROM labels)"
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN")):
+    query(f"SELECT doc_id, l.lang, n_chars, quality, r.lang AS lang_right FROM {_DOCS} l {_join} {_LABELS} r USING (doc_id)", f"join_{_how}")(
         lambda spark, sf_dir, how=_how: cleaning.integrate(*_sides(spark, sf_dir), "doc_id", how)
     )
+for _how in ("right", "full"):  # the right side has rows of its own
+    query(f"SELECT doc_id, l.lang, quality, r.lang AS lang_right, n_chars FROM {_LABELS} l {_how.upper()} JOIN {_DOCS} r USING (doc_id)", f"join_{_how}")(
+        lambda spark, sf_dir, how=_how: cleaning.integrate(*_sides(spark, sf_dir)[::-1], "doc_id", how)
+    )
 for _how, _not in (("semi", ""), ("anti", "NOT ")):
-    query(f"SELECT l.* FROM {_L} WHERE {_not}EXISTS (SELECT 1 FROM {_R} WHERE r.doc_id = l.doc_id)", f"join_{_how}")(
+    query(f"SELECT l.* FROM {_DOCS} l WHERE {_not}EXISTS (SELECT 1 FROM labels r WHERE r.doc_id = l.doc_id)", f"join_{_how}")(
         lambda spark, sf_dir, how=_how: cleaning.integrate(*_sides(spark, sf_dir), "doc_id", how)
     )
 
