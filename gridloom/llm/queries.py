@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, extract, langid, licenses, minhash, packing, quality, rules, secrets, tokens
 from gridloom.llm.common import table
+from gridloom.llm.oracle import ORACLE_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -76,4 +77,5 @@ QUERIES = {
         op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
