@@ -133,6 +133,19 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+#: A worker's memos by name. A reused worker holds those of one operator at a time.
+MEMOS: dict[str, dict] = {"words": WORDS}
+
+
+def focus(name: str) -> None:
+    """Empty the memos that the operator at work doesn't use."""
+    stale = [memo for key, memo in MEMOS.items() if key != name and memo]
+    for memo in stale:
+        memo.clear()
+    if stale:
+        pa.default_memory_pool().release_unused()
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ALNUM, WORDS, SharedTables, gram_hashes, prepare, raw_texts
+from gridloom.llm.common import ALNUM, WORDS, SharedTables, focus, gram_hashes, prepare, raw_texts
 
 #: Consecutive words that make a hit; K-gram hashes, the least of each run of WINDOW - K + 1 kept,
 #: so any shared run of WINDOW words shares a kept hash.
@@ -169,6 +169,7 @@ def decontaminate(
 
         @F.arrow_udf(SCHEMA)
         def judge(text: pa.Array) -> pa.Array:
+            focus("words")
             index = _index_of(sent)
             return _table([verdict(words_of(raw), index) for raw in raw_texts(text)])
 

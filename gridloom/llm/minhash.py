@@ -17,6 +17,7 @@ from gridloom.llm.common import (
     LOWER_ASCII,
     WORDS,
     SharedTables,
+    focus,
     gram_hashes,
     list_array,
     mix64,
@@ -131,6 +132,7 @@ def _signed(docs: DataFrame, p: Params) -> DataFrame:
         "struct<n:long,key:binary,bands:array<long>,m:int," + ",".join(f"o{i}:long" for i in range(p.sketch_words)) + ">"
     )
     def sign(text: pa.Array) -> pa.Array:
+        focus("words")
         sets = [shingles(raw, p.shingle) for raw in raw_texts(text)]
         filled = [i for i, s in enumerate(sets) if len(s)]
         bands: list[np.ndarray] = [np.empty(0, np.int64)] * len(sets)
@@ -174,6 +176,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTable
 
     @F.arrow_udf("array<long>")
     def full_set(text: pa.Array) -> pa.Array:
+        focus("words")
         return list_array([shingles(raw, p.shingle).view(np.int64) for raw in raw_texts(text)], pa.int64())
 
     sets = docs.join(ids, "id", "left_semi").select("id", full_set.asNondeterministic()("body").alias("set_"))

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import prepare, raw_texts
-from gridloom.llm.pieces import Memo, as_bytes, measure_each
+from gridloom.llm.pieces import Memo, as_bytes, measure_each, memo_for
 
 #: Words of one generation of a worker's memo.
 ENTRIES = 600_000
-_memos: dict[str, Memo] = {}
 
 
 def split_lengths(n: int, most: int) -> list[int]:
@@ -60,9 +59,7 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     words on end; A-Z are lower-cased beforehand, as the tokenizer does, which makes the memo smaller.
     Texts with ``<|`` keep their case: special strings are matched before lower-casing.
     """
-    memo = _memos.get(path)
-    if memo is None:
-        memo = _memos[path] = Memo(path, as_bytes, WordIds(), ENTRIES)
+    memo = memo_for("packing", path, lambda: Memo(path, as_bytes, WordIds(), ENTRIES))
     end, out = as_bytes([end_id]), []
     for at in range(0, len(texts), 250):
         words = [(x if b"<|" in x else x.lower()).split() for x in texts[at : at + 250]]

@@ -8,7 +8,7 @@ from array import array
 
 import numpy as np
 
-from gridloom.llm.common import MEMO_ENTRIES
+from gridloom.llm.common import MEMO_ENTRIES, MEMOS, focus
 
 #: Punctuation that both tokenizers split from a letter before it and keep together in one run.
 TAIL = b".,*$#%&!|;:?"
@@ -55,10 +55,15 @@ class Memo(dict):
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def _turn(self) -> None:
         if len(self) >= self.entries:
-            self.old = dict(self)
+            old = dict(self)
             self.clear()
+            self.old = old
 
     def __missing__(self, chunk: bytes):
         value = self.old.get(chunk)
@@ -89,6 +94,15 @@ def measure_each(tokenizer, chunks: list[bytes], measure) -> list:
     return [measure(x.ids) for x in tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
 
 
+def memo_for(name: str, path: str, make) -> Memo:
+    """The worker's memo of an operator and a tokenizer file; other memos are emptied."""
+    key = f"{name}:{path}"
+    focus(key)
+    if key not in MEMOS:
+        MEMOS[key] = make()
+    return MEMOS[key]
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORDS, gram_hashes, prepare, raw_texts
+from gridloom.llm.common import WORDS, focus, gram_hashes, prepare, raw_texts
 
 #: The most frequent function words of four languages, for the word histograms.
 COMMON_WORDS = (
@@ -179,6 +179,7 @@ def quality_rules(
 
     @F.arrow_udf("struct<" + ",".join(f"{n}:{'boolean' if t == pa.bool_() else 'double' if t == pa.float64() else 'long'}" for n, t in _FIELDS) + ">")
     def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
+        focus("words")
         known = {k: (np.array(c), np.array(w)) for k, (c, w) in json.loads(plain).items()}
         rows = [verdict(raw, la, known, limits) for raw, la in zip(raw_texts(text), lang.to_pylist())]
         columns = list(zip(*rows)) if rows else [[]] * len(_FIELDS)

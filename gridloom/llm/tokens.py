@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import prepare, raw_texts
-from gridloom.llm.pieces import Memo
+from gridloom.llm.pieces import Memo, memo_for
 
 #: A run of ASCII white space belongs to what follows it; the tokenizer's pattern starts a new
 #: pre-token at each such place, so chunks can be counted apart.
@@ -18,8 +18,6 @@ CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Further white space (or what some library takes as such): a text with it is encoded whole.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-_memos: dict[str, Memo] = {}
-
 
 def count_tokens(texts: list[bytes], path: str) -> list[int]:
     """Token counts of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` has them.
@@ -27,9 +25,7 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
     No ids are built for a text: it becomes frequencies of chunks, a chunk's number of pieces is
     found once a worker, and the sum of frequency times number is the count. Empty texts have 0.
     """
-    memo = _memos.get(path)
-    if memo is None:
-        memo = _memos[path] = Memo(path, len)
+    memo = memo_for("tokens", path, lambda: Memo(path, len))
     out = [0] * len(texts)
     tables: list[tuple[int, Counter]] = []
     size = 0
