@@ -61,22 +61,25 @@ def shared_dir(spark: SparkSession) -> str:
 class SharedTables:
     """Parquet tables in the shared folder, which outlive lost executors, and kept frames.
 
-    A kept frame is cached with its lineage: what is lost with an executor is computed again.
+    A kept frame is cached on the executors' disks with its lineage: what is lost with an executor
+    is computed again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.kept: list[DataFrame] = []
+        self.saved: list[str] = []
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
         """Write and reread; ``files`` bounds the number of files where they would be small."""
         path = f"{self.base}/{name}"
+        self.saved.append(name)
         (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        self.kept.append(df.persist(StorageLevel.DISK_ONLY))
         return self.kept[-1]
 
     def release(self, *frames: DataFrame) -> None:
@@ -88,6 +91,7 @@ class SharedTables:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
+            self.saved.remove(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -26,7 +26,7 @@ from gridloom.llm.common import (
 )
 
 #: Rows that one file of an intermediate table takes.
-FILE_NODES, FILE_EDGES = 30_000, 1_000_000
+FILE_NODES, FILE_EDGES = 100_000, 1_000_000
 #: Ids up to this number are sent to the executors to select texts; more are joined by an exchange.
 BROADCAST_IDS = 200_000
 
@@ -247,11 +247,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     sketch = ["m", *(f"o{i}" for i in range(p.sketch_words))]
     tables = SharedTables(spark, "near-duplicates")
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    signed = tables.save(_signed(body, p), "signed")
+    signed = tables.keep(_signed(body, p))
     groups = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     files = -(-signed.count() // FILE_NODES) or 1
     nodes = signed.join(groups, "key").where("id = rep").dropDuplicates(["key", "id"]).select("id", "n", "bands", *sketch)
-    nodes = tables.save(nodes, "nodes", files)
+    nodes = tables.keep(nodes)
     body = body.where("id is not null")
 
     spread = nodes.select("id", "n", F.explode("bands").alias("bucket"))
@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .where("members > 1")
         .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    crowded = tables.save(spread.join(hubs, "bucket"), "crowded", files)
+    crowded = tables.keep(spread.join(hubs, "bucket"))
 
-    def placed(reached: DataFrame | None, name: str) -> DataFrame:
+    def placed(reached: DataFrame | None) -> DataFrame:
         """The crowded buckets' members with their component and that of their hub."""
         if reached is None:
             return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             .join(reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
             .select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
         )
-        return tables.save(found, name, files)
+        return tables.keep(found)
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
         """Components after the links that full sets confirm among candidate pairs."""
@@ -297,12 +297,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             .select("a", "b")
         )
 
-    one = spokes(placed(None, "")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    one = spokes(placed(None)).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     reached = joined(sketched(one.select("a", "b")), None, "one")
-    every = spokes(placed(reached, "placed-every")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    every = spokes(placed(reached)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     reached = joined(sketched(every), reached, "every")
 
-    settled = placed(reached, "placed-across")
+    settled = placed(reached)
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
     x, y = strays.join(faces.drop("n"), "id").alias("x"), mixed.join(faces.drop("n"), "id").alias("y")
@@ -315,9 +315,6 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         & _sketches_allow("x", "y", p),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     reached = joined(across.distinct(), reached, "across")
-    tables.release()
-    tables.drop("nodes", "crowded", "placed-every", "placed-across")
-
     found = (
         signed.select("id", "n", "key")
         .join(groups, "key", "left")
@@ -326,7 +323,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .withColumn("component_id", F.coalesce("component", "rep"))
     )
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    found = tables.save(found, "found", files)
+    tables.release()
+    tables.drop(*(name for name in tuple(tables.saved) if name != "found"))
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", **options) -> DataFrame:
