@@ -72,10 +72,10 @@ class SharedTables:
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
-        """Write and reread; ``files`` bounds the number of files where they would be small."""
+        """Write and reread; ``files`` deals small results out to so many files."""
         path = f"{self.base}/{name}"
         self.saved.append(name)
-        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
+        (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:

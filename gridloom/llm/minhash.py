@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         .where("members > 1")
         .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    crowded = tables.keep(spread.join(hubs, "bucket"))
+    crowded = tables.save(spread.join(hubs, "bucket"), "crowded", files)
 
-    def placed(reached: DataFrame | None) -> DataFrame:
+    def placed(reached: DataFrame | None, name: str) -> DataFrame:
         """The crowded buckets' members with their component and that of their hub."""
         if reached is None:
             return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
@@ -272,11 +272,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             .join(reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
             .select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
         )
-        return tables.keep(found)
+        return tables.save(found, name, files)
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
         """Components after the links that full sets confirm among candidate pairs."""
-        links = _confirmed(tables.keep(pairs), body, p, tables)
+        links = _confirmed(tables.save(pairs, f"{name}-pairs", files), body, p, tables)
         if reached is not None:
             if not links.limit(1).count():
                 return reached
@@ -297,12 +297,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
             .select("a", "b")
         )
 
-    one = spokes(placed(None)).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    one = spokes(placed(None, "")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     reached = joined(sketched(one.select("a", "b")), None, "one")
-    every = spokes(placed(reached)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    every = spokes(placed(reached, "placed-every")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     reached = joined(sketched(every), reached, "every")
 
-    settled = placed(reached)
+    settled = placed(reached, "placed-across")
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
     x, y = strays.join(faces.drop("n"), "id").alias("x"), mixed.join(faces.drop("n"), "id").alias("y")
