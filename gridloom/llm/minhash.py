@@ -170,7 +170,7 @@ def _sketches_allow(a: str, b: str, p: Params):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTables) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold on full shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
