@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantiles
+
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """``bin, lo, hi, n, mean, variance, cumulative``: equal bins, the last closed; empty bins count 0.
@@ -29,10 +31,10 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, accuracy: int | None = None) -> DataFrame:
     """``group, n, q1, median, q3, low, high``: whiskers are the last values within 1.5 ranges of the quartiles."""
     x = F.col(value).cast("double")
-    q = df.groupBy(group).agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.count(x).alias("n"))
+    q = df.groupBy(group).agg(quantiles(x, (0.25, 0.5, 0.75), accuracy).alias("q"), F.count(x).alias("n"))
     q = q.select(group, "n", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.select(group, x.alias("x")).join(F.broadcast(q), group).where((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DriftDetectionError
+from gridloom.functions.quantiles import quantiles
 from gridloom.roles import ColumnRoles
 
 
@@ -24,17 +25,20 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells)).where("x is not null and not isnan(x)")
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
+def psi(
+    reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, accuracy: int | None = None
+) -> DataFrame:
     """``feature, psi``: population stability over quantile bins of the reference.
 
     Edges are the distinct exact percentiles, the outer ones moved beyond both samples by one. A
     value's bin is found against its feature's edges, which are a broadcast row for each feature;
-    both samples are counted in one aggregation. Fewer than two edges give 0.
+    both samples are counted in one aggregation. Fewer than two edges give 0. With ``accuracy`` the
+    percentiles are approximate and need bounded memory.
     """
     columns = common_numeric(reference, current) if columns is None else columns
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
+    at = [i / bins for i in range(bins + 1)]
     ref, cur = _values(reference, columns), _values(current, columns)
-    inner = ref.groupBy("feature").agg(F.array_distinct(F.percentile("x", at)).alias("e"))
+    inner = ref.groupBy("feature").agg(F.array_distinct(quantiles(F.col("x"), at, accuracy)).alias("e"))
     span = cur.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     edges = inner.join(span, "feature").select(
         "feature",
@@ -114,14 +118,15 @@ def p_value_column(d, n, m):
 
 
 def detect(
-    reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, threshold: float = 0.2, alpha: float = 0.05
+    reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, threshold: float = 0.2,
+    alpha: float = 0.05, accuracy: int | None = None,
 ) -> DataFrame:
     """``feature, psi, ks_statistic, ks_p_value, psi_drifted, ks_drifted, drifted``.
 
     Features with under two values on a side are left out.
     """
     ks = ks_statistic(reference, current, columns).where("n_ref >= 2 and n_cur >= 2")
-    found = psi(reference, current, columns, bins).join(F.broadcast(ks), "feature")
+    found = psi(reference, current, columns, bins, accuracy).join(F.broadcast(ks), "feature")
     p = p_value_column(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
     return found.select("feature", "psi", F.col("statistic").alias("ks_statistic"), p.alias("ks_p_value")).select(
         "*",

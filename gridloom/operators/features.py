@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantiles
 from gridloom.roles import ColumnRoles, require
 
 MOST_INTERACTED = 10
@@ -71,6 +72,7 @@ class FeatureEngineer:
     target_encode_threshold: int = 10
     auto_bin: bool = False
     n_bins: int = 5
+    accuracy: int | None = None  #: approximate bin edges, for columns too large for exact ones
 
     def fit(self, df: DataFrame, target: str | None = None) -> FeatureModel:
         roles = ColumnRoles.of(df)
@@ -81,14 +83,14 @@ class FeatureEngineer:
             interacted=numeric[:MOST_INTERACTED] if self.interactions else [],
         )
         encoding = self.target_encode and target is not None and text
-        quantiles = [i / self.n_bins for i in range(self.n_bins + 1)]
+        points = [i / self.n_bins for i in range(self.n_bins + 1)]
         aggs = [F.lit(0).alias("zero_")]
         for c in numeric:
             x = F.col(c).cast("double")
             if self.log_transform:
                 aggs += [F.skewness(x).alias(f"skew_{c}"), F.min(x).alias(f"min_{c}")]
             if self.auto_bin:
-                aggs.append(F.percentile(x, F.array(*map(F.lit, quantiles))).alias(f"edges_{c}"))
+                aggs.append(quantiles(x, points, self.accuracy).alias(f"edges_{c}"))
         if encoding:
             require(df, target)
             for c in text:

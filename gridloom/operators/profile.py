@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantiles
 from gridloom.roles import ColumnRoles, require
 
 
@@ -190,14 +191,14 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def eda(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, nulls, mean, deviation and quartiles (linear interpolation) of numeric columns."""
+def eda(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """Count, nulls, mean, deviation and quartiles (interpolated, or approximate with ``accuracy``) of numeric columns."""
     columns = list(ColumnRoles.of(df).numeric) if columns is None else columns
     aggs = [F.count("*").alias("n_")]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"m_{i}"), F.stddev_samp(x).alias(f"s_{i}")]
-        aggs.append(F.percentile(x, F.array(*(F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias(f"q_{i}"))
+        aggs.append(quantiles(x, (0.0, 0.25, 0.5, 0.75, 1.0), accuracy).alias(f"q_{i}"))
     rows = [
         {
             "column": F.lit(c),

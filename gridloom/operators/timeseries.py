@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
+from gridloom.functions.quantiles import median_of
 
 
 def _centred(series: str, pos: str, window: int):
@@ -34,20 +35,14 @@ def rolling_mean_anomalies(df: DataFrame, window: int = 48, n_sigma: float = 3.0
     return rolled.withColumn("is_anomaly", F.coalesce(F.abs(F.col(value) - F.col("centre")) > n_sigma * F.col("spread"), F.lit(False)))
 
 
-def _median(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    low, high = F.get(sorted_values, F.floor((n - 1) / 2).cast("int")), F.get(sorted_values, F.floor(n / 2).cast("int"))
-    return (low + high) / 2
-
-
 def rolling_median_anomalies(df: DataFrame, window: int = 48, n_sigma: float = 3.0, series: str = "series", pos: str = "pos", value: str = "value") -> DataFrame:
     """As the mean rule, with the median and 1.4826 times the median absolute deviation of the frame."""
     w = _centred(series, pos, window)
     framed = df.select(series, pos, value, F.collect_list(value).over(w).alias("frame_"))
     full = F.size("frame_") == window
-    centred = framed.withColumn("centre", F.when(full, _median(F.array_sort("frame_"))))
+    centred = framed.withColumn("centre", F.when(full, median_of(F.array_sort("frame_"))))
     off = F.array_sort(F.transform("frame_", lambda v: F.abs(v - F.col("centre"))))
-    spread = centred.withColumn("spread", F.when(full, 1.4826 * _median(off))).drop("frame_")
+    spread = centred.withColumn("spread", F.when(full, 1.4826 * median_of(off))).drop("frame_")
     return spread.withColumn("is_anomaly", F.coalesce(F.abs(F.col(value) - F.col("centre")) > n_sigma * F.col("spread"), F.lit(False)))
 
 
