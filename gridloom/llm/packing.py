@@ -13,7 +13,7 @@ from gridloom.llm.common import prepare, raw_texts
 from gridloom.llm.pieces import Memo, as_bytes, measure_each, memo_for
 
 #: Words of one generation of a worker's memo.
-ENTRIES = 600_000
+ENTRIES = 400_000
 
 
 def split_lengths(n: int, most: int) -> list[int]:
