@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import anomaly, charts, drift, fairness, metrics, models, text
+from gridloom.operators import anomaly, charts, drift, fairness, metrics, models, selection, text
 from gridloom.operators import timeseries as ts
 from gridloom.plans.registry import query, read, rounded
 
@@ -612,3 +612,53 @@ def nn_label_topk(spark, sf_dir):
 @query("SELECT lang AS label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY 1")
 def label_frequencies(spark, sf_dir):
     return rounded(text.label_frequencies(read(spark, sf_dir, "documents"), "lang"))
+
+
+# Selection.
+
+
+@query("SELECT lang, source, n, rank() OVER (PARTITION BY lang ORDER BY n) + (count(*) OVER (PARTITION BY lang, n) - 1) / 2.0::DOUBLE AS rank FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)")
+def average_ranks(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return selection.average_rank(counts, ["lang"], "n")
+
+
+@query(
+    """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+       SELECT l_orderkey, l_linenumber, l_extendedprice AS observed, round(a + b * l_quantity, 3) AS predicted, round(l_extendedprice - a - b * l_quantity, 3) AS residual FROM lineitem, m"""
+)
+def residuals(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    found = models.linear_regression(df, "l_extendedprice", ["l_quantity"]).predict(df, "predicted")
+    return rounded(found.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("observed"), "predicted", (F.col("l_extendedprice") - F.col("predicted")).alias("residual")), 3)
+
+
+@query(
+    f"""WITH {_FLAGGED} SELECT count(*) FILTER (WHERE high AND night) AS both_flags, count(*) FILTER (WHERE high AND NOT night) AS left_only,
+        count(*) FILTER (WHERE NOT high AND night) AS right_only, count(*) FILTER (WHERE NOT high AND NOT night) AS neither FROM v"""
+)
+def contingency_table(spark, sf_dir):
+    a, b, c, d = selection.contingency(_flagged(spark, sf_dir), "high", "night")
+    return spark.range(1).select(F.lit(a).alias("both_flags"), F.lit(b).alias("left_only"), F.lit(c).alias("right_only"), F.lit(d).alias("neither"))
+
+
+@query()
+def text_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return selection.text_classifier(docs, "text", "lang", 2000).transform(docs).select("doc_id", "prediction")
+
+
+@query()
+def text_clusters(spark, sf_dir):
+    return selection.cluster_texts(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+@query()
+def reconstruction_errors(spark, sf_dir):
+    found = selection.reconstruction_errors(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    return rounded(found.select("p_partkey", "error"))
+
+
+@query()
+def mean_shift_clusters(spark, sf_dir):
+    return selection.mean_shift(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", ["c_acctbal"])
