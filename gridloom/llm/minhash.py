@@ -305,14 +305,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     settled = placed(reached, "placed-across")
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
-    x, y = strays.join(faces.drop("n"), "id").alias("x"), mixed.join(faces.drop("n"), "id").alias("y")
+    banded = nodes.select("id", "bands", *sketch)
+    x, y = strays.join(banded, "id").alias("x"), mixed.join(banded, "id").alias("y")
     across = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.hub_c")) | (F.col("x.id") < F.col("y.id")))
         & _may_link(F.col("x.n"), F.col("y.n"), p)
-        & _sketches_allow("x", "y", p),
+        & _sketches_allow("x", "y", p)
+        # of the buckets that two nodes share, one makes the pair
+        & (F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     reached = joined(across.distinct(), reached, "across")
     found = (
