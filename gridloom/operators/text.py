@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.errors import DataValidationError
+
 
 def tokens(text: str | Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -49,13 +51,19 @@ def nearest_labels(df: DataFrame, key: str, vector: str, labels: DataFrame, k: i
     return top.select(key, F.posexplode("t_").alias("at_", "p_")).select(key, (F.col("at_") + 1).alias("rank"), "p_.label", "p_.confidence")
 
 
-def pair_losses(df: DataFrame, key: str, label: str, vector: str, margin: float = 1.0) -> DataFrame:
+def _evaluation_sample(df: DataFrame, limit: int) -> None:
+    if df.limit(limit + 1).count() > limit:
+        raise DataValidationError(f"the loss looks at all pairs of at most {limit} rows: sample them first")
+
+
+def pair_losses(df: DataFrame, key: str, label: str, vector: str, margin: float = 1.0, limit: int = 20_000) -> DataFrame:
     """One row ``n_pairs, contrastive, backbone`` over all pairs of a labelled sample.
 
     ``contrastive`` is the mean of d**2 for equal labels, else max(0, margin - d)**2; ``backbone`` is
     mean(d of equal)**2 + mean(max(0, margin - d) of unequal)**2, d being one less the cosine. This
-    looks at all pairs by definition and is meant for evaluation samples.
+    looks at all pairs by definition; a table of more than ``limit`` rows is refused.
     """
+    _evaluation_sample(df, limit)
     side = lambda n: df.select(F.col(key).alias(f"k{n}"), F.col(label).alias(f"l{n}"), unit(vector).alias(f"v{n}"))
     d = 1 - dot("v1", "v2")
     pairs = side(1).join(side(2), F.col("k1") < F.col("k2")).select((F.col("l1") == F.col("l2")).alias("same"), d.alias("d"))
@@ -67,8 +75,9 @@ def pair_losses(df: DataFrame, key: str, label: str, vector: str, margin: float
     )
 
 
-def info_nce(df: DataFrame, key: str, label: str, vector: str, temperature: float = 0.07) -> DataFrame:
-    """One row ``loss``: supervised NT-Xent over all anchors that have a positive."""
+def info_nce(df: DataFrame, key: str, label: str, vector: str, temperature: float = 0.07, limit: int = 20_000) -> DataFrame:
+    """One row ``loss``: supervised NT-Xent over all anchors that have a positive; at most ``limit`` rows."""
+    _evaluation_sample(df, limit)
     side = lambda n: df.select(F.col(key).alias(f"k{n}"), F.col(label).alias(f"l{n}"), unit(vector).alias(f"v{n}"))
     pairs = side(1).join(side(2), F.col("k1") != F.col("k2")).select("k1", (F.col("l1") == F.col("l2")).alias("same"), (dot("v1", "v2") / temperature).alias("s"))
     by = pairs.groupBy("k1").agg(F.log(F.sum(F.exp("s"))).alias("lse"), F.avg(F.when(F.col("same"), F.col("s"))).alias("pos"))
