@@ -50,7 +50,9 @@ def test_components_equal_brute_force_over_a_whole_table(spark, tiny):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found.collect())
 
 
-def test_chains_and_near_copies_of_one_text(spark):
+@pytest.mark.parametrize("broadcast", [minhash.BROADCAST_IDS, 0])
+def test_chains_and_near_copies_of_one_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     texts = []
