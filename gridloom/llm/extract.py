@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -415,6 +416,12 @@ def train(pages: list[str] | None = None, rounds: int = 40) -> Boosted:
     return boost(np.concatenate(rows), np.array(labels), rounds=rounds)
 
 
+@cache
+def default_model() -> Boosted:
+    """The trees of the made-up pages; they depend on no data, so a driver trains them once."""
+    return train()
+
+
 def extract(pages: list[str], model: Boosted) -> list[str]:
     """Main text of each page."""
     out: list[str] = []
@@ -443,7 +450,7 @@ def extract_main_text(
     """
     spark = pages.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(train() if model is None else model)
+    sent = spark.sparkContext.broadcast(default_model() if model is None else model)
 
     @F.arrow_udf("string")
     def main_text(page: pa.Array) -> pa.Array:
