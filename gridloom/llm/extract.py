@@ -59,11 +59,6 @@ GROUPS = {
     "form": "form search login signup signin subscribe subscription share social follow contact input",
 }
 _GROUP_OF = {word: i for i, words in enumerate(GROUPS.values()) for word in words.split()}
-TAGS = (
-    "html body main article section div p h1 h2 h3 h4 ul ol li table tr td th blockquote pre figure figcaption header footer "
-    "nav aside form fieldset dl dt dd details center address"
-).split()
-_TAG_AT = {t: i for i, t in enumerate(TAGS)}
 #: Kinds of elements that the trees see as one flag each.
 KINDS = ({"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"},
          {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "dialog"}, {"article", "main"},
