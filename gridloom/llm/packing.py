@@ -14,6 +14,8 @@ from gridloom.llm.pieces import Memo, as_bytes, measure_each, memo_for
 
 #: Words of one generation of a worker's memo.
 ENTRIES = 400_000
+#: Bytes of text whose unknown words are encoded together.
+GROUP_BYTES = 4_000_000
 
 
 def split_lengths(n: int, most: int) -> list[int]:
@@ -61,13 +63,25 @@ def encode_texts(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """
     memo = memo_for("packing", path, lambda: Memo(path, as_bytes, WordIds(), ENTRIES))
     end, out = as_bytes([end_id]), []
-    for at in range(0, len(texts), 250):
-        words = [(x if b"<|" in x else x.lower()).split() for x in texts[at : at + 250]]
+    for group in by_bytes(texts):
+        words = [(x if b"<|" in x else x.lower()).split() for x in group]
         memo.learn(set().union(*words))
         out += [b"".join(map(memo.__getitem__, ws)) + end for ws in words]
     return out
 
 
+def by_bytes(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about ``GROUP_BYTES``; a longer text is a run of its own."""
+    at = size = 0
+    for i, raw in enumerate(texts):
+        if i > at and size + len(raw) > GROUP_BYTES:
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(raw)
+    if at < len(texts):
+        yield texts[at:]
+
+
 def pack_power_of_two(
     docs: DataFrame,
     tokenizer_path: str,
@@ -92,18 +106,19 @@ def pack_power_of_two(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), raw_texts(batch.column(1))
-            for at in range(0, len(texts), 250):
+            ids, at = batch.column(0), 0
+            for texts in by_bytes(raw_texts(batch.column(1))):
                 rows, starts, lengths, parts, totals = [], [], [], [], []
-                for i, raw in enumerate(encode_texts(texts[at : at + 250], tokenizer_path, end_id)):
+                for i, raw in enumerate(encode_texts(texts, tokenizer_path, end_id), at):
                     total, start = len(raw) // 4, 0
                     for n in split_lengths(total, sequence_length):
-                        rows.append(at + i)
+                        rows.append(i)
                         starts.append(start)
                         lengths.append(n)
                         parts.append(raw[4 * start : 4 * (start + n)])
                         totals.append(total)
                         start += n
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(rows, pa.int64())),
