@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Set
 from math import ceil
 
 import pyarrow as pa
@@ -45,6 +47,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 THRESHOLD = 0.8
+#: Words of a window over line ends, as a multiple of the template's words.
+REACH = 2
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -81,8 +85,11 @@ class TemplateJoin:
         self.prefix: dict[bytes, list[tuple[str, int]]] = {}
         self.tokens: dict[str, list[bytes]] = {}
         self.need: dict[str, int] = {}
+        self.reach: dict[str, int] = {}
         for name, text in templates.items():
-            tokens = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
+            words = words_of(text.encode())
+            self.reach[name] = REACH * len(words)
+            tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             self.tokens[name] = tokens
             self.need[name] = need = ceil(threshold * len(tokens) - 1e-9)
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
@@ -106,11 +113,70 @@ class TemplateJoin:
                     out.append((name, common / len(tokens)))
         return out
 
-    def text(self, raw: bytes) -> list[tuple[int, str, float]]:
-        """(line, template, containment) of all blocks, which are the lines of a text."""
-        if self.prefix.keys().isdisjoint(words_of(raw)):
+    def windows(self, name: str, words: list[tuple[int, bytes]], taken: Set[int]) -> list[tuple[int, int, float]]:
+        """(first line, last line, containment) of disjoint runs of ``words``, within ``reach`` and outside ``taken`` lines.
+
+        From the first run that meets the threshold, the one of most tokens within another ``reach``
+        is taken, and the search goes on behind it.
+        """
+        tokens, need, reach = set(self.tokens[name]), max(self.need[name], 1), self.reach[name]
+        hits = [(place, line, w) for place, (line, w) in enumerate(words) if w in tokens]
+        out: list[tuple[int, int, float]] = []
+        counts: Counter[bytes] = Counter()
+        lo = at = most = left = right = limit = 0
+        while at < len(hits) or most:
+            if most and (at == len(hits) or hits[at][1] in taken or hits[at][0] > limit):
+                kept = Counter(w for *_, w in hits[left : right + 1])
+                while kept[hits[left][2]] > 1:
+                    kept[hits[left][2]] -= 1
+                    left += 1
+                out.append((hits[left][1], hits[right][1], most / len(tokens)))
+                lo = at = right + 1
+                most = 0
+                counts.clear()
+                continue
+            place, line, w = hits[at]
+            at += 1
+            if line in taken:
+                lo = at
+                counts.clear()
+                continue
+            counts[w] += 1
+            while hits[lo][0] <= place - reach:
+                gone = hits[lo][2]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+                lo += 1
+            if len(counts) >= need and len(counts) > most:
+                limit = limit if most else place + reach
+                most, left, right = len(counts), lo, at - 1
+        return out
+
+    def text(self, raw: bytes) -> list[tuple[int, int, str, float]]:
+        """(first line, lines, template, containment) of a text's blocks, which are lines and windows over line ends.
+
+        A window counts where it overlaps no line that meets its template's threshold, or has more
+        of the template than all such lines of the text.
+        """
+        present = set(words_of(raw))
+        if self.prefix.keys().isdisjoint(present):
+            return []
+        names = [n for n, tokens in self.tokens.items() if sum(t in present for t in tokens) >= max(self.need[n], 1)]
+        if not names:
             return []
-        return [(i, name, share) for i, line in enumerate(raw.split(b"\n")) for name, share in self.block(line)]
+        lines = raw.split(b"\n")
+        out = [(i, 1, name, share) for i, line in enumerate(lines) for name, share in self.block(line)]
+        if len(lines) == 1:
+            return out
+        words = [(i, w) for i, line in enumerate(lines) for w in words_of(line)]
+        for name in names:
+            alone = {i: share for i, _, other, share in out if other == name}
+            found = set(self.windows(name, words, alone.keys()))
+            if alone and (best := max(alone.values())) < 1:
+                found |= {x for x in self.windows(name, words, set()) if x[2] > best}
+            out += [(a, z - a + 1, name, share) for a, z, share in sorted(found)]
+        return out
 
 
 def token_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
@@ -141,7 +207,7 @@ _FIELDS = [
     ("labels", pa.string(), "string"),
     ("score", pa.float64(), "double"),
 ]
-_BLOCK = pa.list_(pa.struct([("line", pa.int32()), ("template", pa.string()), ("containment", pa.float64())]))
+_BLOCK = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("template", pa.string()), ("containment", pa.float64())]))
 
 
 def license_scan(
@@ -155,22 +221,24 @@ def license_scan(
     """License phrases and text blocks, a row for each row of ``docs``.
 
     ``n_words, n_base, first_word, last_word, base_labels`` come from the base phrases; ``blocks``
-    are the lines that contain at least ``threshold`` of a template's distinct words, ``labels`` the
-    base labels and those templates' names, ``score`` the largest containment (1 if a base phrase
-    stands, 0 if nothing does). Null and empty texts have no words, no places (null first and last),
+    (first line, lines, template, containment) are the lines, and the windows over line ends of up to
+    ``REACH`` times a template's words, that contain at least ``threshold`` of the template's distinct
+    words; ``labels`` are the base labels and those templates' names, ``score`` the largest
+    containment (1 if a base phrase stands, 0 if nothing does). Longer paragraphs are no blocks of
+    their own, as they gather a template's words from unrelated sentences. Null and empty texts have no words, no places (null first and last),
     empty labels and score 0. Repeated rows are scanned apiece; an empty table gives an empty one;
     other columns are not read.
     """
     prepare(docs.sparkSession)
     join = TemplateJoin(token_frequencies(docs, templates, text_col) if frequency is None else frequency, templates, threshold)
 
-    @F.arrow_udf("struct<" + ",".join(f"{n}:{s}" for n, _, s in _FIELDS) + ",blocks:array<struct<line:int,template:string,containment:double>>>")
+    @F.arrow_udf("struct<" + ",".join(f"{n}:{s}" for n, _, s in _FIELDS) + ",blocks:array<struct<line:int,lines:int,template:string,containment:double>>>")
     def scan(text: pa.Array) -> pa.Array:
         rows = []
         for raw in raw_texts(text):
             places, base = base_places(raw)
             blocks = join.text(raw)
-            names = sorted(base | {name for _, name, _ in blocks})
+            names = sorted(base | {name for *_, name, _ in blocks})
             score = 1.0 if places else max((share for *_, share in blocks), default=0.0)
             rows.append(
                 (
@@ -181,7 +249,7 @@ def license_scan(
                     ",".join(sorted(base)),
                     ",".join(names),
                     score,
-                    [{"line": i, "template": name, "containment": share} for i, name, share in blocks],
+                    [{"line": i, "lines": n, "template": name, "containment": share} for i, n, name, share in blocks],
                 )
             )
         columns = list(zip(*rows)) if rows else [[]] * (len(_FIELDS) + 1)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -326,3 +327,41 @@ def test_license_scan(spark, small, odd):
         (str(i), *plain_license(t)) for i, t, _ in ODD
     )
     assert licenses.license_scan(odd.limit(0)).collect() == []
+
+
+def best_window(text, body):
+    """The largest containment of all runs of words that are lines or within the reach, by brute force."""
+    template, reach = set(ALNUM.findall(body.translate(LOWER))), licenses.REACH * len(ALNUM.findall(body.translate(LOWER)))
+    words = ALNUM.findall(text.translate(LOWER))
+    runs = [words[i : i + reach] for i in range(len(words))] + [ALNUM.findall(x.translate(LOWER)) for x in text.split("\n")]
+    best = max((len(template & set(r)) / len(template) for r in runs), default=0)
+    return best if best >= licenses.THRESHOLD - 1e-9 else 0
+
+
+def test_license_notices_that_are_wrapped(spark):
+    texts, names = [], []
+    for width in (24, 40, 60, 80):
+        for mark in ("", " * ", "// "):
+            for name, body in licenses.TEMPLATES.items():
+                wrapped = textwrap.fill(body, width, initial_indent=mark, subsequent_indent=mark)
+                texts.append(f"{mark}Copyright someone\n{mark}\n{wrapped}\n{mark}\n\nint main")
+                names.append(name)
+    rng = random.Random(3)
+    pool = [w for t in licenses.TEMPLATES.values() for w in t.split()]
+    texts += ["\n".join(" ".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(30)) for _ in range(60)]
+    bsd = licenses.TEMPLATES["bsd-notice"].split()
+    texts.append("\n".join(w + " other" * 4 for w in bsd))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.license_scan(frame).collect()}
+    for i, name in enumerate(names):
+        assert name in rows[i]["labels"].split(",") and rows[i]["score"] == 1
+        assert max(b["containment"] for b in rows[i]["blocks"] if b["template"] == name) == 1
+    for i, text in enumerate(texts):
+        best = {name: best_window(text, body) for name, body in licenses.TEMPLATES.items()}
+        found = {name: max((b["containment"] for b in rows[i]["blocks"] if b["template"] == name), default=0) for name in best}
+        assert {n for n in best if best[n]} == {n for n in found if found[n]}
+        for b in rows[i]["blocks"]:
+            part = set(ALNUM.findall("\n".join(text.split("\n")[b["line"] : b["line"] + b["lines"]]).translate(LOWER)))
+            template = set(ALNUM.findall(licenses.TEMPLATES[b["template"]].translate(LOWER)))
+            assert licenses.THRESHOLD - 1e-9 <= b["containment"] <= len(part & template) / len(template)
+    assert rows[len(texts) - 1]["labels"] == ""
