@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -15,13 +16,17 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import prepare
 from gridloom.llm.forest import Boosted, boost
 
-#: Elements whose content is no markup, or never shown as text.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "button", "title", "math")
+#: Elements whose content is no markup, or never shown as text; they run to their end tag or the end of the page.
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
+#: Elements that are left out up to their own end tag; one that has none ends where the next block begins or ends.
+LEFT_OUT = ("svg", "object", "select", "button")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a line of text: they are no nodes of their own.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -37,13 +42,11 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|button|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_SKIPPED = rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+_ATTRIBUTES = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+TOKEN = re.compile(rf"{_SKIPPED}|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*){_ATTRIBUTES}", re.S | re.I)
+_PAIR = re.compile(rf"{_SKIPPED}|<(/?)({'|'.join(LEFT_OUT)})(?=[\s/>]){_ATTRIBUTES}", re.S | re.I)
+_BLOCK = re.compile(rf"{_SKIPPED}|(</?(?:{'|'.join(sorted(CLOSES_P | ENDS.keys() - {'option'}))}|tbody|thead|tfoot|caption|body|html)(?=[\s/>]))", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -77,6 +80,42 @@ class Node:
         self.marked = False
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where each element of ``LEFT_OUT`` ends, by the place behind its start tag."""
+    ends: dict[int, int] = {}
+    limits: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in LEFT_OUT}
+    unclosed: list[int] = []
+    for m in _PAIR.finditer(page):
+        if m[3] is None:
+            continue
+        name, place = m[3].lower(), m.end()
+        stack = opened[name]
+        if m[2]:
+            if stack:
+                ends[stack.pop()] = place
+            continue
+        closed = m[4].rstrip().endswith("/")
+        if closed and name == "svg":
+            ends[place] = place
+            continue
+        if stack and name in ("select", "button"):
+            # These don't nest: the next one ends what is open.
+            limits.setdefault(stack[-1], m.start())
+            unclosed.append(stack.pop())
+        if closed:
+            limits[place] = place
+        stack.append(place)
+    unclosed += (place for stack in opened.values() for place in stack)
+    if unclosed:
+        blocks = [m.start() for m in _BLOCK.finditer(page) if m[2]]
+        for place in unclosed:
+            k = bisect_left(blocks, place)
+            end = blocks[k] if k < len(blocks) else place
+            ends[place] = min(end, limits.get(place, end))
+    return ends
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page in document order, the root first; tolerates what is left open or crossed."""
     root = Node("html", "", None)
@@ -94,7 +133,8 @@ def parse(page: str) -> list[Node]:
         del stack[k:]
         inline.clear()
 
-    for m in TOKEN.finditer(page):
+    ends: dict[int, int] | None = None
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = m[3]
@@ -112,13 +152,18 @@ def parse(page: str) -> list[Node]:
                         break
             continue
         if name in INLINE:
-            if name == "br":
+            if name in ("br", "mtr", "mtd"):
                 stack[-1].parts.append(" ")
             elif name not in VOID:
                 if name == "a" and "a" in inline:
                     inline.remove("a")
                 inline.append(name)
             continue
+        if name in LEFT_OUT:
+            if ends is None:
+                ends = _ends(page)
+            at = ends.get(at, at)
+            continue
         if name in VOID or name in RAW or name == "head":
             stack[-1].parts.append(" ")
             continue

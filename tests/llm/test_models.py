@@ -218,3 +218,30 @@ def test_page_edges(spark, model):
     found = extract.extract_main_text(frame, model).collect()
     assert len(found) == 7 and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in found)
     assert extract.extract_main_text(frame.limit(0), model).collect() == []
+
+
+LEFT_OUT = {
+    '<article><p>one</p><svg class="i"/><p>two</p><p>three</p></article>': "one two three",
+    "<article><p>one <svg-icon name=x></svg-icon>two</p><button-bar></button-bar><title-line></title-line><p>three</p></article>": "one two three",
+    "<p>one <math><mi>x</mi><mo>=</mo><mn>1</mn></math> two <math/> three</p>": "one x=1 two three",
+    "<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>": "1 2",
+    "<p>one<svg><title>no</title><svg><text>no</text></svg><text>no</text></svg> two</p>": "one two",
+    "<div>one <svg class=i><path d='M0 0'></div><p>two</p><svg><text>no</text></svg><p>three</p>": "one two three",
+    "<form><button>no<p>two</p><select><option>no<option>no</form><p>three</p><object data=x><p>four</p>": "two three four",
+    "<p><button>no<button>no</button> one</p><select><option>no</option></select><p>two": "one two",
+    "<p>one <object data='a>b'/> two</p><object data=x>no<object>no</object>no</object>": "one two",
+    "<p>one</p><script>'<svg>'</script><!-- <button> --><SVG viewBox='0 0 1 1'><!-- </svg> -->no</SVG ><p>two</p>": "one two",
+    "one <button>two": "one two",
+}
+
+
+@pytest.mark.parametrize("page", LEFT_OUT)
+def test_what_is_left_out_ends_with_its_element(page):
+    nodes = extract.parse(page)
+    assert extract.text_of(nodes, [True] * len(nodes)) == LEFT_OUT[page]
+
+
+def test_article_with_inline_icons_is_whole(model):
+    prose = "Some words of the article, which go on for quite a while so that they are the main text."
+    page = f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>T</h1><p>{prose}</p><svg class='i'/><p>{prose}</p><p>{prose}</p></article><footer>&copy; x</footer></body>"
+    assert extract.extract([page], model) == [" ".join(["T", prose, prose, prose])]
