@@ -6,6 +6,7 @@ import math
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -117,31 +118,67 @@ def reconstruction_errors(df: DataFrame, features: list[str], k: int = 1) -> Dat
     return fitted.transform(df).select(*df.columns, F.greatest(F.lit(0.0), square(x) - square(y)).alias("error"))
 
 
+def _shifted(points: DataFrame, at: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of ``points`` lie within ``h`` of each place, and their means: one aggregation."""
+    names = [f"s{i}" for i in range(at.shape[1])]
+
+    def sums(batches):
+        n, total = np.zeros(len(at), np.int64), np.zeros(at.shape)
+        step = max(1, 2_000_000 // at.size)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            for lo in range(0, len(x), step):
+                part = x[lo : lo + step]
+                near = ((at[:, None] - part[None]) ** 2).sum(-1) <= h * h
+                n += near.sum(1)
+                total += near @ part
+        hit = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"i": hit, "n": n[hit], **{c: total[hit, k] for k, c in enumerate(names)}})
+
+    parts = points.mapInArrow(sums, "i long, n long, " + ", ".join(f"{c} double" for c in names))
+    n, mean = np.zeros(len(at), np.int64), at.copy()
+    for r in parts.groupBy("i").agg(*(F.sum(c).alias(c) for c in ("n", *names))).collect():
+        n[r["i"]] = r["n"]
+        mean[r["i"]] = np.array([r[c] for c in names]) / r["n"]
+    return n, mean
+
+
 def mean_shift(df: DataFrame, key: str, features: list[str], bandwidth: float | None = None, seeds: int = 500, rounds: int = 50) -> DataFrame:
-    """``df`` with ``cluster``: the nearest of the modes that a sample of rows climbs to.
+    """``df`` with ``cluster``: the nearest of the modes that the density of all rows climbs to.
 
-    Modes come from ``seeds`` rows, the least by a hash of the key, on the driver; all rows are then
-    given to their nearest mode by built-in expressions.
+    ``seeds`` rows, the least by a hash of the key, give the bandwidth where none is given. A climb
+    starts from the mean of each square of the bandwidth that holds a row; each round sums all rows
+    within the bandwidth of each climb in one aggregation. Modes come from the densest on; all rows
+    are then given to their nearest mode by built-in expressions.
     """
     require(df, key, *features)
-    rows = clean.sample(df.na.drop(subset=features), key, seeds).select(*(F.col(c).cast("double") for c in features)).collect()
+    whole = df.na.drop(subset=features)
+    rows = clean.sample(whole, key, seeds).select(*(F.col(c).cast("double") for c in features)).collect()
     if not rows:
         raise DataValidationError("no complete rows")
     x = np.array(rows, float)
     gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     h = bandwidth or float(np.quantile(gaps[np.triu_indices(len(x), 1)], 0.3)) if len(x) > 1 else 1.0
-    at = x.copy()
+    if h <= 0:
+        h = float(gaps[gaps > 0].min()) / 2 if (gaps > 0).any() else 1.0
+    names = [f"x{i}" for i in range(len(features))]
+    points = whole.select(*(F.col(c).cast("double").alias(x) for c, x in zip(features, names))).persist()
+    squares = points.groupBy(*(F.rint(F.col(c) / F.lit(h)).alias(f"c{c}") for c in names)).agg(*(F.avg(c).alias(c) for c in names))
+    at = np.array(sorted(map(tuple, squares.select(*names).collect())), float)
+    density = np.zeros(len(at), np.int64)
+    moving = np.arange(len(at))
     for _ in range(rounds):
-        near = ((at[:, None] - x[None]) ** 2).sum(-1) <= h * h
-        new = (near @ x) / near.sum(1, keepdims=True)
-        done = np.abs(new - at).max() < 1e-4 * h
-        at = new
-        if done:
+        density[moving], new = _shifted(points, at[moving], h)
+        still = np.abs(new - at[moving]).max(1) >= 1e-4 * h
+        at[moving] = new
+        moving = moving[still]
+        if not len(moving):
             break
+    points.unpersist()
     modes: list[np.ndarray] = []
-    for m in at:
-        if all(np.linalg.norm(m - o) > h / 2 for o in modes):
-            modes.append(m)
+    for i in np.argsort(-density, kind="stable"):
+        if all(np.linalg.norm(at[i] - o) > h / 2 for o in modes):
+            modes.append(at[i])
     far = [sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(features, m)), F.lit(0.0)) for m in modes]
     best = F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far))))
     return df.withColumn("cluster", best["i"])
