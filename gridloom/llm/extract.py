@@ -6,7 +6,9 @@ import html
 import random
 import re
 from bisect import bisect_left
+from collections import Counter
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import prepare
 from gridloom.llm.forest import Boosted, boost
 
-#: Elements whose content is no markup, or never shown as text; they run to their end tag or the end of the page.
+#: Elements whose content is no markup, or never shown as text; they run to their end tag.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
 #: Elements that are left out up to their own end tag; one that has none ends where the next block begins or ends.
 LEFT_OUT = ("svg", "object", "select", "button")
@@ -42,13 +44,20 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_SKIPPED = rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-_ATTRIBUTES = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-TOKEN = re.compile(rf"{_SKIPPED}|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*){_ATTRIBUTES}", re.S | re.I)
-_PAIR = re.compile(rf"{_SKIPPED}|<(/?)({'|'.join(LEFT_OUT)})(?=[\s/>]){_ATTRIBUTES}", re.S | re.I)
-_BLOCK = re.compile(rf"{_SKIPPED}|(</?(?:{'|'.join(sorted(CLOSES_P | ENDS.keys() - {'option'}))}|tbody|thead|tfoot|caption|body|html)(?=[\s/>]))", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+BLOCKS = (CLOSES_P | ENDS.keys() | set("tbody thead tfoot caption body html".split())) - {"option"}
+#: A tag, which ends at ``>``, before the next tag, or with the page. Quotes count behind ``=`` alone, and span a ``>``
+#: only if what follows the closing one may follow a value. All repetition is possessive: a place is read once or twice.
+TOKEN = re.compile(
+    r"<(?:(/?)([A-Za-z][^\s/><]*+)"
+    r"((?:[^=><]++|<(?![A-Za-z/!?])|=\s*+(?>\"[^\"]*+\"(?=[\s/>])|\"[^\">]*+\"|'[^']*+'(?=[\s/>])|'[^'>]*+'|))*+)(?:>|(?=<)|\Z)"
+    r"|[!?])"
+)
+_RAW_MARK = re.compile(rf"<(/?)({'|'.join(RAW)})(?=[\s/>])", re.I)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+#: A slash that ends a tag and is no part of an attribute's bare value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
+ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+HIDDEN = re.compile(r"\bhidden\b|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
 
 #: Attribute tokens that speak for or against main text, by group.
 GROUPS = {
@@ -69,7 +78,7 @@ KINDS = ({"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "parts", "links", "marked")
+    __slots__ = ("tag", "attrs", "parent", "children", "parts", "links", "marked", "place")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -78,101 +87,169 @@ class Node:
         self.parts: list[str | Node] = []
         self.links = 0
         self.marked = False
+        #: Siblings before this one.
+        self.place = 0
+
+
+class Tag(NamedTuple):
+    """A tag, or with an empty name a comment; ``end`` lies behind its raw content."""
+
+    start: int
+    end: int
+    name: str
+    closing: bool
+    attrs: str
+
+
+class _RawEnds:
+    """Where elements of ``RAW`` end; the page is searched for their tags once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.opened: dict[str, list[int]] = {name: [] for name in RAW}
+        self.closed: dict[str, list[int]] = {name: [] for name in RAW}
+        for m in _RAW_MARK.finditer(page):
+            (self.closed if m[1] else self.opened)[m[2].lower()].append(m.start())
+
+    def of(self, name: str, at: int, closed: bool) -> int:
+        """The place behind the element whose start tag ends ``at``.
+
+        A tag that closes itself has no content unless an end tag comes before the next element of
+        its name. Without an end tag scripts and styles run to the next block, others are empty.
+        """
+        ends, opens = self.closed[name], self.opened[name]
+        k = bisect_left(ends, at)
+        if k == len(ends):
+            if closed or name not in ("script", "style"):
+                return at
+            block = _BLOCK.search(self.page, at)
+            return block.start() if block else len(self.page)
+        if closed:
+            j = bisect_left(opens, at)
+            if j < len(opens) and opens[j] < ends[k]:
+                return at
+        return self.page.find(">", ends[k]) + 1 or len(self.page)
 
 
-def _ends(page: str) -> dict[int, int]:
-    """Where each element of ``LEFT_OUT`` ends, by the place behind its start tag."""
-    ends: dict[int, int] = {}
-    limits: dict[int, int] = {}
+def tags_of(page: str) -> list[Tag]:
+    """Tags and comments of a page in order, in time proportional to its length.
+
+    A comment that never ends, and any other ``<!`` or ``<?``, ends at the next ``>``; without one it is text.
+    """
+    out: list[Tag] = []
+    raw: _RawEnds | None = None
+    last_comment, last_end = page.rfind("-->"), page.rfind(">")
+    at = 0
+    while m := TOKEN.search(page, at):
+        start, at = m.span()
+        if m[2] is None:
+            if page.startswith("<!--", start) and start + 2 <= last_comment:
+                at = page.find("-->", start + 2) + 3
+            elif at <= last_end:
+                at = page.find(">", at) + 1
+            else:
+                continue
+            out.append(Tag(start, at, "", False, ""))
+            continue
+        name = m[2].lower()
+        if not m[1] and name in RAW:
+            if raw is None:
+                raw = _RawEnds(page)
+            at = raw.of(name, at, _CLOSED.search(m[3]) is not None)
+        out.append(Tag(start, at, name, bool(m[1]), m[3]))
+    return out
+
+
+def left_out(tags: list[Tag]) -> dict[int, tuple[int, int]]:
+    """For each start tag of ``LEFT_OUT``, by number: the tag and the place to go on from."""
+    out: dict[int, tuple[int, int]] = {}
+    limits: dict[int, tuple[int, int]] = {}
     opened: dict[str, list[int]] = {name: [] for name in LEFT_OUT}
     unclosed: list[int] = []
-    for m in _PAIR.finditer(page):
-        if m[3] is None:
+    for i, tag in enumerate(tags):
+        stack = opened.get(tag.name)
+        if stack is None:
             continue
-        name, place = m[3].lower(), m.end()
-        stack = opened[name]
-        if m[2]:
+        if tag.closing:
             if stack:
-                ends[stack.pop()] = place
+                out[stack.pop()] = (i + 1, tag.end)
             continue
-        closed = m[4].rstrip().endswith("/")
-        if closed and name == "svg":
-            ends[place] = place
+        closed = _CLOSED.search(tag.attrs) is not None
+        if closed and tag.name == "svg":
+            out[i] = (i + 1, tag.end)
             continue
-        if stack and name in ("select", "button"):
+        if stack and tag.name in ("select", "button"):
             # These don't nest: the next one ends what is open.
-            limits.setdefault(stack[-1], m.start())
+            limits.setdefault(stack[-1], (i, tag.start))
             unclosed.append(stack.pop())
         if closed:
-            limits[place] = place
-        stack.append(place)
-    unclosed += (place for stack in opened.values() for place in stack)
+            limits[i] = (i + 1, tag.end)
+        stack.append(i)
+    unclosed += (i for stack in opened.values() for i in stack)
     if unclosed:
-        blocks = [m.start() for m in _BLOCK.finditer(page) if m[2]]
-        for place in unclosed:
-            k = bisect_left(blocks, place)
-            end = blocks[k] if k < len(blocks) else place
-            ends[place] = min(end, limits.get(place, end))
-    return ends
+        blocks = [i for i, tag in enumerate(tags) if tag.name in BLOCKS]
+        for i in unclosed:
+            k = bisect_left(blocks, i)
+            end = (blocks[k], tags[blocks[k]].start) if k < len(blocks) else (i + 1, tags[i].end)
+            out[i] = min(end, limits.get(i, end), key=lambda e: e[1])
+    return out
 
 
 def parse(page: str) -> list[Node]:
     """Block elements of a page in document order, the root first; tolerates what is left open or crossed."""
     root = Node("html", "", None)
     nodes, stack = [root], [root]
-    inline: list[str] = []
-    at = 0
+    open_tags: Counter[str] = Counter()
+    linked = False
 
     def text(piece: str) -> None:
         if piece:
             stack[-1].parts.append(piece)
-            if "a" in inline:
+            if linked:
                 stack[-1].links += len(piece.strip())
 
     def close(k: int) -> None:
+        for node in stack[k:]:
+            open_tags[node.tag] -= 1
         del stack[k:]
-        inline.clear()
 
-    ends: dict[int, int] | None = None
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
+    tags = tags_of(page)
+    skips = left_out(tags) if any(tag.name in LEFT_OUT for tag in tags) else {}
+    at = i = 0
+    while i < len(tags):
+        tag = tags[i]
+        text(page[at : tag.start])
+        at = tag.end
+        name = tag.name
+        i += 1
+        if not name:
             continue
-        name = name.lower()
-        if m[2]:
+        if tag.closing:
             if name in INLINE:
-                if name in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(name) :]
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        close(k)
-                        break
+                linked = linked and name != "a"
+            elif open_tags[name]:
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                close(k)
+                linked = False
             continue
         if name in INLINE:
             if name in ("br", "mtr", "mtd"):
                 stack[-1].parts.append(" ")
-            elif name not in VOID:
-                if name == "a" and "a" in inline:
-                    inline.remove("a")
-                inline.append(name)
+            linked = linked or name == "a"
             continue
         if name in LEFT_OUT:
-            if ends is None:
-                ends = _ends(page)
-            at = ends.get(at, at)
+            i, at = skips[i - 1]
             continue
         if name in VOID or name in RAW or name == "head":
             stack[-1].parts.append(" ")
             continue
-        if name in ("html", "body"):
-            target = root if name == "html" else next((n for n in stack if n.tag == "body"), None)
-            if target is not None:
-                target.attrs += m[4]
-                continue
-        if name in CLOSES_P:
+        if name == "html" or name == "body" and open_tags["body"]:
+            target = root if name == "html" else next(n for n in stack if n.tag == "body")
+            target.attrs += tag.attrs
+            continue
+        if name in CLOSES_P and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -181,19 +258,22 @@ def parse(page: str) -> list[Node]:
                     break
         if name in ENDS:
             ended, bounds = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ended:
-                    close(k)
-                    break
-        inline.clear()
-        node = Node(name, m[4], stack[-1])
+            if any(open_tags[x] for x in ended):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in bounds:
+                        break
+                    if stack[k].tag in ended:
+                        close(k)
+                        break
+        linked = False
+        node = Node(name, tag.attrs, stack[-1])
+        node.place = len(stack[-1].children)
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
         nodes.append(node)
-        if not m[4].rstrip().endswith("/"):
+        if not _CLOSED.search(tag.attrs):
             stack.append(node)
+            open_tags[name] += 1
     text(page[at:])
     return nodes
 
@@ -239,18 +319,19 @@ def features(nodes: list[Node]) -> np.ndarray:
             x[up] += x[i]
     total = max(whole[0], 1)
     rows = []
+    alike = [Counter(x.tag for x in node.children) for node in nodes]
     for i, node in enumerate(nodes):
         if node.parent is None:
             siblings, place, share, same = 1, 0.0, 1.0, 1
         else:
-            family = node.parent.children
-            siblings = len(family)
-            place = next(k for k, x in enumerate(family) if x is node) / siblings if siblings <= 64 else 0.5
-            share = whole[i] / max(whole[at[id(node.parent)]], 1)
-            same = sum(x.tag == node.tag for x in family) if siblings <= 64 else siblings
+            up = at[id(node.parent)]
+            siblings = len(node.parent.children)
+            place = node.place / siblings
+            share = whole[i] / max(whole[up], 1)
+            same = alike[up][node.tag]
         rows.append(
             (
-                min(depth[i], 30),
+                depth[i],
                 np.log1p(own[i]),
                 np.log1p(whole[i]),
                 whole[i] / total,
@@ -259,8 +340,8 @@ def features(nodes: list[Node]) -> np.ndarray:
                 np.log1p(below[i]),
                 commas[i] / max(whole[i], 1),
                 np.log1p(paragraphs[i]),
-                min(siblings, 64),
-                min(same, 64),
+                np.log1p(siblings),
+                np.log1p(same),
                 place,
                 share,
                 float(bool(node.attrs and HIDDEN.search(node.attrs))),

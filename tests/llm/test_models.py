@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -245,3 +246,40 @@ def test_article_with_inline_icons_is_whole(model):
     prose = "Some words of the article, which go on for quite a while so that they are the main text."
     page = f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>T</h1><p>{prose}</p><svg class='i'/><p>{prose}</p><p>{prose}</p></article><footer>&copy; x</footer></body>"
     assert extract.extract([page], model) == [" ".join(["T", prose, prose, prose])]
+
+
+ODD_MARKUP = {
+    "<p>one</p><iframe src='x' /><p>two</p><script src='x' /><p>three</p>": "one two three",
+    "<p>one</p><script>no()<p>two</p><noscript>three": "one two three",
+    "<p>one</p><iframe src=a /><p>two</p><iframe src=b>no</iframe><p>three</p><style/>no</style>": "one two three",
+    "<p>one</p><textarea/><title/><template>two<p>three</p>": "one two three",
+    "<p title=it's>one</p><p title=\"two>two</p><a href='x'>three</a> <a href=\"x\">four</a>": "one two three four",
+    "<p title=\"a > b\" data-x='<i>'>one</p><p a='>two</p>": "one two",
+    "<p>one</p><!-- no > three<p>four</p><!>five <?x y?>six": "one three four five six",
+    "<p>one</p><!-->two <!-- > no -->three": "one two three",
+    "<p>a < b, 1 <2, I </3 you<p class='x' <b>two</b>": "a < b, 1 <2, I </3 you two",
+    "one <!": "one <!",
+    "one <p class='": "one",
+}
+
+
+@pytest.mark.parametrize("page", ODD_MARKUP)
+def test_odd_markup_loses_and_leaks_nothing(page):
+    nodes = extract.parse(page)
+    assert extract.text_of(nodes, [True] * len(nodes)) == ODD_MARKUP[page]
+
+
+HOSTILE = ["<button", '<a "x ', '<a x="', "<a x='\">", '<a x=">"', "<!--", "<script>", "<style/>", "<svg>", "<button>", "<b></i>", "</p>", "<", "class=\"", "&amp"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_a_hostile_page_takes_time_in_proportion(piece):
+    began = time.perf_counter()
+    extract.parse(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 3
+
+
+def test_an_article_of_many_blocks_is_whole(model):
+    blocks = [f"Paragraph {i} says what it has to say, in a sentence of some length." for i in range(400)]
+    page = "<body><header><h1>Site</h1></header><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article><footer>&copy; x</footer></body>"
+    assert extract.extract([page], model) == [" ".join(blocks)]
