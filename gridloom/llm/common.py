@@ -14,8 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; a row is a whole document, so the default of 10 000 is too many.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; a row is a whole document, so the default of 10 000 is too many.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Entries of a worker's memo of words; it is emptied when full.
 MEMO_ENTRIES = 400_000
 
@@ -33,6 +33,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
         return
@@ -48,13 +49,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share; a local one only where driver and executors are one process."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_gridloom_dir", None)
     if not found:
-        sc = spark.sparkContext
-        found = getattr(sc, "_gridloom_dir", None)
-        if not found:
-            found = sc._gridloom_dir = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = sc._gridloom_dir = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
     return found
 
 
@@ -62,7 +63,8 @@ class SharedTables:
     """Parquet tables in the shared folder, which outlive lost executors, and kept frames.
 
     A kept frame is cached on the executors' disks with its lineage: what is lost with an executor
-    is computed again.
+    is computed again. As a context, a failure drops everything at once; what is left at the end of
+    the application, such as a returned table, goes with it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -70,6 +72,22 @@ class SharedTables:
         self.kept: list[DataFrame] = []
         self.saved: list[str] = []
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        files, path = self._files(self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def __enter__(self) -> SharedTables:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.release()
+        if kind is not None:
+            files, path = self._files(self.base)
+            files.delete(path, True)
+
+    def _files(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
 
     def save(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
         """Write and reread; ``files`` deals small results out to so many files."""
@@ -89,11 +107,15 @@ class SharedTables:
             self.kept = [x for x in self.kept if x is not df]
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
             self.saved.remove(name)
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(f"{self.base}/{name}")
+            files.delete(path, True)
+
+
+def column(name: str):
+    """A column by its name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

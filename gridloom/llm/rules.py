@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORDS, focus, gram_hashes, prepare, raw_texts
+from gridloom.llm.common import WORDS, column, focus, gram_hashes, prepare, raw_texts
 
 #: The most frequent function words of four languages, for the word histograms.
 COMMON_WORDS = (
@@ -43,7 +43,7 @@ class Limits:
     """
 
     min_chars: int = 200  #: shorter texts are not held against character histograms
-    min_words: int = 50  #: shorter texts are not held against word histograms
+    min_words: int = 50  #: shorter texts are not held against word histograms, nor part of the references
     class_distance: float = 0.2
     class_noise: float = 2.0
     word_distance: float = 0.24
@@ -99,8 +99,10 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(d, 0) / 2))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of each language, over all texts that pass the base rules.
+def references(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()
+) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Histograms of each language, over all texts that pass the base rules and have ``min_words`` words.
 
     Each text counts once, by its shares, so that long texts don't stand for their language. Every
     task returns one row for each language, and only those sums reach the driver.
@@ -113,7 +115,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 counts = base_counts(raw)
-                if lang is None or counts[0] < 50 or base_failed(counts[0], counts[4]):
+                if lang is None or counts[0] < limits.min_words or base_failed(counts[0], counts[4]):
                     continue
                 c, w = histograms(raw)
                 total[lang] += np.concatenate((c / max(c.sum(), 1), w / max(w.sum(), 1)))
@@ -123,7 +125,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         )
 
     found = (
-        docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"))
+        docs.select(column(lang_col).cast("string").alias("lang"), column(text_col).alias("body"))
         .mapInArrow(sums, "lang string, " + ", ".join(f"{n} double" for n in names))
         .groupBy("lang")
         .agg(*(F.sum(n).alias(n) for n in names))
@@ -174,7 +176,7 @@ def quality_rules(
     apiece; an empty table gives an empty one; other columns are not read.
     """
     prepare(docs.sparkSession)
-    refs = references(docs, text_col, lang_col) if refs is None else refs
+    refs = references(docs, text_col, lang_col, limits) if refs is None else refs
     plain = json.dumps({k: [c.tolist(), w.tolist()] for k, (c, w) in refs.items()})
 
     @F.arrow_udf("struct<" + ",".join(f"{n}:{'boolean' if t == pa.bool_() else 'double' if t == pa.float64() else 'long'}" for n, t in _FIELDS) + ">")
@@ -186,6 +188,6 @@ def quality_rules(
         return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
 
     judged = docs.select(
-        F.col(id_col), judge.asNondeterministic()(F.col(text_col), F.col(lang_col).cast("string")).alias("r_")
+        column(id_col).alias(id_col), judge.asNondeterministic()(column(text_col), column(lang_col).cast("string")).alias("r_")
     )
-    return judged.select(id_col, *(F.col(f"r_.{n}").alias(n) for n, _ in _FIELDS))
+    return judged.select(column(id_col), *(F.col(f"r_.{n}").alias(n) for n, _ in _FIELDS))

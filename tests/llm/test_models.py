@@ -91,7 +91,7 @@ def test_findings_that_the_forest_has_not_seen(spark, trees):
 def test_network_equals_plain_convolution():
     rng = np.random.default_rng(2)
     net = quality.Network(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32),
-                          rng.normal(size=(2 * quality.FILTERS, quality.HIDDEN)), rng.normal(size=quality.HIDDEN), rng.normal(size=quality.HIDDEN), 0.1)
+                          rng.normal(size=(3 * quality.FILTERS, quality.HIDDEN)), rng.normal(size=quality.HIDDEN), rng.normal(size=quality.HIDDEN), 0.1)
     for raw in (b"", b"a", rng.integers(0, 256, 700, dtype=np.uint8).tobytes()):
         count = -(-max(len(raw), 1) // quality.BLOCK)
         padded = raw + bytes(count * quality.BLOCK + quality.WIDTH - len(raw))
@@ -99,7 +99,7 @@ def test_network_equals_plain_convolution():
         pooled = z.reshape(count, quality.BLOCK, -1).max(axis=1)
         chunks = [np.maximum(pooled[i], pooled[i + 1]) for i in range(count - 1)] or [pooled[0]]
         chunks = np.maximum(np.array(chunks) + net.bias, 0)
-        assert np.allclose(net.features(raw), np.concatenate((chunks.max(0), chunks.mean(0))), atol=1e-4)
+        assert np.allclose(net.features(raw), np.concatenate((chunks.max(0), chunks.mean(0), chunks.min(0))), atol=1e-4)
     long = rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes()  # longer than a slab
     parts = [net.blocks(long[a : a + quality.BLOCK + quality.WIDTH])[0] for a in (0, 20_224)]
     assert np.allclose(net.blocks(long)[[0, 79]], parts, atol=1e-4)
@@ -108,7 +108,7 @@ def test_network_equals_plain_convolution():
 def test_gradient_points_downhill():
     rng = np.random.default_rng(3)
     texts = [b"good text. " * 40, b"BAD!! " * 50]
-    p = {"hidden": rng.normal(0, 0.3, (2 * quality.FILTERS, quality.HIDDEN)), "hidden_bias": np.full(quality.HIDDEN, 0.1), "out": rng.normal(0, 0.3, quality.HIDDEN), "out_bias": np.array(0.0)}
+    p = {"hidden": rng.normal(0, 0.3, (3 * quality.FILTERS, quality.HIDDEN)), "hidden_bias": np.full(quality.HIDDEN, 0.1), "out": rng.normal(0, 0.3, quality.HIDDEN), "out_bias": np.array(0.0)}
     table, bias = rng.normal(0, 0.2, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float64), np.zeros(quality.FILTERS)
     net = lambda t: quality.Network(t, bias, p["hidden"], p["hidden_bias"], p["out"], 0.0)
     loss = lambda t: -np.log(net(t).score(texts)[0]) - np.log(1 - net(t).score(texts)[1])
