@@ -13,6 +13,7 @@ import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; a row is a whole document, so the default of 10 000 is too many.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -118,6 +119,35 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: A key of over a thousandth of the rows, and of this many, is hot; its rows go to so many tasks.
+HOT_ROWS, HOT_PARTS = 1000, 200
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
+    """The hot keys, at most a thousand, of a table of keys with their numbers of rows."""
+    return [r[0] for r in counted.where((F.col(n) > HOT_ROWS) & (F.col(n) * 1000 > total)).select(key).collect()]
+
+
+def join_split(rows: DataFrame, other: DataFrame, key: str, by: str, hot: list | None = None, how: str = "inner") -> DataFrame:
+    """``rows.join(other, key, how)``, in which the rows of a hot key are dealt by a hash of ``by``.
+
+    ``other`` is repeated for the hot keys alone. Rows with a null key, which match nothing, are
+    dealt in the same way. Without ``hot`` the rows are counted by key first, so they should be kept.
+    """
+    if hot is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_"))
+        hot = hot_keys(counts, key, "n_", rows.count())
+    if not hot and how == "inner":
+        return rows.join(other, key)
+    kind = rows.select(key).schema[0].dataType
+    marks = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], T.StructType([T.StructField(key, kind), T.StructField("hot_", T.BooleanType())])))
+    part = F.pmod(F.xxhash64(by), F.lit(HOT_PARTS)).cast("int")
+    dealt = rows.join(marks, key, "left").withColumn("part_", F.when(F.col("hot_") | F.col(key).isNull(), part).otherwise(0)).drop("hot_")
+    parts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = other.join(marks, key, "left").withColumn("part_", F.explode(parts)).drop("hot_")
+    return dealt.join(copies, [key, "part_"], how).drop("part_")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,38 +8,55 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import column
 from gridloom.llm.forest import Tree, random_forest
 
-#: A private key block, or a run of 16 token characters or more with a digit among them.
+#: A private key block of any length; its body holds no dash, but for header lines.
+_KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:\s|\\[nr]){0,4}[A-Za-z-]{1,20}: [^\r\n\\]{0,200}){0,8}+[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+)
+#: A run of 16 token characters or more with a digit among them, and what pads it.
+_TOKEN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+"
+_NOT = r"\s\"'`,;<>(){}\[\]"
+#: A word that names a secret and what stands between it and its value; and the same in a URL.
+_NAMED = (
+    r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|signing[_ -]?key)"
+    r"[\w-]{0,20}[\"'`\])]{0,2}[ \t]{0,2}(?:=>|:=|[=:])[ \t]{0,2}(?:(?i:bearer|basic|token)[ \t]{1,2})?[\"'`]?"
+)
+_IN_URL = r"://[^\s/:@\"'<>]{1,60}:"
+#: After such a name any value of six characters or more will do, with a digit or without.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+    rf"{_NAMED}(?:{_KEY_BLOCK}|{_TOKEN}(?![^{_NOT}]{{0,3}}[A-Za-z0-9])|[^{_NOT}]{{5,}}[^{_NOT}.!?:])"
+    rf"|{_IN_URL}[^\s/@\"'<>]{{3,}}(?=@)|{_KEY_BLOCK}|{_TOKEN}"
 )
+#: What precedes the value within a candidate's match.
+LEAD = rf"^(?:{_NAMED}|{_IN_URL})"
 #: Formats that some issuers give their keys.
 ISSUED = (
     r"^(?:-----BEGIN|(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_|glpat-|xox[abprs]-"
     r"|sk_live_|sk-[A-Za-z0-9]{20}|AIza[0-9A-Za-z_-]{35}$|npm_[A-Za-z0-9]{36}$|eyJ[A-Za-z0-9_-]{10,})"
 )
 #: Words beside a value that name a secret, and such as name something harmless.
-NAMES = r"(?i)(?:token|secret|passw|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private|bearer|signing)[\w -]{0,20}[\"']?\s*(?:[=:]|=>|is)?\s*[\"']?$"
+NAMES = r"(?i)(?:token|secret|passw|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private|bearer|signing)[\w -]{0,20}[\"']?\s*(?:[=:]|=>|is)?\s*[\"']?$|://[^\s/:@]{1,60}:$"
 HARMLESS = r"(?i)(?:sha\d*|md5|commit|checksum|digest|uuid|guid|revision|hash|example|sample|dummy|placeholder|phone|tel|card|iban|isbn|order|invoice|ref|version|build)\W{0,4}\w{0,10}\W{0,4}$"
 #: Dictionary of the coverage feature.
 DICTIONARY = (
     "account|admin|assets|backup|build|cache|change|class|client|cloud|code|config|content|data|default|demo|dist|docs|"
     "download|dummy|example|file|first|image|index|insert|item|library|local|mail|main|module|name|node|number|page|"
     "placeholder|private|product|project|public|release|report|sample|script|server|service|session|source|static|"
-    "system|table|test|this|update|upload|user|value|version|your|word|xxxx|0000|1234|abcd"
+    "system|table|test|this|update|upload|user|value|version|your|word|xxxx|0000|1234|abcd|"
+    "password|passwd|secret|token|auth|bearer|required|optional|string|none|null|true|false|undefined|changeme|change|"
+    "hidden|redacted|enter|here|getenv|environ|process|self|request|response|type|field|input|must|with|from|\\*\\*\\*"
 )
 FEATURES = (
     "length", "digits", "upper", "symbols", "hex", "distinct", "transitions", "runs", "coverage",
-    "path", "named", "harmless", "quoted", "assigned", "issued",
+    "path", "named", "harmless", "quoted", "assigned", "issued", "marks", "letters",
 )
-#: Names of the columns that scanning adds and takes away again.
-_GAPS, _FOUND = "gridloom_gaps_", "gridloom_found_"
 
 
 def _share(value: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(value, f"[^{kept}]", "")) / F.length(value)
+    dropped = f"[{kept[1:]}]" if kept.startswith("^") else f"[^{kept}]"
+    return F.length(F.regexp_replace(value, dropped, "")) / F.length(value)
 
 
 def _features(value: Column, before: Column, after: Column) -> Column:
@@ -59,31 +76,38 @@ def _features(value: Column, before: Column, after: Column) -> Column:
         (count(turns) / n).alias("transitions"),
         F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), F.length)).cast("double").alias("runs"),
         (1 - F.length(F.regexp_replace(F.lower(value), DICTIONARY, "")) / n).alias("coverage"),
-        flag(before.rlike(r"(?:[/\\@.~]|https?:\S*)$") | value.rlike("/.*/") | after.rlike(r"^[/\\@.]\w")).alias("path"),
+        flag(before.rlike(r"(?:[/\\@.~]|https?:\S*)$") | value.rlike("/.*/") | after.rlike(r"^(?:[/\\@.]\w|[(\[{])")).alias("path"),
         flag(before.rlike(NAMES)).alias("named"),
         flag(before.rlike(HARMLESS)).alias("harmless"),
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).alias("quoted"),
         flag(before.rlike(r"[=:]>?\s*[\"'`]?$")).alias("assigned"),
         flag(value.rlike(ISSUED)).alias("issued"),
+        _share(value, "^A-Za-z0-9_+/=-").alias("marks"),
+        flag(value.rlike("^[A-Za-z]+$")).alias("letters"),
     )
 
 
-def _candidates(df: DataFrame, text: Column) -> DataFrame:
-    """Adds the gaps between candidates and, for each, its value, place and features."""
-    text = F.coalesce(text, F.lit(""))
-    gaps = F.split(text, CANDIDATE, -1)
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    df = df.withColumn(_GAPS, gaps).withColumn(_FOUND, values)
+def _candidates(docs: DataFrame, text: Column, *kept: Column) -> DataFrame:
+    """``kept``, the gaps between candidates, and for each candidate its lead, value and features."""
+    df = docs.select(*kept, F.coalesce(text, F.lit("")).alias("body"))
+    df = df.withColumn("gaps", F.split("body", CANDIDATE, -1)).withColumn("found", F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0)))
+
+    def parts(match: Column) -> Column:
+        lead = F.regexp_extract(match, LEAD, 0)
+        return F.struct(lead.alias("lead"), F.substr(match, F.length(lead) + 1).alias("value"))
 
-    def describe(value: Column, i: Column) -> Column:
-        gap, following = F.get(F.col(_GAPS), i), F.get(F.col(_GAPS), i + 1)
+    def describe(c: Column, i: Column) -> Column:
+        gap, following = F.get(F.col("gaps"), i), F.get(F.col("gaps"), i + 1)
+        before = F.right(F.concat(F.right(gap, F.lit(48)), c["lead"]), F.lit(80))
         return F.struct(
-            value.alias("value"),
-            F.length(gap).alias("gap"),
-            _features(value, F.right(gap, F.lit(48)), F.left(following, F.lit(16))).alias("f"),
+            c["lead"].alias("lead"),
+            c["value"].alias("value"),
+            (F.length(gap) + F.length(c["lead"])).alias("gap"),
+            _features(c["value"], before, F.left(following, F.lit(16))).alias("f"),
         )
 
-    return df.withColumn(_FOUND, F.transform(_FOUND, describe))
+    df = df.withColumn("found", F.transform("found", parts))
+    return df.withColumn("found", F.transform("found", describe)).drop("body")
 
 
 def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
@@ -110,7 +134,33 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
             return rng.choice(["ghp_" + pick(low + up + dig, 36), "AKIA" + digit(pick(up + dig, 16)), "sk_live_" + digit(pick(low + dig, 24)), "xoxb-" + pick(dig, 12) + "-" + pick(low + dig, 24)])
         return digit(pick(low + up + dig + "_-", rng.randint(24, 48)))
 
+    def password() -> str:
+        kind = rng.randrange(4)
+        if kind == 0:
+            return word().capitalize() + word() + pick(dig, rng.randint(2, 4)) + pick("!@#$%&*", rng.randint(0, 2))
+        if kind == 1:
+            return pick(low + up + dig + "!@#$%^&*.", rng.randint(8, 15))
+        if kind == 2:
+            return (word() + word() + pick(dig, rng.randint(0, 4)) + word() + pick(dig, 2))[-14:]
+        return rng.choice(["", "-"]).join(word() + rng.choice(syllables) for _ in range(rng.randint(4, 6)))
+
+    def named() -> tuple[str, str]:
+        kind, lead = rng.randrange(6), rng.choice([f"{key()}: ", f"{key()} = ", f"{key()}=", f"{key()}: '"])
+        if kind == 0:
+            return lead, rng.choice(["required", "optional", "string", "undefined", "changeme", "redacted", "hidden", "your_password", "placeholder", "example"])
+        if kind == 1:
+            return lead.rstrip("'"), rng.choice(["get", "self", "config", "user", "request", "os", "new"]) + rng.choice([".", "_"]) + rng.choice(dictionary) + rng.choice(["", "_" + word(), "." + word(), "_" + rng.choice(dictionary)])
+        if kind == 2:
+            return f"{word()} {rng.choice(['secret', 'token', 'password'])}: ", (word() + rng.choice(syllables) + "ing")[:12]
+        if kind == 3:
+            return lead, rng.choice(["*", "x", "."]) * rng.randint(6, 12) + "x"
+        if kind == 4:
+            return lead.rstrip("'"), rng.choice(["Optional", "SecretStr", "String", "bytes.Buffer", "process.env.PASSWORD", "None|str", "varchar"])
+        return lead, word() + "_" + rng.choice(["token", "secret", "password", "key", "field"])
+
     def harmless() -> tuple[str, str]:
+        if rng.random() < 0.25:
+            return named()
         kind = rng.randrange(10)
         if kind == 0:
             return rng.choice(["", "card ", "order ", "+", "tel "]), pick(dig, rng.randint(16, 22))
@@ -139,28 +189,56 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int]]:
             lead = rng.choice([f'{key()} = "', f"{key()}={''}", f"{key()}: ", f'"{key()}": "', f"{key()} is ", f"{key()} "])
             if rng.random() < 0.06 and value[:4] in ("ghp_", "AKIA", "sk_l", "xoxb"):
                 lead = ""
+            elif rng.random() < 0.25:
+                value = password()
+                lead = rng.choice([f'{key()} = "', f"{key()}='", f"{key().upper()}=", f"{key()}: ", f"{word()}://{word()}:"])
+                if lead.endswith(":"):
+                    out.append((f"{some()} {lead}{value.replace('@', '!')}@{word()}.{word()}.com/x {some()}", 1))
+                    continue
         else:
             lead, value = harmless()
-        tail = '"' if lead.endswith('"') else rng.choice(["", ".", ",", "!!", "###"])
+        tail = lead[-1] if lead.endswith(('"', "'")) else rng.choice(["", ".", ",", "!!", "###"])
         out.append((f"{some()} {lead}{value}{tail} {some()}", i % 2))
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, trees: int = 25, depth: int = 6) -> list[Tree]:
+def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, trees: int = 25, depth: int = 7) -> list[Tree]:
     """A forest on labelled findings: texts whose first candidate is a secret (1) or is not (0)."""
     rows = labelled_findings() if findings is None else findings
     df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "i long, body string, y int")
-    found = _candidates(df, F.col("body")).where(F.size(_FOUND) > 0).select("i", "y", F.get(_FOUND, F.lit(0)).alias("c"))
+    found = _candidates(df, F.col("body"), F.col("i"), F.col("y")).where(F.size("found") > 0).select("i", "y", F.get("found", F.lit(0)).alias("c"))
     table = np.array(found.orderBy("i").select("y", *(F.col(f"c.f.{n}").cast("double").alias(n) for n in FEATURES)).collect(), float)
     return random_forest(table[:, 1:], table[:, 0], trees=trees, depth=depth)
 
 
-def _scored(df: DataFrame, text: Column, forest: list[Tree]) -> DataFrame:
+def _scored(docs: DataFrame, text: Column, forest: list[Tree], *kept: Column) -> DataFrame:
+    """``kept``, ``gaps`` and of each candidate ``lead, value, gap, score``."""
     names = [f"c.f.{n}" for n in FEATURES]
     votes = " + ".join(f"({t.sql(names)})" for t in forest)
-    df = _candidates(df, text)
-    return df.withColumn(
-        _FOUND, F.expr(f"transform({_FOUND}, c -> named_struct('value', c.value, 'gap', c.gap, 'score', ({votes}) / {len(forest)}D))")
+    scored = f"transform(found, c -> named_struct('lead', c.lead, 'value', c.value, 'gap', c.gap, 'score', ({votes}) / {len(forest)}D))"
+    return _candidates(docs, text, *kept).withColumn("found", F.expr(scored))
+
+
+#: Candidates that are placed at a time, so that a text of many takes no square of their number.
+_RUN = 256
+_PLACED = "array<struct<start:int,length:int,score:double,kind:string>>"
+
+
+def _placed(threshold: float) -> Column:
+    """Place, length, score and kind of the candidates over the threshold, by runs of candidates."""
+    run = f"""aggregate(slice(found, b * {_RUN} + 1, {_RUN}), named_struct('at', 0, 'out', cast(array() AS {_PLACED})),
+      (acc, c) -> named_struct('at', acc.at + c.gap + length(c.value), 'out',
+        CASE WHEN c.score >= {threshold}D THEN concat(acc.out, array(named_struct(
+          'start', acc.at + c.gap, 'length', length(c.value), 'score', c.score,
+          'kind', CASE WHEN startswith(c.value, '-----BEGIN') THEN 'private-key' WHEN c.value RLIKE '^[0-9a-f]{{16,}}$' THEN 'hex'
+                       WHEN length(c.value) < 16 OR NOT c.value RLIKE '[0-9]' THEN 'password' ELSE 'token' END)))
+        ELSE acc.out END))"""
+    runs = f"CASE WHEN size(found) > 0 THEN transform(sequence(0, (size(found) - 1) div {_RUN}), b -> {run}) ELSE array() END"
+    return F.expr(
+        f"""aggregate({runs}, named_struct('at', 0, 'out', cast(array() AS {_PLACED})),
+              (acc, r) -> named_struct('at', acc.at + r.at, 'out', concat(acc.out, transform(r.out,
+                s -> named_struct('start', s.start + acc.at, 'length', s.length, 'score', s.score, 'kind', s.kind)))),
+              acc -> acc.out)"""
     )
 
 
@@ -169,26 +247,16 @@ def scan_secrets(
 ) -> DataFrame:
     """``id_col, n_candidates, n_secrets, score, secrets``, a row for each row of ``docs``.
 
+    Candidates are private key blocks, runs of 16 token characters or more with a digit, and values
+    of six characters or more behind a word that names a secret, or between user and host of a URL.
     ``secrets`` holds place (characters before), length, score and kind of each candidate that the
     forest gives ``threshold`` or more; ``score`` is the highest of all candidates, 0 without one.
     Null and empty texts have no candidates. Repeated rows are scanned apiece; an empty table gives
     an empty one; other columns are not read. DataFrame functions only, and no shuffle.
     """
     forest = train(docs.sparkSession) if forest is None else forest
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    df = _scored(df, F.col("body"), forest)
-    placed = F.expr(
-        f"""aggregate({_FOUND},
-              named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,length:int,score:double,kind:string>>)),
-              (acc, c) -> named_struct('at', acc.at + c.gap + length(c.value), 'out',
-                CASE WHEN c.score >= {threshold}D THEN concat(acc.out, array(named_struct(
-                  'start', acc.at + c.gap, 'length', length(c.value), 'score', c.score,
-                  'kind', CASE WHEN startswith(c.value, '-----BEGIN') THEN 'private-key'
-                               WHEN c.value RLIKE '^[0-9a-f]+$' THEN 'hex' ELSE 'token' END)))
-                ELSE acc.out END),
-              acc -> acc.out)"""
-    )
-    df = df.select("id", F.size(_FOUND).cast("long").alias("n"), F.array_max(F.transform(_FOUND, lambda c: c["score"])).alias("top"), placed.alias("secrets"))
+    df = _scored(docs, column(text_col), forest, column(id_col).alias("id"))
+    df = df.select("id", F.size("found").cast("long").alias("n"), F.array_max(F.transform("found", lambda c: c["score"])).alias("top"), _placed(threshold).alias("secrets"))
     return df.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_candidates"),
@@ -204,18 +272,22 @@ def redact_secrets(
 ) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``mark``; other texts, and nulls, stay as they are.
 
-    ``length_col`` names a column that holds the text's length and follows it.
+    The word that names a secret stays. ``length_col`` names a column that holds the text's length
+    and follows it. Other columns pass through, whatever their names.
     """
     forest = train(docs.sparkSession) if forest is None else forest
-    df = _scored(docs, F.col(text_col), forest)
+    whole = F.struct(*(column(c).alias(c) for c in docs.columns)).alias("row")
+    df = _scored(docs, column(text_col), forest, whole)
     parts = F.transform(
-        F.col(_FOUND),
-        lambda c, i: F.concat(F.get(F.col(_GAPS), i), F.when(c["score"] >= threshold, F.lit(mark)).otherwise(c["value"])),
+        F.col("found"),
+        lambda c, i: F.concat(F.get(F.col("gaps"), i), c["lead"], F.when(c["score"] >= threshold, F.lit(mark)).otherwise(c["value"])),
     )
-    clean = F.concat(F.array_join(parts, ""), F.element_at(_GAPS, -1))
-    hit = F.exists(_FOUND, lambda c: c["score"] >= threshold)
-    df = df.withColumn(_FOUND, F.when(hit, clean))
-    columns = {text_col: F.coalesce(F.col(_FOUND), F.col(text_col))}
+    clean = F.concat(F.array_join(parts, ""), F.element_at("gaps", -1))
+    hit = F.exists("found", lambda c: c["score"] >= threshold)
+    df = df.select("row", F.when(hit, clean).alias("clean"))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out[text_col] = F.coalesce(F.col("clean"), out[text_col])
     if length_col is not None:
-        columns[length_col] = F.coalesce(F.length(_FOUND).cast(docs.schema[length_col].dataType), F.col(length_col))
-    return df.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+        kind = next(f.dataType for f in docs.schema if f.name == length_col)
+        out[length_col] = F.coalesce(F.length("clean").cast(kind), out[length_col])
+    return df.select(*(out[c].alias(c) for c in docs.columns))

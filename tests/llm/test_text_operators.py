@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridloom.llm import decontam, langid, licenses, packing, rules, tokens
+from gridloom.llm import common, decontam, langid, licenses, packing, rules, tokens
 from gridloom.llm.queries import (
     op2_language_id,
     op3_packing,
@@ -163,6 +163,28 @@ def test_decontamination_equals_all_windows(spark, limit):
     assert decontam.decontaminate(frame.limit(0), bench, broadcast_bytes=limit).collect() == []
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, -1])
+def test_decontamination_beside_columns_of_any_name(spark, limit):
+    names = ["doc_id", "text", "at_", "near_", "decontam_", "a.b", "key_", "row_", "n_hit", "r_"]
+    passage = " ".join(f"w{i}" for i in range(14))
+    data = [(i, t, *"abcdefgh") for i, t in ((1, passage), (2, "clean"), (3, None))]
+    frame = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names[2:]))
+    bench = spark.createDataFrame([("x", passage, 1)], "item_id string, text string, `win` int")
+    found = {r["doc_id"]: tuple(r)[1:4] for r in decontam.decontaminate(frame, bench, broadcast_bytes=limit).collect()}
+    assert found == {1: (14, 14, 1), 2: (1, 0, 0), 3: (0, 0, 0)}
+    kept = decontam.drop_contaminated(frame, bench, broadcast_bytes=limit)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == data[1:]
+
+
+def test_a_passage_that_many_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i % 3}") for i in range(60)] + [(100 + i, passage) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, "x " + passage)], "item_id long, text string")
+    rows = [decontam.decontaminate(docs, bench, broadcast_bytes=n).collect() for n in (decontam.BROADCAST_BYTES, -1)]
+    assert sorted(rows[0]) == sorted(rows[1]) and all(r["n_hit"] == 12 and r["n_items"] == 2 for r in rows[0])
+
+
 def test_decontamination_query(spark, tiny):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     docs = docs_of(spark, tiny)
