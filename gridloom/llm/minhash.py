@@ -17,8 +17,11 @@ from gridloom.llm.common import (
     LOWER_ASCII,
     WORDS,
     SharedTables,
+    column,
     focus,
     gram_hashes,
+    hot_keys,
+    join_split,
     list_array,
     mix64,
     prepare,
@@ -181,11 +184,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params, tables: SharedTable
 
     sets = docs.join(ids, "id", "left_semi").select("id", full_set.asNondeterministic()("body").alias("set_"))
     sets = tables.keep(sets)  # both sides of the join read it
-    common = F.size(F.array_intersect("x.set_", "y.set_")).cast("long")
-    union = F.size("x.set_").cast("long") + F.size("y.set_") - common
+    common = F.size(F.array_intersect("x_", "y_")).cast("long")
+    union = F.size("x_").cast("long") + F.size("y_") - common
     return tables.keep(
-        pairs.join(sets.alias("x"), F.col("a") == F.col("x.id"))
-        .join(sets.alias("y"), F.col("b") == F.col("y.id"))
+        join_split(pairs, sets.select(F.col("id").alias("a"), F.col("set_").alias("x_")), "a", "b")
+        .join(sets.select(F.col("id").alias("b"), F.col("set_").alias("y_")), "b")
         .where(100 * common >= p.percent * union)
         .select("a", "b")
         .distinct()
@@ -211,8 +214,10 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
     files = -(-before[0] // FILE_EDGES)  # no round has more edges than the last
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        degrees = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = degrees.select("u", F.least("u", "m").alias("m"))
+        centres = hot_keys(degrees, "u", "n", 2 * before[0])
+        hung = join_split(both, least, "u", "v", centres).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hung = tables.save(hung, f"{name}-{step}-large", files)
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         small = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -230,7 +235,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. A text with fewer words than
     a shingle is one shingle; null texts and those without words have none and are linked with
     nothing. ``component_id`` is the least id reachable over links, ``kept`` whether that is the
-    row's own. Repeated rows of one id are one document. Rows with a null id are judged by their
+    row's own. Repeated rows of one id are one document; rows of one id with different texts are
+    judged by their texts. Rows with a null id are judged by their
     text: they fall to a document with the same set, else their component is null and they are kept.
     An empty table gives an empty one; other columns are not read.
 
@@ -243,35 +249,46 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     """
     spark = docs.sparkSession
     prepare(spark)
-    p = params
+    with SharedTables(spark, "near-duplicates") as tables:
+        body = docs.select(column(id_col).alias("id"), column(text_col).alias("body"))
+        return _judged(tables, body, params, id_col)
+
+
+def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> DataFrame:
     sketch = ["m", *(f"o{i}" for i in range(p.sketch_words))]
-    tables = SharedTables(spark, "near-duplicates")
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     signed = tables.keep(_signed(body, p))
-    groups = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    files = -(-signed.count() // FILE_NODES) or 1
-    nodes = signed.join(groups, "key").where("id = rep").dropDuplicates(["key", "id"]).select("id", "n", "bands", *sketch)
-    nodes = tables.keep(nodes)
+    total = signed.count()
+    files = -(-total // FILE_NODES) or 1
     body = body.where("id is not null")
+    # of the copies of a set the least id stands for all, with what the first such row carries
+    copies = (
+        signed.where("key is not null")
+        .groupBy("key")
+        .agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", *sketch), "id").alias("s_"), F.count("*").alias("copies"))
+    )
+    copies = tables.keep(copies)
+    nodes = copies.where("rep is not null").select(F.col("rep").alias("id"), "s_.*")
 
     spread = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     hubs = (
         spread.groupBy("bucket")
         .agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub"))
         .where("members > 1")
-        .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+        .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
     )
-    crowded = tables.save(spread.join(hubs, "bucket"), "crowded", files)
+    hubs = tables.save(hubs, "hubs", files)
+    members = hubs.agg(F.sum("members")).first()[0] or 0
+    crowded = join_split(spread, hubs.drop("members"), "bucket", "id", hot_keys(hubs, "bucket", "members", members))
+    crowded = tables.save(crowded, "crowded", files)
+    hot_hubs = hot_keys(hubs.groupBy("hub").agg(F.sum("members").alias("n")), "hub", "n", members)
 
     def placed(reached: DataFrame | None, name: str) -> DataFrame:
         """The crowded buckets' members with their component and that of their hub."""
         if reached is None:
             return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
-        found = (
-            crowded.join(reached.select("id", F.col("component").alias("c")), "id", "left")
-            .join(reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "left")
-            .select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
-        )
+        found = crowded.join(reached.select("id", F.col("component").alias("c")), "id", "left")
+        found = join_split(found, reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "id", hot_hubs, "left")
+        found = found.select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
         return tables.save(found, name, files)
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
@@ -290,9 +307,10 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         return members.where((F.col("c") != F.col("hub_c")) & (F.col("id") != F.col("hub")) & _may_link(F.col("n"), F.col("hub_n"), p))
 
     def sketched(pairs: DataFrame) -> DataFrame:
+        hub_faces = faces.select(F.col("id").alias("a"), F.struct("n", *sketch).alias("x"))
         return (
-            pairs.join(faces.alias("x"), F.col("a") == F.col("x.id"))
-            .join(faces.alias("y"), F.col("b") == F.col("y.id"))
+            join_split(pairs, hub_faces, "a", "b", hot_hubs)
+            .join(faces.select(F.col("id").alias("b"), F.struct("n", *sketch).alias("y")), "b")
             .where(_sketches_allow("x", "y", p))
             .select("a", "b")
         )
@@ -318,27 +336,26 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         & (F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     reached = joined(across.distinct(), reached, "across")
-    found = (
-        signed.select("id", "n", "key")
-        .join(groups, "key", "left")
-        .withColumn("rep", F.coalesce("rep", "id"))
-        .join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .withColumn("component_id", F.coalesce("component", "rep"))
-    )
+    reps = copies.select("key", "rep", "copies").join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    reps = reps.select("key", F.coalesce("component", "rep").alias("least"), "copies")
+    known = join_split(signed.select("id", "n", "key"), reps.drop("copies"), "key", "id", hot_keys(reps, "key", "copies", total), "left")
+    found = known.withColumn("component_id", F.coalesce("least", "id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
     found = tables.save(found, "found", files)
-    tables.release()
     tables.drop(*(name for name in tuple(tables.saved) if name != "found"))
     return found
 
 
 def drop_near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with one of each group of near-duplicates, with their own columns."""
+    """The documents with one of each group of near-duplicates, with their own columns whatever their names.
+
+    An id goes if none of its rows is kept.
+    """
     found = near_duplicates(docs, params, id_col=id_col, **options)
-    tables = SharedTables(docs.sparkSession, "near-duplicate-ids")
-    gone = tables.save(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), "gone")
+    gone = found.where(column(id_col).isNotNull()).groupBy(column(id_col).alias("gone_")).agg(F.bool_or("kept").alias("any_")).where("not any_").select("gone_")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(F.struct(*(column(c).alias(c) for c in docs.columns)).alias("row_"), column(id_col).alias("id_"))
+    kept = whole.join(gone, F.col("id_") == F.col("gone_"), "left_anti")
+    return kept.select(*(F.col("row_").getField(c).alias(c) for c in docs.columns))

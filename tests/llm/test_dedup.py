@@ -2,10 +2,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import minhash
+from gridloom.llm import common, minhash
 from gridloom.llm.common import SharedTables
 from gridloom.llm.queries import op1_near_dedup
 
@@ -129,3 +130,21 @@ def test_bands_and_sketches_pass_pairs_at_the_threshold(size):
     assert passed(0.8, trials) == trials
     assert passed(0.9, 50) == 50
     assert size < 400 or passed(0.6, 50) <= 2
+
+
+def test_one_id_with_different_texts_and_columns_of_any_name(spark):
+    data = [(1, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, "quite another text here", "x"), (3, "quite another text here", "x"), (4, "A b C d e f", "x"), (4, "A b C d e f", "x")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, `kept.x` string").withColumn("gone_", F.lit(1))
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame).collect())
+    assert found == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 1, False), (4, 1, False)]
+    left = minhash.drop_near_duplicates(frame)
+    assert left.columns == frame.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 2]
+
+
+def test_hot_groups_are_dealt_out_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40)]
+    texts = list(enumerate([*near, *[near[3]] * 30, *[None] * 20, *[f"single {i} text of its own kind" for i in range(40)]]))
+    assert rows_of(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)
