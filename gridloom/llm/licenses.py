@@ -64,11 +64,12 @@ def base_places(raw: bytes) -> tuple[list[int], set[str]]:
     places, labels = [], set()
     for phrase, label in PHRASES.items():
         sought = b" " + phrase.encode() + b" "
-        at = line.find(sought)
+        at, before, n = line.find(sought), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            n += line.count(b" ", before, at)
+            places.append(n)
             labels.add(label)
-            at = line.find(sought, at + 1)
+            before, at = at, line.find(sought, at + 1)
     return places, labels
 
 
@@ -153,11 +154,29 @@ class TemplateJoin:
                 most, left, right = len(counts), lo, at - 1
         return out
 
+    def peak(self, name: str, words: list[tuple[int, bytes]]) -> tuple[int, int, float]:
+        """(first line, last line, containment) of the run within ``reach`` that has the most tokens."""
+        tokens, reach = set(self.tokens[name]), self.reach[name]
+        hits = [(place, line, w) for place, (line, w) in enumerate(words) if w in tokens]
+        counts: Counter[bytes] = Counter()
+        lo, best = 0, (0, 0, 0)
+        for place, line, w in hits:
+            counts[w] += 1
+            while hits[lo][0] <= place - reach:
+                gone = hits[lo][2]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+                lo += 1
+            if len(counts) > best[2]:
+                best = (hits[lo][1], line, len(counts))
+        return best[0], best[1], best[2] / len(tokens)
+
     def text(self, raw: bytes) -> list[tuple[int, int, str, float]]:
         """(first line, lines, template, containment) of a text's blocks, which are lines and windows over line ends.
 
         A window counts where it overlaps no line that meets its template's threshold, or has more
-        of the template than all such lines of the text.
+        of the template than all such lines of the text; the one of most tokens is always among them.
         """
         present = set(words_of(raw))
         if self.prefix.keys().isdisjoint(present):
@@ -175,6 +194,9 @@ class TemplateJoin:
             found = set(self.windows(name, words, alone.keys()))
             if alone and (best := max(alone.values())) < 1:
                 found |= {x for x in self.windows(name, words, set()) if x[2] > best}
+            top = self.peak(name, words)
+            if top[2] > max([*alone.values(), *(x[2] for x in found)], default=0) and top[2] * len(self.tokens[name]) >= self.need[name]:
+                found.add(top)
             out += [(a, z - a + 1, name, share) for a, z, share in sorted(found)]
         return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from gridloom.llm.licenses import PHRASES, REACH, TEMPLATES, THRESHOLD
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,10 +48,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_words('text', _ALNUM)} A
 f AS (SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {_values([(v, k) for k, v in PHRASES.items()])}) t(label, phrase)),
 b AS (SELECT doc_id, label, i - 1 AS place FROM d, f, unnest(range(1, len(w) - len(p) + 2)) t(i) WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z FROM b GROUP BY 1),
-t AS (SELECT label, list_distinct({_words('body', _ALNUM)}) AS p FROM (VALUES {_values(list(TEMPLATES.items()))}) t(label, body)),
+t AS (SELECT label, list_distinct({_words('body', _ALNUM)}) AS p, {REACH} * len({_words('body', _ALNUM)}) AS reach FROM (VALUES {_values(list(TEMPLATES.items()))}) t(label, body)),
 lines AS (SELECT doc_id, list_distinct({_words('line', _ALNUM)}) AS w FROM d, unnest(string_split(text, chr(10))) t(line)),
 share AS (SELECT doc_id, label, len(list_intersect(lines.w, p))::DOUBLE / len(p) AS share FROM lines, t WHERE len(lines.w) >= {THRESHOLD} * len(p) - 1e-9),
-m AS (SELECT doc_id, label, max(share) AS share FROM share WHERE share >= {THRESHOLD} - 1e-9 GROUP BY 1, 2),
+near AS (SELECT doc_id, w, label, p, reach FROM d, t WHERE len(list_intersect(list_distinct(w), p)) >= {THRESHOLD} * len(p) - 1e-9),
+runs AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[i : i + reach - 1]), p))::DOUBLE / len(p) AS share
+         FROM near, unnest(range(1, len(w) + 1)) t(i) WHERE list_contains(p, w[i])),
+m AS (SELECT doc_id, label, max(share) AS share FROM (SELECT * FROM share UNION ALL SELECT * FROM runs) WHERE share >= {THRESHOLD} - 1e-9 GROUP BY 1, 2),
 names AS (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM b GROUP BY 1),
 al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM names GROUP BY 1),

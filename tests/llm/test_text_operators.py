@@ -7,11 +7,13 @@ import struct
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from gridloom.llm import common, decontam, langid, licenses, packing, rules, tokens
 from gridloom.llm.queries import (
+    ORACLE_SQL,
     op2_language_id,
     op3_packing,
     op4_decontamination,
@@ -20,6 +22,7 @@ from gridloom.llm.queries import (
     op10_license_scan,
     tokenizer,
 )
+from tests.oracle import compare
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -381,9 +384,22 @@ def test_license_notices_that_are_wrapped(spark):
     for i, text in enumerate(texts):
         best = {name: best_window(text, body) for name, body in licenses.TEMPLATES.items()}
         found = {name: max((b["containment"] for b in rows[i]["blocks"] if b["template"] == name), default=0) for name in best}
-        assert {n for n in best if best[n]} == {n for n in found if found[n]}
+        assert found == best and rows[i]["score"] == (1 if rows[i]["n_base"] else max(best.values()))
         for b in rows[i]["blocks"]:
             part = set(ALNUM.findall("\n".join(text.split("\n")[b["line"] : b["line"] + b["lines"]]).translate(LOWER)))
             template = set(ALNUM.findall(licenses.TEMPLATES[b["template"]].translate(LOWER)))
             assert licenses.THRESHOLD - 1e-9 <= b["containment"] <= len(part & template) / len(template)
     assert rows[len(texts) - 1]["labels"] == ""
+
+
+def test_wrapped_notices_equal_the_sql(spark):
+    rng = random.Random(4)
+    pool = [w for t in licenses.TEMPLATES.values() for w in t.split()]
+    texts = [textwrap.fill(body, width) for body in licenses.TEMPLATES.values() for width in (12, 30, 80)]
+    texts += ["\n".join(" ".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(30)) for _ in range(40)]
+    texts += ["\n\n".join(rng.sample(texts, 3)) for _ in range(30)] + [None, "", "apache license " * 3000]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("blocks")
+    assert compare(found, db, ORACLE_SQL["op10_license_scan"]) == len(texts)
