@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import prepare
+from gridloom.llm.common import column, prepare
 from gridloom.llm.forest import Boosted, boost
 
 #: Elements whose content is no markup, or never shown as text; they run to their end tag.
@@ -577,5 +577,5 @@ def extract_main_text(
     def main_text(page: pa.Array) -> pa.Array:
         return pa.array(extract([x or "" for x in page.to_pylist()], sent.value), pa.string())
 
-    found = pages.select(F.col(id_col), F.col(url_col), main_text.asNondeterministic()(F.col(html_col)).alias("text"))
+    found = pages.select(column(id_col).alias(id_col), column(url_col).alias(url_col), main_text.asNondeterministic()(column(html_col)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ALNUM, prepare, raw_texts
+from gridloom.llm.common import ALNUM, column, prepare, raw_texts
 
 #: Phrases of the base rule and their labels.
 PHRASES = {
@@ -216,7 +216,7 @@ def token_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, te
             {"token": pa.array([w.decode() for w in found]), "n": pa.array(list(found.values()), pa.int64())}
         )
 
-    rows = docs.select(text_col).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = docs.select(column(text_col)).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"].encode(): r["n"] for r in rows.collect()}
 
 
@@ -278,5 +278,5 @@ def license_scan(
         kinds = [*((n, t) for n, t, _ in _FIELDS), ("blocks", _BLOCK)]
         return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
-    scanned = docs.select(F.col(id_col), scan.asNondeterministic()(F.col(text_col)).alias("r_"))
-    return scanned.select(id_col, *(F.col(f"r_.{n}").alias(n) for n, *_ in _FIELDS), F.col("r_.blocks").alias("blocks"))
+    scanned = docs.select(column(id_col).alias(id_col), scan.asNondeterministic()(column(text_col)).alias("r_"))
+    return scanned.select(column(id_col), *(F.col(f"r_.{n}").alias(n) for n, *_ in _FIELDS), F.col("r_.blocks").alias("blocks"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import prepare, raw_texts
+from gridloom.llm.common import column, prepare, raw_texts
 from gridloom.llm.pieces import Memo, as_bytes, measure_each, memo_for
 
 #: Words of one generation of a worker's memo.
@@ -102,7 +102,7 @@ def pack_power_of_two(
     if sequence_length & (sequence_length - 1) or sequence_length < 1:
         raise ValueError("sequence_length must be a power of two")
     prepare(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = next(f.dataType for f in docs.schema if f.name == id_col).simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,16 @@ def pack_power_of_two(
                 )
 
     schema = f"`{id_col}` {id_type}, start long, length long, ids binary, doc_tokens long"
-    packed = docs.select(id_col, text_col).mapInArrow(pieces, schema)
+    packed = docs.select(column(id_col), column(text_col)).mapInArrow(pieces, schema)
     return packed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn(
         "offset", F.lit(0).cast("long")
     )
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write pieces as Parquet, a folder for each length: batches of a folder need no padding.
+
+    Each task writes its own pieces of a length, so nothing is shuffled; ``packed`` may be repartitioned
+    by ``length`` and a hash beforehand where fewer files are wanted.
+    """
+    packed.write.mode("overwrite").partitionBy("length").parquet(path)

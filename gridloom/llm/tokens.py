@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import prepare, raw_texts
+from gridloom.llm.common import column, prepare, raw_texts
 from gridloom.llm.pieces import Memo, memo_for
 
-#: A run of ASCII white space belongs to what follows it; the tokenizer's pattern starts a new
-#: pre-token at each such place, so chunks can be counted apart.
-CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Further white space (or what some library takes as such): a text with it is encoded whole.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: A run of white space belongs to what follows it; the tokenizer's pattern starts a new pre-token at
+#: each such place, so chunks can be counted apart.
+CHUNK = re.compile(rb"[ \t-\r]*+[^ \t-\r]++|[ \t-\r]++")
+#: White space beyond ASCII, and the chunks of a text that has some.
+_WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+WIDE_SPACE = re.compile(_WIDE)
+WIDE_CHUNK = re.compile(rb"(?:[ \t-\r]|%s)*+(?:(?![ \t-\r]|%s)[\s\S])++|(?:[ \t-\r]|%s)++" % ((_WIDE,) * 3))
 
 
 def count_tokens(texts: list[bytes], path: str) -> list[int]:
@@ -37,10 +39,8 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
         tables.clear()
 
     for i, raw in enumerate(texts):
-        if not raw.isascii() and OTHER_SPACE.search(raw.decode("utf-8")) or re.search(rb"[\x1c-\x1f]", raw):
-            out[i] = len(memo.ids(raw.decode("utf-8")))
-            continue
-        tables.append((i, Counter(CHUNK.findall(raw))))
+        wide = not raw.isascii() and WIDE_SPACE.search(raw)
+        tables.append((i, Counter((WIDE_CHUNK if wide else CHUNK).findall(raw))))
         size += len(raw)
         if size > 4_000_000:
             settle()
@@ -66,8 +66,8 @@ def token_counts(
         return pa.array(count_tokens(raw_texts(text), tokenizer_path), pa.int64())
 
     counted = docs.select(
-        F.col(id_col),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        tokens.asNondeterministic()(F.col(text_col)).alias("n_tokens"),
+        column(id_col).alias(id_col),
+        F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
+        tokens.asNondeterministic()(column(text_col)).alias("n_tokens"),
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

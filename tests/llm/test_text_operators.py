@@ -80,6 +80,16 @@ def test_token_counts_of_random_strings():
     ]
 
 
+def test_token_counts_with_white_space_of_all_kinds():
+    lib, rng = library("byte_bpe_50k.json"), random.Random(7)
+    spaces = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    others = ["a", "Word", "é", "12", ".", ",", "'s", "***", "<|endoftext|>", "日", "!", "\u0301"]
+    texts = ["".join(rng.choice(spaces if rng.random() < 0.45 else others) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    assert tokens.count_tokens([t.encode() for t in texts], tokenizer("byte_bpe_50k.json")) == [
+        len(x.ids) for x in lib.encode_batch_fast(texts, add_special_tokens=False)
+    ]
+
+
 def test_packing_round_trip(spark, tiny, odd):
     lib = library("word_bpe_49k.json")
     found = packing.pack_power_of_two(odd, tokenizer("word_bpe_49k.json")).collect()
@@ -105,6 +115,16 @@ def test_packing_round_trip(spark, tiny, odd):
         packing.pack_power_of_two(odd, tokenizer("word_bpe_49k.json"), sequence_length=1000)
 
 
+def test_buckets_hold_pieces_of_one_length(spark, odd, tmp_path):
+    packed = packing.pack_power_of_two(odd, tokenizer("word_bpe_49k.json"))
+    packing.write_buckets(packed, f"file://{tmp_path}/packed")
+    folders = {p.name for p in (tmp_path / "packed").glob("length=*")}
+    assert folders == {f"length={r[0]}" for r in packed.select("length").distinct().collect()}
+    again = spark.read.parquet(f"file://{tmp_path}/packed")
+    key = lambda df: sorted((str(r["doc_id"]), r["start"], r["length"], bytes(r["ids"])) for r in df.collect())
+    assert key(again) == key(packed)
+
+
 def test_packing_of_random_strings():
     lib, rng = library("word_bpe_49k.json"), random.Random(5)
     parts = [" ", "\n", "a", "Word", "É", "é", "12", ".", ",", "'s", "'", "***", " ", "<|endoftext|>", "İ", "日", "ß", "ñandú"]
