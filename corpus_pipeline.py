@@ -48,13 +48,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each earlier stage kept is a table in the shared folder."""
-    tables = SharedTables(spark, "corpus-pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = tables.save(stage(spark, docs, sf_dir), f"stage-{i}")
-        if i:
-            tables.drop(f"stage-{i - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with SharedTables(spark, "corpus-pipeline") as tables:
+        docs = table(spark, sf_dir, "documents")
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            docs = tables.save(stage(spark, docs, sf_dir), f"stage-{i}")
+            if i:
+                tables.drop(f"stage-{i - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Classifier, MinHash, forest and tokenizer cannot be put in SQL; tests hold the stages against plain Python.
