@@ -6,6 +6,7 @@ import argparse
 import importlib.util
 import json
 import sys
+from pathlib import Path
 
 from pydantic import ValidationError
 from pyspark.sql import DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from gridloom import config
 from gridloom.errors import GridloomError
 from gridloom.operators.models import FACTORY
-from gridloom.plans import services
+from gridloom.operators.selection import refuse
+from gridloom.plans import serve, services
 from gridloom.plans.artifact import Artifact, compare
 from gridloom.plans.report import Report
 from gridloom.session import session
@@ -41,6 +43,13 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(flag, type=type(v) if v is not None else str, default=v)
 
     command("describe", "data", output=None)
+    command("explain", "artifact", "data", method="shapley", output=None)
+    command("text", "data", "column", "target", output=None)
+    command("embed", "data", "column", size=64, output=None)
+    command("serve", "artifact", host="127.0.0.1", port=8000)
+    command("mcp")
+    command("export", "artifact", "format")
+    command("init", "folder")
     command("quality", "data", html=None)
     command("drift", "reference", "current", threshold=0.2, output=None)
     command("fairness", "data", "target", "predicted", "sensitive", output=None)
@@ -48,8 +57,8 @@ def parser() -> argparse.ArgumentParser:
     command("forecast", "data", "column", horizon=12, method="auto", order=None, output=None)
     command("engineer", "data", target=None, output=None)
     command("cluster", "data", n_clusters=5, method="kmeans", features=(), output=None)
-    command("run", "data", "target", task="regression", engineer=False, tune=False, n_trials=10, save=None)
-    command("tune", "data", "target", task="regression", n_trials=10, save=None)
+    command("run", "data", "target", task="regression", engineer=False, tune=False, n_trials=10, test_size=0.2, save=None)
+    command("tune", "data", "target", task="regression", n_trials=10, tune_method="random", test_size=0.2, save=None)
     command("predict", "artifact", "data", output=None)
     command("validate", "artifact", "data")
     command("info", "artifact")
@@ -68,7 +77,7 @@ def show(df: DataFrame, output: str | None) -> None:
     if output:
         files.save(df, output)
     else:
-        for row in df.limit(1000).collect():
+        for row in df.toLocalIterator():
             print(json.dumps(row.asDict(recursive=True), default=str))
 
 
@@ -85,6 +94,12 @@ def main(argv: list[str] | None = None) -> int:
         with open(a.path, "x", encoding="utf-8") as f:
             f.write(TEMPLATE)
         return 0
+    if a.command == "init":
+        folder = Path(a.folder)
+        (folder / "data").mkdir(parents=True)
+        (folder / "pipeline.yaml").write_text(TEMPLATE.replace("data.parquet", "data/data.parquet"), encoding="utf-8")
+        (folder / "README.md").write_text("Put a table into data/ and run: python -m gridloom.cli pipeline pipeline.yaml\n", encoding="utf-8")
+        return 0
     try:
         run(a)
     except (GridloomError, ValidationError, OSError) as error:
@@ -123,8 +138,26 @@ def run(a: argparse.Namespace) -> None:
         show(services.cluster(spark, config.ClusterConfig(data=a.data, n_clusters=a.n_clusters, method=a.method, features=tuple(a.features))), a.output)
     elif a.command in ("run", "tune"):
         tune = a.command == "tune" or a.tune
-        c = config.TrainConfig(data=a.data, target=a.target, task=a.task, engineer=getattr(a, "engineer", False), tune=tune, n_trials=a.n_trials, save=a.save)
+        c = config.TrainConfig(
+            data=a.data, target=a.target, task=a.task, engineer=getattr(a, "engineer", False), tune=tune, n_trials=a.n_trials,
+            tune_method=getattr(a, "tune_method", "random"), test_size=a.test_size, save=a.save,
+        )
         print(json.dumps(services.train(spark, c).metrics))
+    elif a.command == "explain":
+        show(services.explain(spark, a.artifact, a.data, a.method), a.output)
+    elif a.command == "text":
+        found, scores = services.text(spark, a.data, a.column, a.target)
+        print(json.dumps(scores))
+        if a.output:
+            show(found, a.output)
+    elif a.command == "embed":
+        show(services.embed(spark, a.data, a.column, a.size), a.output)
+    elif a.command == "serve":
+        serve.server(serve.Model(spark, a.artifact), a.host, a.port).serve_forever()
+    elif a.command == "mcp":
+        serve.serve_lines(serve.Tools(spark), sys.stdin, sys.stdout)
+    elif a.command == "export":
+        refuse(a.format)
     elif a.command == "predict":
         show(services.predict(spark, a.artifact, a.data), a.output)
     elif a.command == "validate":

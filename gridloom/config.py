@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from enum import Enum
-from typing import Annotated
+from typing import Annotated, Literal
 
 from pydantic import BaseModel, ConfigDict, Field
 
@@ -24,6 +24,11 @@ class TrainConfig(Config):
     engineer: bool = False
     tune: bool = False
     n_trials: Annotated[int, Field(ge=1, le=500)] = 50
+    tune_method: Literal["random", "halving"] = "random"
+    test_size: Annotated[float, Field(gt=0, lt=1)] = 0.2
+    objective: str | None = None  #: of the choice of model, where it is not the task
+    ensemble: Literal["voting", "stacking"] | None = None
+    advanced_cv: bool = False
     save: str | None = None
 
 

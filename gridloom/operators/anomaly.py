@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
+from gridloom.functions.joins import against_all, nearest
+from gridloom.functions.quantiles import exact_quantiles
 from gridloom.roles import require
+from gridloom.session import keep
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,39 +26,39 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return scaled.select(*df.columns, *z)
 
 
-def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 20, block: int = 2000, limit: int = 50_000) -> DataFrame:
+def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 20) -> DataFrame:
     """``key, lof``: exact local outlier factors in Euclidean distance.
 
-    Every row is a query against all rows: blocks of queries go to the tasks with the points, which
-    are few enough to send (at most ``limit`` rows; more raise an error, as the factor has no exact
-    form that avoids all distances). Ties of distance are broken by key.
+    Every row is a query against all rows, which come to the tasks in chunks of bounded size; of each
+    chunk a row keeps its k nearest, and of those the k nearest of all. The work is the square of the
+    number of rows, as the factor has no exact form that avoids all distances; the isolation forest
+    has no such cost. Ties of distance are broken by key; keys are unique, rows with a null left out.
     """
     require(df, key, *columns)
     points = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
-    n = points.limit(limit + 1).count()
-    if n > limit:
-        raise DataValidationError(f"over {limit} rows: sample them first, or use the isolation forest")
+    n = points.count()
     if n <= k:
         raise DataValidationError(f"local outlier factors need more than {k} rows")
-    table = points.orderBy("id").toPandas()
-    sent = df.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), table.drop(columns="id").to_numpy()))
 
-    def neighbours(batches):
-        ids, x = sent.value
-        norms = (x * x).sum(axis=1)
+    def neighbours(batches, chunk: pa.Table):
+        chunk = chunk.sort_by("id")
+        ids = chunk.column("id").to_numpy()
+        x = np.column_stack([chunk.column(i).to_numpy() for i in range(1, chunk.num_columns)])
+        step = max(1, 4_000_000 // max(len(ids), 1))
         for batch in batches:
-            at = np.searchsorted(ids, batch.column(0).to_numpy(zero_copy_only=False))
-            for lo in range(0, len(at), 256):
-                rows = at[lo : lo + 256]
-                d = np.sqrt(np.maximum(norms[rows, None] + norms - 2 * x[rows] @ x.T, 0))
-                d[np.arange(len(rows)), rows] = np.inf
-                near = np.lexsort((np.broadcast_to(np.arange(len(ids)), d.shape), d))[:, :k]
-                yield pa.RecordBatch.from_pydict(
-                    {"id": np.repeat(ids[rows], k), "other": ids[near].reshape(-1), "d": np.take_along_axis(d, near, 1).reshape(-1)}
-                )
+            mine = batch.column(0).to_numpy(zero_copy_only=False)
+            y = np.column_stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
+            for lo in range(0, len(mine), step):
+                at = mine[lo : lo + step]
+                q, other, d = nearest(y[lo : lo + step], x, k, at[:, None] == ids)
+                yield pa.RecordBatch.from_pydict({"id": at[q], "other": ids[other], "d": np.sqrt(d)})
 
     kind = points.schema["id"].dataType.simpleString()
-    near = points.select("id").repartition(-(-n // block)).mapInArrow(neighbours, f"id {kind}, other {kind}, d double").persist()
+    near, chunks = against_all(points, "id", neighbours, f"id {kind}, other {kind}, d double", 8 * (len(columns) + 1))
+    if chunks > 1:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+        near = near.withColumn("place_", place).where(F.col("place_") <= k).drop("place_")
+    near = keep(near)
     reach = near.groupBy("id").agg(F.max("d").alias("k_distance"))
     density = (
         near.join(reach.select(F.col("id").alias("other"), "k_distance"), "other")
@@ -76,57 +79,78 @@ def _path_average(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def _isolating_tree(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Random cuts of points: feature (-1 in leaves), cut, number of the left child (the right one follows), path length."""
+    most = math.ceil(math.log2(max(len(points), 2)))
+    feature, cut, child, length = [-1], [0.0], [0], [0.0]
+    todo = [(0, points, 0)]
+    while todo:
+        at, part, depth = todo.pop()
+        lo, hi = part.min(axis=0), part.max(axis=0)
+        if depth == most or len(part) < 2 or not (hi > lo).any():
+            length[at] = depth + _path_average(len(part))
+            continue
+        f = int(rng.choice(np.flatnonzero(hi > lo)))
+        c = float(rng.uniform(lo[f], hi[f]))
+        left = part[:, f] < c
+        if not left.any():  # the cut fell on the least value
+            c = float(np.nextafter(c, np.inf))
+            left = part[:, f] < c
+        feature[at], cut[at], child[at] = f, c, len(feature)
+        for side in (part[left], part[~left]):
+            todo.append((len(feature), side, depth + 1))
+            feature.append(-1)
+            cut.append(0.0)
+            child.append(0)
+            length.append(0.0)
+    return np.array(feature), np.array(cut), np.array(child), np.array(length)
+
+
 def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 100, rows: int = 256, seed: int = 42) -> DataFrame:
     """``key, score``: 2 ** (-mean path / expected path), near 1 for outliers.
 
-    Trees grow on samples of ``rows`` points each, the least by a seeded hash of the key, so the
-    driver sees ``trees * rows`` points at most; scoring is one map over all rows.
+    Each tree grows on ``rows`` points of a pool, the ``trees * rows`` rows of least seeded hash of
+    the key, so the driver sees no more; scoring is one map over all rows, tree by tree in numpy.
+    Rows with a null are left out.
     """
     require(df, key, *columns)
     x = [F.col(c).cast("double") for c in columns]
     base = df.where(" and ".join(f"`{c}` is not null" for c in columns))
-    drawn = base.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows * min(trees, 32)).select(*x).collect()
+    drawn = base.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows * trees).select(*x).collect()
     if not drawn:
         raise DataValidationError("no complete rows")
     pool, rng = np.array(drawn, float), np.random.default_rng(seed)
-
-    def grow(points: np.ndarray, depth: int):
-        lo, hi = (points.min(axis=0), points.max(axis=0)) if len(points) else (None, None)
-        if depth == 0 or len(points) < 2 or not (hi > lo).any():
-            return _path_average(len(points))
-        f = int(rng.choice(np.flatnonzero(hi > lo)))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        left = points[:, f] < cut
-        return (f, cut, grow(points[left], depth - 1), grow(points[~left], depth - 1))
-
     size = min(rows, len(pool))
-    forest = [grow(pool[rng.choice(len(pool), size, replace=False)], math.ceil(math.log2(max(size, 2)))) for _ in range(trees)]
+    forest = [_isolating_tree(pool[rng.choice(len(pool), size, replace=False)], rng) for _ in range(trees)]
     expected = _path_average(size) or 1.0
 
-    def depths(node, values: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
-        if not isinstance(node, tuple):
-            out[at] += depth + node
-            return
-        f, cut, low, high = node
-        left = values[at, f] < cut
-        depths(low, values, at[left], depth + 1, out)
-        depths(high, values, at[~left], depth + 1, out)
-
     @F.arrow_udf("double")
     def score(*parts: pa.Array) -> pa.Array:
         values = np.column_stack([p.to_numpy(zero_copy_only=False) for p in parts])
-        out = np.zeros(len(values))
-        for tree in forest:
-            depths(tree, values, np.arange(len(values)), 0, out)
-        return pa.array(np.exp2(-out / trees / expected))
+        n, width = values.shape
+        flat, first = values.reshape(-1), width * np.arange(n)
+        total = np.zeros(n)
+        for feature, cut, child, length in forest:
+            at, open_ = np.zeros(n, np.int64), np.arange(n)
+            while len(open_):
+                node = at[open_]
+                f = feature[node]
+                inner = f >= 0
+                open_, node, f = open_[inner], node[inner], f[inner]
+                at[open_] = child[node] + (flat[first[open_] + f] >= cut[node])
+            total += length[at]
+        return pa.array(np.exp2(-total / trees / expected))
 
     return base.select(key, score(*x).alias("score"))
 
 
 def flag_top(df: DataFrame, score: str, contamination: float) -> DataFrame:
-    """``is_anomaly``: scores strictly above the (1 - contamination) percentile."""
-    cut = df.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut_"))
-    return df.join(F.broadcast(cut), F.lit(True)).withColumn("is_anomaly", F.col(score) > F.col("cut_")).drop("cut_")
+    """``is_anomaly``: scores strictly above the (1 - contamination) percentile, which is exact; null scores are not."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.lit(0).alias("g_"), F.col(score).cast("double").alias("x_")).agg(F.count("*").alias("n_")).persist()
+    found = exact_quantiles(counts, "g_", "x_", "n_", [1 - contamination])
+    counts.unpersist()
+    cut = found[0][0] if found else None
+    return df.withColumn("is_anomaly", F.coalesce(F.col(score) > F.lit(cut), F.lit(False)))
 
 
 def consensus(df: DataFrame, flags: list[str], threshold: int = 2) -> DataFrame:

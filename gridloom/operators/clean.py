@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
+from gridloom.functions.draws import draw
+from gridloom.functions.quantiles import exact_quantiles
 from gridloom.roles import ColumnRoles, nan_to_null, require
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "outer", "semi": "left_semi", "anti": "left_anti"}
@@ -42,10 +44,11 @@ def clean(
         for test in tests:
             df = df if test is None else df.where(test)
         return df
-    df = df.persist()
+    whole = df.persist()
     for c in columns:
         test = within(c, *df.agg(*stats(df, c)).first())
         df = df if test is None else df.where(test)
+    whole.unpersist()
     return df
 
 
@@ -85,26 +88,31 @@ def integrate(left: DataFrame, right: DataFrame, on: str | list[str] | None, how
 
 
 def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
-    """``df`` with a boolean ``is_test``, from a hash of the row's key: the same rows every time.
+    """``df`` with a boolean ``is_test``, by a draw from the row's key: the same rows every time.
 
-    With ``by`` the share holds within each of its values, by rank of the hash.
+    With ``by`` the share holds within each of its values, which are few: rows below the quantile of
+    their value's draws, found without bringing a value's rows together. A null is a value.
     """
     require(df, key, *([by] if by else []))
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    u = draw(key, "split", seed)
     if by is None:
-        return df.withColumn("is_test", F.pmod(h, F.lit(10_000)) < int(test_share * 10_000))
-    w = Window.partitionBy(by).orderBy(h, F.col(key))
-    return df.withColumn("is_test", F.percent_rank().over(w) < test_share)
+        return df.withColumn("is_test", u < test_share)
+    counts = df.groupBy(F.struct(F.col(by).cast("string").alias("v")).alias("g"), u.alias("x")).agg(F.count("*").alias("n")).persist()
+    found = exact_quantiles(counts.select(F.to_json("g").alias("g"), "x", "n"), "g", "x", "n", [test_share])
+    counts.unpersist()
+    cuts = df.sparkSession.createDataFrame([(g, q[0]) for g, q in found.items()], "g_ string, cut_ double")
+    value = F.to_json(F.struct(F.col(by).cast("string").alias("v")))
+    return df.join(F.broadcast(cuts), value == F.col("g_"), "left").withColumn("is_test", F.coalesce(u < F.col("cut_"), F.lit(False))).drop("g_", "cut_")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold`` 0 to k-1 from the key's remainder after mixing; no shuffle."""
+    """``df`` with ``fold`` 0 to k-1 by a draw from the key; no shuffle."""
     if k < 2:
         raise DataValidationError("at least two folds")
     require(df, key)
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.floor(draw(key, "fold", seed) * k).cast("int"))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, those with the least hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, those with the least draw from the key."""
+    return df.orderBy(draw(key, "sample", seed), key).limit(n)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DriftDetectionError
-from gridloom.functions.quantiles import quantiles
+from gridloom.functions.quantiles import cumulate, exact_quantiles, quantiles
 from gridloom.roles import ColumnRoles
 
 
@@ -25,110 +26,150 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells)).where("x is not null and not isnan(x)")
 
 
+def _counts(reference: DataFrame, current: DataFrame, columns: list[str] | None) -> DataFrame:
+    """``feature, x, r, c``: how often each value stands in either table."""
+    columns = common_numeric(reference, current) if columns is None else columns
+    both = _values(reference, columns).withColumn("side", F.lit(0)).union(_values(current, columns).withColumn("side", F.lit(1)))
+    return both.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+
+
 def psi(
     reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, accuracy: int | None = None
 ) -> DataFrame:
     """``feature, psi``: population stability over quantile bins of the reference.
 
-    Edges are the distinct exact percentiles, the outer ones moved beyond both samples by one. A
-    value's bin is found against its feature's edges, which are a broadcast row for each feature;
-    both samples are counted in one aggregation. Fewer than two edges give 0. With ``accuracy`` the
-    percentiles are approximate and need bounded memory.
+    Edges are the distinct exact percentiles, the outer ones moved beyond both samples by one. Equal
+    values are counted once in either table; percentiles come from these counts cumulated over ranges
+    of values, and bins are sums of them. Fewer than two edges give 0, features that one table lacks
+    none. With ``accuracy`` the percentiles are approximate, by a sketch.
     """
-    columns = common_numeric(reference, current) if columns is None else columns
+    counts = _counts(reference, current, columns).persist()
+    try:
+        return _psi(counts, bins, accuracy)
+    finally:
+        counts.unpersist()
+
+
+def _psi(counts: DataFrame, bins: int, accuracy: int | None) -> DataFrame:
     at = [i / bins for i in range(bins + 1)]
-    ref, cur = _values(reference, columns), _values(current, columns)
-    inner = ref.groupBy("feature").agg(F.array_distinct(quantiles(F.col("x"), at, accuracy)).alias("e"))
-    span = cur.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    edges = inner.join(span, "feature").select(
-        "feature",
-        F.when(
-            F.size("e") >= 2,
-            F.concat(
-                F.array(F.least(F.get("e", F.lit(0)), "lo") - 1),
-                F.slice("e", 2, F.size("e") - 2),
-                F.array(F.greatest(F.element_at("e", -1), "hi") + 1),
-            ),
-        ).alias("e"),
-    )
-    sides = ref.withColumn("side", F.lit(0)).union(cur.withColumn("side", F.lit(1)))
-    binned = sides.join(F.broadcast(edges), "feature").select(
-        "feature", "side", F.when(F.col("e").isNull(), 1).otherwise(F.least(F.size(F.filter("e", lambda v: v <= F.col("x"))), F.size("e") - 1)).alias("bin")
-    )
-    counts = binned.groupBy("feature", "bin").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("r"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("c")
-    )
-    spine = edges.select("feature", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(F.size("e"), F.lit(2)) - 1, F.lit(1)))).alias("bin"))
-    w = Window.partitionBy("feature")
-    share = spine.join(counts, ["feature", "bin"], "left").fillna(0, ["r", "c"]).select(
-        "feature",
-        (F.try_divide(F.col("r").cast("double"), F.sum("r").over(w)) + 1e-4).alias("r"),
-        (F.try_divide(F.col("c").cast("double"), F.sum("c").over(w)) + 1e-4).alias("c"),
-    )
-    return share.groupBy("feature").agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
+    if accuracy is None:
+        inner = exact_quantiles(counts, "feature", "x", "r", at)
+    else:
+        inner = {r["feature"]: r["q"] for r in _sketched(counts, at, accuracy).collect()}
+    span = counts.where("c > 0").groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    edges = {}
+    for feature, lo, hi in span.collect():
+        if feature in inner:
+            e = sorted(set(inner[feature]))
+            edges[feature] = [min(e[0], lo) - 1, *e[1:-1], max(e[-1], hi) + 1] if len(e) >= 2 else None
+    spark = counts.sparkSession
+    if not edges:
+        return spark.createDataFrame([], "feature string, psi double")
+    known = spark.createDataFrame(list(edges.items()), "feature string, e array<double>")
+    place = F.when(F.col("e").isNull(), 1).otherwise(F.least(F.size(F.filter("e", lambda v: v <= F.col("x"))), F.size("e") - 1))
+    binned = counts.join(F.broadcast(known), "feature").groupBy("feature", place.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    shares: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in edges}
+    for feature, b, r, c in binned.collect():
+        shares[feature][b] = (r, c)
+    rows = []
+    for feature, found in shares.items():
+        n, m = (sum(v[i] for v in found.values()) for i in (0, 1))
+        total = 0.0
+        for b in range(1, len(edges[feature] or "12")):
+            r, c = found.get(b, (0, 0))
+            p, q = r / n + 1e-4, c / m + 1e-4
+            total += (q - p) * math.log(q / p)
+        rows.append((feature, total))
+    return spark.createDataFrame(rows, "feature string, psi double")
+
+
+def _sketched(counts: DataFrame, at: list[float], accuracy: int) -> DataFrame:
+    """Approximate percentiles of the reference: each value stands as often as it was counted."""
+    repeated = counts.where("r > 0").select("feature", "x", F.explode(F.sequence(F.lit(1).cast("long"), "r")))
+    return repeated.groupBy("feature").agg(quantiles(F.col("x"), at, accuracy).alias("q"))
 
 
 def ks_statistic(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``feature, statistic, n_ref, n_cur``: greatest distance of the two empirical distributions.
 
-    Equal values are counted first, then cumulated in two steps: within ranges of values that one
-    task sorts, and over the ranges' totals. No task sees all values of a feature.
+    Equal values are counted first, then cumulated within ranges of values and over the ranges'
+    totals. No task sees all values of a feature.
     """
-    columns = common_numeric(reference, current) if columns is None else columns
-    ref, cur = _values(reference, columns), _values(current, columns)
-    both = ref.select("feature", "x", F.lit(1).alias("r"), F.lit(0).alias("c")).union(
-        cur.select("feature", "x", F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    counts = both.groupBy("feature", "x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    ranged = counts.repartitionByRange("feature", "x").withColumn("part_", F.spark_partition_id()).persist()
-    within = Window.partitionBy("part_", "feature").orderBy("x")
-    parts = ranged.groupBy("feature", "part_").agg(F.sum("r").alias("pr"), F.sum("c").alias("pc"))
-    before = Window.partitionBy("feature").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("feature")
-    parts = parts.select(
-        "feature", "part_",
-        F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("bc"),
-        F.sum("pr").over(whole).alias("nr"), F.sum("pc").over(whole).alias("nc"),
-    )
-    gap = F.abs(
-        (F.col("br") + F.sum("r").over(within)) / F.col("nr") - (F.col("bc") + F.sum("c").over(within)) / F.col("nc")
-    )
-    return (
-        ranged.join(F.broadcast(parts.where("nr > 0 and nc > 0")), ["feature", "part_"])
-        .select("feature", gap.alias("gap"), "nr", "nc")
+    counts = _counts(reference, current, columns).persist()
+    try:
+        return _ks(counts)
+    finally:
+        counts.unpersist()
+
+
+def _ks(counts: DataFrame) -> DataFrame:
+    gap = F.abs(F.col("r_upto") / F.col("r_total") - F.col("c_upto") / F.col("c_total"))
+    found = (
+        cumulate(counts, "feature", "x", ["r", "c"])
+        .where("r_total > 0 and c_total > 0")
         .groupBy("feature")
-        .agg(F.max("gap").alias("statistic"), F.max("nr").alias("n_ref"), F.max("nc").alias("n_cur"))
+        .agg(F.max(gap).alias("statistic"), F.max("r_total").alias("n_ref"), F.max("c_total").alias("n_cur"))
     )
+    return counts.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+#: Sample sizes up to which the two-sample p-value is exact.
+EXACT_SIZE = 10_000
+
+
+def ks_p_value(statistic: float, n: int, m: int, exact_size: int = EXACT_SIZE) -> float:
+    """Two-sample p-value: exact up to ``exact_size`` values in either sample, else asymptotic."""
+    if max(n, m) <= exact_size:
+        return ks_exact(statistic, n, m)
+    return ks_asymptotic(statistic, n, m)
 
 
-def ks_p_value(statistic: float, n: int, m: int) -> float:
-    """Asymptotic two-sample p-value (Kolmogorov's series at the effective size)."""
+def ks_exact(statistic: float, n: int, m: int) -> float:
+    """The share of all orders of n + m distinct values whose statistic is as large or larger.
+
+    Orders are lattice paths from (0, 0) to (n, m). Of the paths to each point, the share that stays
+    within the distance follows from those to the points before it, diagonal by diagonal.
+    """
+    least = math.ceil(statistic * n * m - 1e-7)  # |i * m - j * n| of a point that lies on or beyond
+    if least <= 0:
+        return 1.0
+    share = np.zeros(n + 2)  # by i + 1
+    share[1] = 1.0
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        j = d - i
+        now = (share[i] * i + share[i + 1] * j) / d
+        share[:] = 0
+        share[i + 1] = np.where(np.abs(i * m - j * n) < least, now, 0)
+    return float(min(1.0, max(0.0, 1.0 - share[n + 1])))
+
+
+def ks_asymptotic(statistic: float, n: int, m: int) -> float:
+    """Kolmogorov's series at the effective size."""
     lam = (math.sqrt(n * m / (n + m)) + 0.12 + 0.11 / math.sqrt(n * m / (n + m))) * statistic
     if lam < 0.2:
         return 1.0
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
 
 
-def p_value_column(d, n, m):
-    """The same series as an expression, of 20 terms."""
-    size = F.sqrt(n.cast("double") * m / (n + m))
-    lam = (size + 0.12 + 0.11 / size) * d
-    series = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 21)), F.lit(0.0))
-    return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
-
-
 def detect(
     reference: DataFrame, current: DataFrame, columns: list[str] | None = None, bins: int = 10, threshold: float = 0.2,
-    alpha: float = 0.05, accuracy: int | None = None,
+    alpha: float = 0.05, accuracy: int | None = None, exact_size: int = EXACT_SIZE,
 ) -> DataFrame:
     """``feature, psi, ks_statistic, ks_p_value, psi_drifted, ks_drifted, drifted``.
 
-    Features with under two values on a side are left out.
+    Features with under two values on a side are left out. The p-value is exact for samples of up to
+    ``exact_size`` values each, else asymptotic.
     """
-    ks = ks_statistic(reference, current, columns).where("n_ref >= 2 and n_cur >= 2")
-    found = psi(reference, current, columns, bins, accuracy).join(F.broadcast(ks), "feature")
-    p = p_value_column(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
-    return found.select("feature", "psi", F.col("statistic").alias("ks_statistic"), p.alias("ks_p_value")).select(
+    counts = _counts(reference, current, columns).persist()
+    try:
+        ks = _ks(counts).where("n_ref >= 2 and n_cur >= 2")
+        found = _psi(counts, bins, accuracy).join(F.broadcast(ks), "feature")
+    finally:
+        counts.unpersist()
+    p = [(r["feature"], ks_p_value(r["statistic"], r["n_ref"], r["n_cur"], exact_size)) for r in ks.collect()]
+    found = found.join(F.broadcast(reference.sparkSession.createDataFrame(p, "feature string, ks_p_value double")), "feature")
+    return found.select("feature", "psi", F.col("statistic").alias("ks_statistic"), "ks_p_value").select(
         "*",
         (F.col("psi") > threshold).alias("psi_drifted"),
         (F.col("ks_p_value") < alpha).alias("ks_drifted"),

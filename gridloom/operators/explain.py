@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.errors import DataValidationError
 from gridloom.roles import require
@@ -49,6 +50,39 @@ def lime(df: DataFrame, fitted, key: str, features: list[str], draws: int = 200,
     return df.sparkSession.createDataFrame(out, f"`{key}` {df.schema[key].dataType.simpleString()}, feature string, weight double")
 
 
+def shapley(df: DataFrame, fitted, key: str, features: list[str], background: DataFrame | None = None, orders: int = 20, rows: int = MOST_ROWS, seed: int = 42) -> DataFrame:
+    """``key, feature, value, shap``: sampled Shapley values of any model with ``prediction``, for up to ``rows`` rows.
+
+    A row's features replace those of a background row (one of up to 100) one by one, in ``orders``
+    random orders; what a feature changes is averaged. All steps of all rows are one table that the
+    model scores once, so a row's values sum up to its prediction less the mean over its backgrounds.
+    """
+    require(df, key, *features)
+    spark, rng = df.sparkSession, np.random.default_rng(seed)
+    asked = df.orderBy(F.xxhash64(F.col(key)), key).limit(rows).select(F.col(key).alias("key_"), F.struct(*features).alias("x_"))
+    pool = (df if background is None else background).select(*features).na.drop()
+    pool = pool.orderBy(F.xxhash64(*features), *features).limit(100).select(F.struct(*features).alias("b_")).collect()
+    if not pool:
+        raise DataValidationError("no complete background rows")
+    plan = [(o, [int(v) for v in rng.permutation(len(features))], pool[int(rng.integers(len(pool)))]["b_"]) for o in range(orders)]
+    kinds = df.select(F.struct(*features).alias("b")).schema["b"].dataType
+    schema = T.StructType([T.StructField("order_", T.IntegerType()), T.StructField("places_", T.ArrayType(T.IntegerType())), T.StructField("b_", kinds)])
+    wide = asked.join(F.broadcast(spark.createDataFrame(plan, schema)), F.lit(True)).withColumn("step_", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    mixed = wide.select("key_", "order_", "places_", "step_", *(F.when(F.get("places_", F.lit(i)) < F.col("step_"), F.col(f"x_.`{c}`")).otherwise(F.col(f"b_.`{c}`")).alias(c) for i, c in enumerate(features)))
+    scored = fitted.transform(mixed).select("key_", "order_", "places_", "step_", "prediction")
+    steps = scored.groupBy("key_", "order_", "places_").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_", "prediction"))), lambda s: s["prediction"]).alias("p_"))
+    change = lambda i: F.get("p_", F.get("places_", F.lit(i)) + 1) - F.get("p_", F.get("places_", F.lit(i)))
+    parts = steps.select("key_", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), change(i).alias("d_")) for i, c in enumerate(features)))))
+    found = parts.groupBy("key_", "feature").agg(F.avg("d_").alias("shap"))
+    values = asked.select("key_", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"x_.`{c}`").cast("string").alias("value")) for c in features))))
+    return found.join(values, ["key_", "feature"]).select(F.col("key_").alias(key), "feature", "value", "shap")
+
+
+def shapley_importance(values: DataFrame) -> DataFrame:
+    """``feature, importance``: mean absolute Shapley value."""
+    return values.groupBy("feature").agg(F.avg(F.abs("shap")).alias("importance"))
+
+
 def lime_importance(weights: DataFrame) -> DataFrame:
     """``feature, importance``: mean absolute weight."""
     return weights.groupBy("feature").agg(F.avg(F.abs("weight")).alias("importance"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.quantiles import quantiles
@@ -22,14 +23,31 @@ class FeatureModel:
     interacted: list[str] = field(default_factory=list)
     edges: dict[str, list[float]] = field(default_factory=dict)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Originals less the replaced ones, then logs, date parts, encodings, products and bins."""
-        have = set(df.columns)
+    def names(self, df: DataFrame) -> list[str]:
+        """The columns that ``transform`` gives for such a table; no job."""
+        return self.transform(df).columns
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Lists and edges as JSON, each encoding as Parquet."""
+        plain = {"log": self.log, "dates": self.dates, "interacted": self.interacted, "edges": self.edges, "defaults": {c: d for c, (_, d) in self.encodings.items()}}
+        spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/lists")
+        for i, (means, _) in enumerate(self.encodings.values()):
+            means.write.mode("overwrite").parquet(f"{path}/means-{i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        plain = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/lists").collect()))
+        encodings = {c: (spark.read.parquet(f"{path}/means-{i}"), d) for i, (c, d) in enumerate(plain["defaults"].items())}
+        return cls(plain["log"], plain["dates"], encodings, plain["interacted"], plain["edges"])
+
+    def transform(self, df: DataFrame, *also: str) -> DataFrame:
+        """Originals less the replaced ones, then logs, date parts, encodings, products and bins; ``also`` last."""
+        have = set(df.columns) - set(also)
         dates = [c for c in self.dates if c in have]
         encodings = {c: m for c, m in self.encodings.items() if c in have}
         for i, (c, (means, _)) in enumerate(encodings.items()):
             found = means.select(F.col(c).alias(f"k_{i}_"), F.col("mean_").alias(f"m_{i}_"))
-            df = df.join(F.broadcast(found), F.col(c).eqNullSafe(F.col(f"k_{i}_")), "left")
+            df = df.join(found, F.col(c).eqNullSafe(F.col(f"k_{i}_")), "left")  # high cardinality: sizes decide at run time
         out = [F.col(c) for c in df.columns if c in have and c not in dates and c not in encodings]
         out += [F.log1p(c).alias(f"{c}_log") for c in self.log if c in have]
         for c in dates:
@@ -46,7 +64,7 @@ class FeatureModel:
         for c, edges in self.edges.items():
             if c in have:
                 out.append(bin_label(F.col(c), edges[1:-1]).alias(f"{c}_bin"))
-        return df.select(*out)
+        return df.select(*out, *also)
 
 
 def bin_label(x, inner: list[float]):

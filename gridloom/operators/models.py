@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import clustering as mk
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import ModelTrainingError, NotSupported
+from gridloom.functions.joins import against_all, join_groups, nearest
 from gridloom.roles import ColumnRoles, require
 
 
@@ -75,37 +77,142 @@ def gaussian_nb(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     )
 
 
+#: Classes whose parameters are sent to every task; more are joined without a hint.
+SENT_CLASSES = 10_000
+
+
 def gaussian_nb_predict(df: DataFrame, params: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """``key, prediction``: the likeliest label; classes are few and sent to every task."""
+    """``key, prediction``: the likeliest label; up to ``SENT_CLASSES`` go to every task."""
     ll = F.log("prior")
     for c in features:
         ll = ll - 0.5 * F.log(6.283185307179586 * F.col(f"var_{c}")) - (F.col(c) - F.col(f"mean_{c}")) ** 2 / (2 * F.col(f"var_{c}"))
-    scored = df.select(key, *features).join(F.broadcast(params), F.lit(True)).select(key, "label", ll.alias("ll"))
+    params = F.broadcast(params) if params.limit(SENT_CLASSES + 1).count() <= SENT_CLASSES else params
+    scored = df.select(key, *features).join(params, F.lit(True)).select(key, "label", ll.alias("ll"))
     return scored.groupBy(key).agg(F.max_by("label", F.struct("ll", "label")).alias("prediction"))
 
 
 def sample_weights(df: DataFrame, label: str) -> DataFrame:
-    """``weight``: inverse frequency of the label, scaled to a mean of one."""
+    """``weight``: inverse frequency of the label, scaled to a mean of one; rows without a label are a class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_"))
     whole = counts.agg(F.sum("n_").alias("t_"), F.count("*").alias("k_"))
     sized = counts.join(F.broadcast(whole), F.lit(True)).select(label, (F.col("t_") / (F.col("k_") * F.col("n_"))).alias("weight"))
-    return df.join(F.broadcast(sized), label)
+    return join_groups(df, sized, label)
 
 
-def choose_model(objective: str, rows: int, **facts) -> str:
-    """The model suited to an objective and a number of rows; see ``FACTORY`` for the names."""
-    if objective == "regression":
+def nearest_neighbours(train: DataFrame, df: DataFrame, key: str, label: str, features: list[str], k: int = 5) -> DataFrame:
+    """``key, prediction``: the label that most of a row's k nearest rows of ``train`` have, the least among equals.
+
+    Distances are Euclidean, ties broken by key. ``train`` comes to the tasks in chunks of bounded
+    size; of each chunk a row keeps its k nearest. Rows with a null feature, and unlabelled rows of
+    ``train``, are left out.
+    """
+    require(train, key, label, *features)
+    require(df, key, *features)
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    known = train.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), *x).na.drop()
+    asked = df.select(F.col(key).alias("id"), *x).na.drop()
+
+    def look(batches, chunk: pa.Table):
+        chunk = chunk.sort_by("id")
+        names = np.array(chunk.column("label").to_pylist(), object)
+        x = np.column_stack([chunk.column(i).to_numpy() for i in range(2, chunk.num_columns)])
+        step = max(1, 4_000_000 // max(len(x), 1))
+        for batch in batches:
+            ids, y = batch.column(0), np.column_stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
+            for lo in range(0, len(y) if len(x) else 0, step):
+                q, other, d = nearest(y[lo : lo + step], x, k)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, step).take(pa.array(q)), chunk.column("id").combine_chunks().take(pa.array(other)), pa.array(names[other], pa.string()), pa.array(d)],
+                    names=["id", "other", "label", "d"],
+                )
+
+    kind = known.schema["id"].dataType.simpleString()
+    near, _ = against_all(asked, "id", look, f"id {asked.schema['id'].dataType.simpleString()}, other {kind}, label string, d double", 8 * (len(features) + 4), known)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+    votes = near.withColumn("at", place).where(F.col("at") <= k).groupBy("id", "label").agg(F.count("*").alias("n"))
+    winner = F.min_by("label", F.struct((-F.col("n")).alias("n"), "label"))
+    return votes.groupBy("id").agg(winner.cast(train.schema[label].dataType).alias("prediction")).withColumnRenamed("id", key)
+
+
+def support_vector_regression(df: DataFrame, target: str, features: list[str], epsilon: float = 0.1, penalty: float = 1e-3, rounds: int = 25) -> Linear:
+    """A linear model of least epsilon-insensitive error, features and target standardised.
+
+    Reweighted least squares: rows within ``epsilon`` deviations of the line count nothing, others by
+    the inverse of how far they lie beyond it; each round is one aggregation of weighted moments.
+    """
+    require(df, target, *features)
+    cols = [*features, target]
+    full = df.where(" and ".join(f"`{c}` is not null" for c in cols)).select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols))).persist()
+    k = len(features)
+    stats = full.agg(*(f(f"v{i}") for i in range(k + 1) for f in (F.avg, F.stddev_pop))).first()
+    means, spreads = [stats[2 * i] for i in range(k + 1)], [stats[2 * i + 1] or 1.0 for i in range(k + 1)]
+    if means[0] is None:
+        raise ModelTrainingError("no complete rows")
+    z = [(F.col(f"v{i}") - means[i]) / spreads[i] for i in range(k + 1)]
+    x, y, beta = [F.lit(1.0), *z[:k]], z[k], np.zeros(k + 1)
+    for r in range(rounds):
+        gap = y - sum((F.lit(float(b)) * v for b, v in zip(beta, x)), F.lit(0.0))
+        beyond = F.abs(gap) - epsilon
+        w = F.when(F.lit(r == 0), 1.0).when(beyond > 0, 1 / F.greatest(beyond, F.lit(1e-3))).otherwise(0.0)
+        goal = y if r == 0 else y - F.signum(gap) * epsilon
+        one = full.select(w.alias("w"), goal.alias("g"), *(v.alias(f"x{i}") for i, v in enumerate(x))).agg(
+            *(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)),
+            *(F.sum(F.col("w") * F.col(f"x{i}") * F.col("g")).alias(f"b{i}") for i in range(k + 1)),
+            F.sum("w").alias("w"),
+        ).first()
+        if not one["w"]:
+            break
+        a = np.array([[one[f"a{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+        b = np.array([one[f"b{i}"] for i in range(k + 1)])
+        new = np.linalg.lstsq(a + penalty * np.diag([0.0, *[1.0] * k]), b, rcond=None)[0]
+        done, beta = np.abs(new - beta).max() < 1e-6, new
+        if done:
+            break
+    full.unpersist()
+    slopes = [float(beta[i + 1] * spreads[k] / spreads[i]) for i in range(k)]
+    intercept = means[k] + beta[0] * spreads[k] - sum(s * m for s, m in zip(slopes, means))
+    return Linear(float(intercept), dict(zip(features, slopes)), dict(zip(features, means)))
+
+
+#: Other names of the objectives.
+OBJECTIVES = {
+    "numerical_prediction": "regression", "categorical_known": "classification", "categorical_unknown": "clustering",
+    "numerical_study": "study", "multi_numerical_prediction": "several",
+}
+
+
+def choose_model(objective: str, rows: int = 0, **facts) -> str:
+    """The model suited to an objective, a number of rows and what is known of the data.
+
+    Regression: under 1000 rows least squares; then, with numeric features only, ridge if all of them
+    matter, else the elastic net, and from 100 000 rows on gradient descent; with other features
+    boosted trees. Classification: of images nothing here; with categorical features only, the
+    logistic model for under five of them, else naive Bayes; with mixed ones naive Bayes for under 300
+    rows a class, else a forest. Clustering: k-means if the number of clusters is known, else mean
+    shift. A study: principal components, unless of places or of a series; several targets at once
+    and those are refused. Facts: ``numeric_only, all_features_matter, data_type, exogenous_type,
+    n_features, rows_per_class, known_clusters, n_clusters, geospatial, time_series``.
+    """
+    kind = OBJECTIVES.get(objective, objective)
+    if kind == "regression":
         if rows < 1000:
             return "linear"
-        if rows > 100_000:
-            return "sgd_regressor" if facts.get("numeric_only", True) else "gbt_regressor"
-        return "elastic_net" if not facts.get("all_features_matter") else "ridge"
-    if objective == "classification":
-        smallest = facts.get("rows_per_class", 0)
-        return "random_forest_classifier" if smallest >= 300 else "naive_bayes"
-    if objective == "clustering":
-        return "kmeans" if facts.get("n_clusters") or facts.get("known_clusters", True) else "bisecting_kmeans"
-    raise NotSupported(f"no model for {objective!r}")
+        if not facts.get("numeric_only", False):
+            return "gbt_regressor"
+        if rows >= 100_000:
+            return "sgd_regressor"
+        return "ridge" if facts.get("all_features_matter") else "elastic_net"
+    if kind == "classification":
+        if facts.get("data_type") == "images":
+            raise NotSupported("images: needs pretrained image models")
+        if facts.get("exogenous_type") == "categorical":
+            return "psychometric" if facts.get("n_features", 0) < 5 else "naive_bayes"
+        return "random_forest_classifier" if facts.get("rows_per_class", 0) >= 300 else "naive_bayes"
+    if kind == "clustering":
+        return "kmeans" if facts.get("n_clusters") or facts.get("known_clusters") else "mean_shift"
+    if kind == "study" and not facts.get("geospatial") and not facts.get("time_series"):
+        return "pca"
+    raise NotSupported(f"no model for {objective!r}" + "".join(f", {k}" for k in ("geospatial", "time_series") if facts.get(k)))
 
 
 FACTORY = {
@@ -119,6 +226,9 @@ FACTORY = {
     "naive_bayes": lambda **o: mc.NaiveBayes(modelType="gaussian", **o),
     "tree_classifier": lambda **o: mc.DecisionTreeClassifier(seed=42, **o),
     "logistic": lambda **o: mc.LogisticRegression(**o),
+    "psychometric": lambda **o: mc.LogisticRegression(**o),
+    "sgd_classifier": lambda **o: mc.LogisticRegression(regParam=o.pop("regParam", 1e-4), **o),
+    "mlp_classifier": lambda **o: mc.MultilayerPerceptronClassifier(seed=42, **o),
     "svc": lambda **o: mc.OneVsRest(classifier=mc.LinearSVC(**o)),
     "gbt_classifier": lambda **o: mc.GBTClassifier(seed=42, maxIter=o.pop("maxIter", 20), **o),
     "random_forest_classifier": lambda **o: mc.RandomForestClassifier(seed=42, **o),
@@ -158,6 +268,10 @@ def train(df: DataFrame, target: str, features: list[str], model: str, task: str
     if task == "classification" and target in ColumnRoles.of(df).text:
         label = f"{target}_at_"
         stages.insert(0, StringIndexer(inputCol=target, outputCol=label, handleInvalid="keep"))
+    if model == "mlp_classifier" and "layers" not in options:
+        ready = Pipeline(stages=stages).fit(df).transform(df.limit(1)).first()
+        classes = df.agg(F.max(F.col(target).cast("double"))).first()[0] if label == target else df.select(target).distinct().count()
+        options["layers"] = [len(ready["features"]), 16, int(classes) + 1]
     return Pipeline(stages=[*stages, estimator(model, labelCol=label, **options)]).fit(df)
 
 

@@ -7,18 +7,21 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError, NotSupported
 from gridloom.operators import clean, models, tuning
+from gridloom.operators.text import tokens, unit
 from gridloom.roles import require
+from gridloom.session import keep
 
 UNSUPPORTED = {
     "tabnet": "needs a neural network library",
@@ -64,32 +67,79 @@ def best_head(df: DataFrame, key: str, label: str, vector: str, names: tuple[str
     return dict(sorted(out.items(), key=lambda r: -r[1]))
 
 
-def text_classifier(df: DataFrame, text: str, label: str, vocabulary: int = 10_000) -> PipelineModel:
-    """TF-IDF of words and word pairs under a logistic regression; null texts are empty."""
-    require(df, text, label)
-    df = df.where(F.col(label).isNotNull())
-    filled = f"SELECT *, coalesce({text}, '') AS text_ FROM __THIS__"
+def text_classifier(df: DataFrame, key: str, text: str, label: str, vocabulary: int = 10_000, test_share: float = 0.2) -> DataFrame:
+    """``key, label, held_out, prediction`` by a logistic regression on TF-IDF of words and word pairs.
+
+    The ``vocabulary`` most frequent terms are kept. A ``test_share`` of the rows, by a draw from the
+    key, is predicted but not learnt from, and rows without a label as well; null texts are empty.
+    Texts are cut into terms once and kept as vectors for the fitting rounds, until
+    ``session.release``.
+    """
+    require(df, key, text, label)
+    words = tokens(F.coalesce(F.col(text), F.lit("")))
+    pairs = F.zip_with(F.slice("w_", 1, F.greatest(F.size("w_") - 1, F.lit(0))), F.slice("w_", 2, F.greatest(F.size("w_") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    base = clean.split(df.select(key, text, label), key, test_share).withColumn("held_out", F.col("is_test") | F.col(label).isNull())
+    terms = base.select(key, label, "held_out", words.alias("w_")).select(key, label, "held_out", F.concat("w_", pairs).alias("terms_"))
+    terms = terms.persist(StorageLevel.DISK_ONLY)
+    frequent = terms.where("not held_out").select(F.explode("terms_").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    kept = [r["t"] for r in frequent.orderBy(F.desc("n"), "t").limit(vocabulary).collect()]
+    if not kept:
+        raise DataValidationError("no words to learn from")
+    counted = CountVectorizerModel.from_vocabulary(kept, inputCol="terms_", outputCol="tf_").transform(terms).select(key, label, "held_out", "tf_")
+    counted = keep(counted)
+    learnt = counted.where("not held_out")
     stages = [
-        SQLTransformer(statement=filled),
-        RegexTokenizer(inputCol="text_", outputCol="words_", pattern=r"[^\p{L}\p{N}]+"),
-        NGram(n=2, inputCol="words_", outputCol="pairs_"),
-        SQLTransformer(statement="SELECT *, concat(words_, pairs_) AS grams_ FROM __THIS__"),
-        CountVectorizer(inputCol="grams_", outputCol="tf_", vocabSize=vocabulary),
         IDF(inputCol="tf_", outputCol="features"),
         StringIndexer(inputCol=label, outputCol="label_", handleInvalid="keep", stringOrderType="alphabetAsc"),
         LogisticRegression(labelCol="label_", regParam=0.01, maxIter=30),
     ]
-    return Pipeline(stages=stages).fit(df)
+    fitted = Pipeline(stages=stages).fit(learnt)
+    terms.unpersist()
+    names = F.array(*map(F.lit, fitted.stages[1].labels))
+    found = fitted.transform(counted)
+    return found.select(key, F.col(label).alias("label"), "held_out", F.get(names, F.col("prediction").cast("int")).alias("prediction"))
 
 
 def cluster_texts(df: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """``key, cluster`` of embedded texts, by direction."""
-    from gridloom.operators.text import unit
-
     ready = df.select(key, array_to_vector(unit(vector)).alias("features"))
     return KMeans(k=k, seed=42, predictionCol="cluster").fit(ready).transform(ready).select(key, "cluster")
 
 
+def agglomerate(df: DataFrame, key: str, vector: str, k: int = 5, grains: int = 200) -> DataFrame:
+    """``key, cluster`` of embedded texts by average linkage of at most ``grains`` groups.
+
+    K-means by direction makes the groups, whose centres and sizes alone reach the driver; the two
+    nearest are joined until ``k`` are left. Up to ``grains`` different texts are linked one by one.
+    """
+    ready = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(unit(vector)).alias("features"))
+    fitted = KMeans(k=grains, seed=42, predictionCol="grain_").fit(ready)
+    grained = keep(fitted.transform(ready).select(key, "grain_"))
+    sizes = {r["grain_"]: float(r["count"]) for r in grained.groupBy("grain_").count().collect()}
+    names = sorted(sizes)
+    centres = np.array([fitted.clusterCenters()[i] for i in names])
+    gaps = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 0))
+    np.fill_diagonal(gaps, np.inf)
+    weight, group = np.array([sizes[i] for i in names]), [[i] for i in names]
+    alive = np.ones(len(names), bool)
+    for _ in range(max(0, len(names) - k)):
+        a, b = sorted(divmod(int(np.argmin(gaps)), len(names)))
+        joined = (weight[a] * gaps[a] + weight[b] * gaps[b]) / (weight[a] + weight[b])
+        gaps[a], gaps[:, a] = joined, joined
+        gaps[a, a], gaps[b], gaps[:, b] = np.inf, np.inf, np.inf
+        weight[a] += weight[b]
+        group[a] += group[b]
+        alive[b] = False
+    of = [(grain, c) for c, i in enumerate(np.flatnonzero(alive)) for grain in group[i]]
+    return grained.join(F.broadcast(df.sparkSession.createDataFrame(of, "grain_ int, cluster int")), "grain_").select(key, "cluster")
+
+
+def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """``cluster, n, share`` of each cluster."""
+    counts = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
 def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster") -> float:
     """Mean silhouette in squared Euclidean distance, from one pass over clusters' moments."""
     ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.withColumn(cluster, F.col(cluster).cast("double")))
@@ -217,3 +267,12 @@ def short_number(x: float | None) -> str:
         if abs(x) >= size:
             return f"{x / size:.1f}{unit}"
     return f"{x:.0f}" if float(x).is_integer() else f"{x:.2f}"
+
+
+def short_number_column(value: str):
+    """``short_number`` as an expression."""
+    v = F.col(value).cast("double")
+    out = F.when(v.isNull() | F.isnan(v), "–")
+    for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
+        out = out.when(F.abs(v) >= size, F.format_string(f"%.1f{unit}", v / size))
+    return out.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(F.format_string("%.2f", v))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
+from gridloom.functions.joins import join_groups
 from gridloom.functions.quantiles import median_of
 
 
@@ -50,7 +51,7 @@ def residual_anomalies(df: DataFrame, residual: str, n_sigma: float = 3.0, serie
     """``is_anomaly``: residuals beyond n population deviations of their series' mean."""
     stats = df.groupBy(series).agg(F.avg(residual).alias("m_"), F.stddev_pop(residual).alias("s_"))
     return (
-        df.join(F.broadcast(stats), series)
+        join_groups(df, stats, series)
         .withColumn("is_anomaly", F.coalesce(F.abs(F.col(residual) - F.col("m_")) > n_sigma * F.col("s_"), F.lit(False)))
         .drop("m_", "s_")
     )
@@ -70,13 +71,13 @@ def autocorrelation(df: DataFrame, most_lags: int = 100, series: str = "series",
     """
     stats = df.groupBy(series).agg(F.avg(value).alias("m_"), F.count("*").alias("n_"))
     place = F.row_number().over(Window.partitionBy(series).orderBy(pos)).alias("i_")
-    x = df.select(series, place, value).join(F.broadcast(stats), series).select(series, "i_", "n_", (F.col(value) - F.col("m_")).alias("d_"))
+    x = join_groups(df.select(series, place, value), stats, series).select(series, "i_", "n_", (F.col(value) - F.col("m_")).alias("d_"))
     lags = F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n_") / 2), F.lit(most_lags)).cast("int")))
     ahead = x.select(series, "d_", "i_", lags.alias("lag")).withColumn("i_", F.col("i_") + F.col("lag"))
-    pairs = ahead.join(x.select(series, "i_", F.col("d_").alias("e_")), [series, "i_"])
+    pairs = join_groups(ahead, x.select(series, "i_", F.col("d_").alias("e_")), series, "i_", how="inner")
     sums = pairs.groupBy(series, "lag").agg(F.sum(F.col("d_") * F.col("e_")).alias("p_"))
     var = x.groupBy(series).agg(F.sum(F.col("d_") * F.col("d_")).alias("v_"))
-    return sums.join(F.broadcast(var), series).select(series, "lag", F.try_divide(F.col("p_"), F.col("v_")).alias("acf"))
+    return join_groups(sums, var, series).select(series, "lag", F.try_divide(F.col("p_"), F.col("v_")).alias("acf"))
 
 
 def seasonal_period(acf: DataFrame, above: float = 0.1, series: str = "series") -> DataFrame:
@@ -201,3 +202,101 @@ def arima(df: DataFrame, horizon: int = 12, series: str = "series", pos: str = "
     return df.select(series, pos, value).groupBy(series).applyInPandas(ahead, f"`{series}` {kind}, step long, forecast double, lower double, upper double")
 
 
+
+
+def _descend(f, start: np.ndarray, step: float = 0.2, rounds: int = 120) -> np.ndarray:
+    """The simplex search of Nelder and Mead."""
+    points = [start] + [start + step * e for e in np.eye(len(start))]
+    values = [f(x) for x in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] <= 1e-10 * (1 + abs(values[0])):
+            break
+        centre = np.mean(points[:-1], axis=0)
+        tried = [(f(x), x) for x in (centre + (centre - points[-1]),)]
+        if tried[0][0] < values[0]:
+            x = centre + 2 * (centre - points[-1])
+            tried.append((f(x), x))
+        elif tried[0][0] >= values[-2]:
+            x = centre + 0.5 * ((tried[0][1] if tried[0][0] < values[-1] else points[-1]) - centre)
+            tried.append((f(x), x))
+        best = min(tried, key=lambda t: t[0])
+        if best[0] < values[-1]:
+            values[-1], points[-1] = best
+        else:
+            points = [points[0]] + [(p + points[0]) / 2 for p in points[1:]]
+            values = [values[0]] + [f(x) for x in points[1:]]
+    return points[int(np.argmin(values))]
+
+
+def _seasonal_errors(w: np.ndarray, p: np.ndarray, s: int) -> np.ndarray:
+    """One-step errors of the multiplicative seasonal model on the differenced series, by lags 1, s and s + 1."""
+    a, b, c, d = p
+    e = np.zeros(len(w))
+    ar = w.copy()
+    ar[1:] -= a * w[:-1]
+    ar[s:] -= b * w[: len(w) - s]
+    ar[s + 1 :] += a * b * w[: len(w) - s - 1]
+    values = ar.tolist()
+    out = [0.0] * len(w)
+    for t, v in enumerate(values):
+        if t:
+            v -= c * out[t - 1]
+        if t >= s:
+            v -= d * out[t - s]
+        if t > s:
+            v -= c * d * out[t - s - 1]
+        out[t] = v
+    e[:] = out
+    return e
+
+
+def sarima(df: DataFrame, horizon: int = 12, period: int = 12, series: str = "series", pos: str = "pos", value: str = "value", z: float = 1.959963984540054) -> DataFrame:
+    """As ``forecast``, by the multiplicative seasonal ARIMA(1,1,1)(1,1,1) of the period.
+
+    The four coefficients minimise the conditional sum of squares within the unit interval; the
+    interval grows with the weights of past shocks. A series needs over two periods, else an error is
+    raised. A series is a task.
+    """
+    if period < 2:
+        raise DataValidationError("a seasonal model needs a period")
+    kind = df.schema[series].dataType.simpleString()
+
+    def ahead(frame: pd.DataFrame) -> pd.DataFrame:
+        y = frame.sort_values(pos)[value].dropna().to_numpy(float)
+        if len(y) < max(10, 2 * period + 2):
+            raise DataValidationError("a seasonal forecast needs over two periods")
+        w = np.diff(y)
+        w = w[period:] - w[:-period]
+
+        def loss(p: np.ndarray) -> float:
+            over = np.maximum(np.abs(p) - 0.98, 0).sum()
+            e = _seasonal_errors(w, np.clip(p, -0.98, 0.98), period)
+            return float(e @ e) * (1 + over)
+
+        p = np.clip(_descend(loss, np.zeros(4)), -0.98, 0.98)
+        e = _seasonal_errors(w, p, period)
+        var = float(e @ e / len(e))
+        a, b, c, d = p
+        w2, e2, y2 = w.tolist(), e.tolist(), y.tolist()
+        weights = []
+        shock_w, shock_e, shock_y = [0.0] * (period + 1), [0.0] * (period + 1), [0.0] * (period + 1)
+        step = lambda w, e: a * w[-1] + b * w[-period] - a * b * w[-period - 1] + c * e[-1] + d * e[-period] + c * d * e[-period - 1]
+        pad = [0.0] * (period + 2)
+        w2, e2 = pad + w2, pad + e2
+        for h in range(horizon):
+            v = step(w2, e2)
+            w2.append(v)
+            e2.append(0.0)
+            y2.append(v + y2[-1] + y2[-period] - y2[-period - 1])
+            v = (step(shock_w, shock_e) if h else 0.0) + (0.0 if h else 1.0)
+            shock_w.append(v)
+            shock_e.append(0.0 if h else 1.0)
+            shock_y.append(v + shock_y[-1] + shock_y[-period] - shock_y[-period - 1])
+            weights.append(shock_y[-1])
+        half = z * np.sqrt(var * np.cumsum(np.square(weights)))
+        values = np.array(y2[len(y) :])
+        return pd.DataFrame({series: frame[series].iloc[0], "step": range(1, horizon + 1), "forecast": values, "lower": values - half, "upper": values + half})
+
+    return df.select(series, pos, value).groupBy(series).applyInPandas(ahead, f"`{series}` {kind}, step long, forecast double, lower double, upper double")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.errors import ModelTrainingError
+from gridloom.functions.draws import draw
 from gridloom.operators import clean, metrics, models
+from gridloom.session import keep
 
 MOST_LOO_ROWS = 1000
 
@@ -61,33 +63,93 @@ def leave_one_out(df: DataFrame, target: str, features: list[str], ridge: float
     return {"mse": float(np.mean(e**2)), "rmse": float(np.sqrt(np.mean(e**2))), "mae": float(np.mean(abs(e)))}
 
 
+def _poisson_times(u, mean: float):
+    """How often a row stands in a resample: a Poisson number from a draw in [0, 1)."""
+    cuts, total = [], 0.0
+    for k in range(12):
+        total += math.exp(-mean) * mean**k / math.factorial(k)
+        cuts.append(total)
+    return sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def _interval(df: DataFrame, names: list[str]) -> DataFrame:
+    """``metric, mean, low, high`` over replicates: 95 % by percentiles; a row for each replicate and metric is small."""
+    ends = (("mean", F.avg), ("low", lambda m: F.percentile(m, F.lit(0.025))), ("high", lambda m: F.percentile(m, F.lit(0.975))))
+    one = df.agg(*(f(m).alias(f"{m}_{n}") for m in names for n, f in ends))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{n}").alias(n) for n, _ in ends)) for m in names))))
+
+
 def bootstrap(df: DataFrame, key: str, y_true: str, y_pred: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """``metric, mean, low, high``: 95 % intervals of accuracy-like error means over Poisson resamples.
 
-    Each row counts Poisson(1) times in each replicate, drawn from a hash of its key: sums of all
-    replicates are made in one aggregation, without copying rows to replicates across the network.
+    Each row counts Poisson(1) times in each replicate, drawn from its key: sums of all replicates are
+    made in one aggregation, without copying rows to replicates across the network.
     """
-    draw = lambda i: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), i), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cuts, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
     spread = df.select(key, (F.col(y_true).cast("double") - F.col(y_pred).cast("double")).alias("e")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = draw(F.col("i"))
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    sums = spread.select("i", "e", times.alias("w")).where("w > 0").groupBy("i").agg(
+    spread = spread.withColumn("u", draw(key, seed, F.col("i")))  # a column of its own, so that it is drawn once
+    sums = spread.select("i", "e", _poisson_times(F.col("u"), 1.0).alias("w")).where("w > 0").groupBy("i").agg(
         (F.sum(F.col("w") * F.abs("e")) / F.sum("w")).alias("mae"), F.sqrt(F.sum(F.col("w") * F.col("e") ** 2) / F.sum("w")).alias("rmse")
     )
-    one = sums.agg(*(f.alias(f"{m}_{n}") for m in ("mae", "rmse") for n, f in (("mean", F.avg(m)), ("low", F.percentile(m, F.lit(0.025))), ("high", F.percentile(m, F.lit(0.975))))))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{n}").alias(n) for n in ("mean", "low", "high"))) for m in ("mae", "rmse")))))
+    return _interval(sums, ["mae", "rmse"])
+
+
+def bootstrap_cv(
+    df: DataFrame, key: str, target: str, features: list[str], model: str = "linear", task: str = "regression",
+    replicates: int = 20, share: float = 0.7, seed: int = 42, **options,
+) -> DataFrame:
+    """``metric, mean, low, high`` of a model fitted anew on each resample and scored on the rows it has not seen.
+
+    Each row counts Poisson(``share``) times in a replicate, drawn from its key; the metric is R2 or
+    accuracy. The linear model of all replicates comes from one aggregation and its scores from
+    another; other models are fitted one by one, with the counts as weights.
+    """
+    if model == "linear" and task == "regression":
+        scores = _linear_replicates(df, key, target, features, replicates, share, seed)
+        return _interval(scores, ["r2"])
+    name = "r2" if task == "regression" else "accuracy"
+    found = []
+    for i in range(replicates):
+        drawn = df.withColumn("u_", draw(key, seed, i)).withColumn("times_", _poisson_times(F.col("u_"), share).cast("double")).drop("u_").persist()
+        fitted = models.train(drawn.where("times_ > 0"), target, features, model, task, weightCol="times_", **options)
+        unseen = fitted.transform(drawn.where("times_ = 0"))
+        label = f"{target}_at_" if f"{target}_at_" in unseen.columns else target
+        found.append((score(unseen, label, task)[name],))
+        drawn.unpersist()
+    return _interval(df.sparkSession.createDataFrame(found, f"{name} double"), [name])
+
+
+def _linear_replicates(df: DataFrame, key: str, target: str, features: list[str], replicates: int, share: float, seed: int) -> DataFrame:
+    k = len(features)
+    full = df.select(key, *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*features, target]))).na.drop(subset=[f"v{i}" for i in range(k + 1)])
+    means = full.agg(*(F.avg(f"v{i}") for i in range(k + 1))).first()
+    if means[0] is None:
+        raise ModelTrainingError("no complete rows")
+    x = [F.lit(1.0), *(F.col(f"v{i}") - means[i] for i in range(k))]
+    y = F.col(f"v{k}") - means[k]
+    spread = full.select(key, *(v.alias(f"x{i}") for i, v in enumerate(x)), y.alias("y")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    spread = spread.withColumn("u", draw(key, seed, F.col("i"))).withColumn("w", _poisson_times(F.col("u"), share))
+    cell = lambda i, j: F.col(f"x{i}") * F.col(f"x{j}")
+    sums = spread.where("w > 0").groupBy("i").agg(
+        *(F.sum(F.col("w") * cell(i, j)).alias(f"a{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)),
+        *(F.sum(F.col("w") * F.col(f"x{i}") * F.col("y")).alias(f"b{i}") for i in range(k + 1)),
+    )
+    fitted = []
+    for r in sums.collect():
+        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+        beta = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(k + 1)]), rcond=None)[0]
+        fitted.append((r["i"], [float(v) for v in beta]))
+    betas = df.sparkSession.createDataFrame(fitted, "i int, beta array<double>")
+    guess = sum((F.get("beta", F.lit(j)) * F.col(f"x{j}") for j in range(k + 1)), F.lit(0.0))
+    unseen = spread.where("w = 0").join(F.broadcast(betas), "i").select("i", "y", (F.col("y") - guess).alias("e"))
+    return unseen.groupBy("i").agg((1 - F.avg(F.col("e") ** 2) / F.var_pop("y")).alias("r2"))
 
 
 Space = Callable[[random.Random], dict]
 
 
 def default_space(rng: random.Random) -> dict:
-    """Rounds 5 to 30, depth 3 to 8, step 0.01 to 0.3 on a log scale."""
-    return {"maxIter": rng.randint(5, 30), "maxDepth": rng.randint(3, 8), "stepSize": 10 ** rng.uniform(-2, math.log10(0.3))}
+    """Rounds 50 to 300, depth 3 to 12, step 0.01 to 0.3 on a log scale."""
+    return {"maxIter": rng.randint(50, 300), "maxDepth": rng.randint(3, 12), "stepSize": 10 ** rng.uniform(-2, math.log10(0.3))}
 
 
 def random_search(df: DataFrame, key: str, target: str, features: list[str], model: str, task: str = "regression", trials: int = 10, space: Space = default_space, seed: int = 42) -> dict:
@@ -111,7 +173,7 @@ def halving(df: DataFrame, key: str, target: str, features: list[str], model: st
     left, history = list(candidates), []
     for r in range(rounds):
         share = factor ** (r - rounds + 1)
-        part = clean.split(df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10_000)) < int(share * 10_000)), key).persist()
+        part = clean.split(df.where(draw(key, 7) < share), key).persist()
         scored = []
         for options in left:
             fitted = models.train(part.where("not is_test"), target, features, model, task, **options)
@@ -123,8 +185,7 @@ def halving(df: DataFrame, key: str, target: str, features: list[str], model: st
     return {"options": left[0], "score": scored[0][0], "rounds": history}
 
 
-def stacked(df: DataFrame, key: str, target: str, features: list[str], names: list[str], k: int = 5) -> DataFrame:
-    """``df`` with ``prediction`` of a linear model over out-of-fold predictions of the named regressors."""
+def _out_of_fold(df: DataFrame, key: str, target: str, features: list[str], names: list[str], k: int) -> DataFrame:
     folded = clean.folds(df, key, k).persist()
     parts = []
     for fold in range(k):
@@ -133,7 +194,20 @@ def stacked(df: DataFrame, key: str, target: str, features: list[str], names: li
             fitted = models.train(folded.where(F.col("fold") != fold), target, features, name)
             test = fitted.transform(test).select(*test.columns, F.col("prediction").alias(f"p{i}_"))
         parts.append(test)
-    oof = reduce(DataFrame.unionByName, parts).persist()
+    oof = keep(reduce(DataFrame.unionByName, parts))
+    oof.count()
+    folded.unpersist()
+    return oof
+
+
+def meta_model(df: DataFrame, key: str, target: str, features: list[str], names: list[str], k: int = 5) -> models.Linear:
+    """The linear model over out-of-fold predictions ``p0_..`` of the named regressors."""
+    return models.linear_regression(_out_of_fold(df, key, target, features, names, k), target, [f"p{i}_" for i in range(len(names))])
+
+
+def stacked(df: DataFrame, key: str, target: str, features: list[str], names: list[str], k: int = 5) -> DataFrame:
+    """``df`` with ``prediction`` of a linear model over out-of-fold predictions of the named regressors."""
+    oof = _out_of_fold(df, key, target, features, names, k)
     meta = models.linear_regression(oof, target, [f"p{i}_" for i in range(len(names))])
     return meta.predict(oof).drop("fold", *(f"p{i}_" for i in range(len(names))))
 
@@ -148,36 +222,94 @@ def _binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(hits, n + 1))
 
 
-def boruta(df: DataFrame, target: str, features: list[str], rounds: int = 10, task: str = "regression", alpha: float = 0.05, seed: int = 42) -> dict[str, str]:
-    """``confirmed``, ``rejected`` or ``tentative`` for each numeric feature.
+def _discoveries(p: np.ndarray, alpha: float) -> np.ndarray:
+    """Which tests Benjamini and Hochberg reject."""
+    order = np.argsort(p, kind="stable")
+    passed = np.flatnonzero(p[order] <= alpha * np.arange(1, len(p) + 1) / len(p))
+    out = np.zeros(len(p), bool)
+    if len(passed):
+        out[order[: passed[-1] + 1]] = True
+    return out
+
+
+def _shadows(numbered: DataFrame, features: list[str], n: int, rng: random.Random) -> DataFrame:
+    """``at_`` and a copy of each feature whose values are dealt to other rows.
 
-    Every round adds a shuffled shadow of each feature; a feature whose forest importance beats the
-    best shadow scores a hit. Hits are tested against a fair coin, corrected for the number of
-    features. Shadows are drawn by joining each column with itself in the order of a seeded hash.
+    Row i's value goes to row (a * i + b) mod n with a prime to n: a permutation of its own for each
+    feature, all of them in one exchange.
     """
-    base = df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).alias(target)).na.drop()
-    base = base.withColumn("row_", F.monotonically_increasing_id()).persist()
+    moved = []
+    for i, c in enumerate(features):
+        a = rng.randrange(1, n) if n > 1 else 1
+        while math.gcd(a, n) != 1:
+            a = rng.randrange(1, n)
+        to = F.pmod(F.col("at_").cast("decimal(38,0)") * a + rng.randrange(n), F.lit(n)).cast("long")
+        moved.append(F.struct(to.alias("to"), F.lit(i).alias("f"), F.col(c).alias("v")))
+    dealt = numbered.select(F.inline(F.array(*moved)))
+    return dealt.groupBy(F.col("to").alias("at_")).agg(*(F.max(F.when(F.col("f") == i, F.col("v"))).alias(f"shadow{i}_") for i in range(len(features))))
+
+
+def boruta(
+    df: DataFrame, target: str, features: list[str], rounds: int = 20, task: str = "regression", alpha: float = 0.05, seed: int = 42,
+    percentile: float = 100, two_step: bool = True, trees: int = 20,
+) -> DataFrame:
+    """``feature, decision, rank, hits, importance`` of numeric features, against shuffled shadows of them.
+
+    Each round a forest sees the features not rejected yet and at least five shadows; a feature whose
+    importance beats the ``percentile`` of the shadows' scores a hit. Hits are tested against a fair
+    coin both ways: in two steps, by the false discovery rate over features and by Bonferroni over
+    rounds; else by Bonferroni over features. Decisions: ``confirmed``, ``rejected``, ``tentative``, or
+    ``weak`` for tentative ones whose median importance beats the shadows' median. Confirmed ones
+    rank 1, undecided ones 2, rejected ones behind by their median rank of importance; ``importance``
+    is the median over rounds. Rows with a null are left out.
+    """
+    base = df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target)).na.drop()
+    numbered = _numbered(base.withColumn("row_", F.monotonically_increasing_id()), F.col("row_")).drop("row_").persist()
+    n = numbered.count()
+    if not n:
+        raise ModelTrainingError("no complete rows")
     name = "random_forest_regressor" if task == "regression" else "random_forest_classifier"
-    hits = dict.fromkeys(features, 0)
-    order = lambda c, r: F.xxhash64("row_", F.lit(f"{seed}-{r}-{c}"))
+    m, rng = len(features), random.Random(seed)
+    decided, hits = np.zeros(m, int), np.zeros(m, int)
+    history, best = np.full((rounds, m), np.nan), []
     for r in range(rounds):
-        wide = _numbered(base, F.col("row_"))
-        for c in features:
-            shadow = _numbered(base.select(F.col(c).alias(f"{c}_shadow"), "row_"), order(c, r)).select("at_", f"{c}_shadow")
-            wide = wide.join(shadow, "at_")
-        columns = [*features, *(f"{c}_shadow" for c in features)]
-        fitted = models.train(wide, target, columns, name, task, numTrees=20)
-        importance = fitted.stages[-1].featureImportances.toArray()
-        best = importance[len(features) :].max()
-        for c, v in zip(features, importance):
-            hits[c] += int(v > best)
-    base.unpersist()
-    level = alpha / len(features)
-    out = {}
-    for c, h in hits.items():
-        up, down = _binomial_tail(h, rounds), _binomial_tail(rounds - h, rounds)
-        out[c] = "confirmed" if up < level or h == rounds else "rejected" if down < level or h == 0 else "tentative"
-    return out
+        active = np.flatnonzero(decided >= 0)
+        if not (decided == 0).any():
+            break
+        shadowed = [features[i] for i in active]
+        while len(shadowed) < 5:
+            shadowed += shadowed
+        wide = numbered.join(_shadows(numbered, shadowed, n, rng), "at_").persist()
+        columns = [*(features[i] for i in active), *(f"shadow{i}_" for i in range(len(shadowed)))]
+        fitted = models.train(wide, target, columns, name, task, numTrees=trees)
+        wide.unpersist()
+        found = fitted.stages[-1].featureImportances.toArray()
+        history[r, active] = found[: len(active)]
+        best.append(float(np.percentile(found[len(active) :], percentile)))
+        hits[active] += found[: len(active)] > best[-1]
+        up = np.array([_binomial_tail(int(h), r + 1) for h in hits[active]])
+        down = np.array([_binomial_tail(r + 1 - int(h), r + 1) for h in hits[active]])
+        if two_step:
+            accept = _discoveries(up, alpha) & (up <= alpha / (r + 1))
+            reject = _discoveries(down, alpha) & (down <= alpha / (r + 1))
+        else:
+            accept, reject = up <= alpha / m, down <= alpha / m
+        free = decided[active] == 0
+        decided[active[free & accept]] = 1
+        decided[active[free & reject]] = -1
+    numbered.unpersist()
+    middle = np.array([np.nanmedian(history[:, i]) if np.isfinite(history[:, i]).any() else 0.0 for i in range(m)])
+    gone = np.flatnonzero(decided < 0)
+    places = np.array([[1 + (row[gone] > v).sum() if np.isfinite(v) else np.nan for v in row[gone]] for row in history if np.isfinite(row[gone]).any()])
+    order = np.nanmedian(places, axis=0) if len(places) else np.zeros(len(gone))
+    first = 3 if (decided == 0).any() else 2
+    ranks = {int(i): first + int((order < o).sum()) for i, o in zip(gone, order)}
+    rows = []
+    for i, c in enumerate(features):
+        weak = bool(best) and middle[i] > np.median(best)
+        decision = "confirmed" if decided[i] > 0 else "rejected" if decided[i] < 0 else "weak" if weak else "tentative"
+        rows.append((c, decision, 1 if decided[i] > 0 else ranks.get(i, 2), int(hits[i]), float(middle[i])))
+    return df.sparkSession.createDataFrame(rows, "feature string, decision string, rank int, hits int, importance double")
 
 
 def permutation_importance(df: DataFrame, fitted, target: str, features: list[str], task: str = "regression", seed: int = 42) -> dict[str, float]:

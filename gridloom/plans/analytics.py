@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import anomaly, charts, drift, fairness, metrics, models, selection, text
+from gridloom.functions.draws import draw_sql
 from gridloom.operators import timeseries as ts
 from gridloom.plans.registry import query, read, rounded
 
@@ -60,7 +61,7 @@ _DETECT = f"""WITH {_PSI}, {_KS},
 
 @query(f"{_DETECT} SELECT feature, round(psi, 6) AS psi, round(ks_statistic, 6) AS ks_statistic, round(ks_p_value, 6) AS ks_p_value, psi_drifted, ks_drifted, drifted FROM report")
 def drift_report(spark, sf_dir):
-    return rounded(drift.detect(*_periods(spark, sf_dir)))
+    return rounded(drift.detect(*_periods(spark, sf_dir), exact_size=0))
 
 
 @query(
@@ -68,7 +69,7 @@ def drift_report(spark, sf_dir):
         round(max(psi), 6) AS max_psi, arg_max(feature, psi) AS worst_feature FROM report"""
 )
 def drift_summary(spark, sf_dir):
-    return drift.summary(drift.detect(*_periods(spark, sf_dir)))
+    return drift.summary(drift.detect(*_periods(spark, sf_dir), exact_size=0))
 
 
 # Fairness and metrics: labelled documents, a rule on length as the prediction.
@@ -642,10 +643,12 @@ def contingency_table(spark, sf_dir):
     return spark.range(1).select(F.lit(a).alias("both_flags"), F.lit(b).alias("left_only"), F.lit(c).alias("right_only"), F.lit(d).alias("neither"))
 
 
-@query()
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE {draw_sql('doc_id', "'split'", 42)} < 0.2) AS n_held_out, true AS accurate FROM documents")
 def text_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return selection.text_classifier(docs, "text", "lang", 2000).transform(docs).select("doc_id", "prediction")
+    found = selection.text_classifier(docs, "doc_id", "text", "lang")
+    right = F.avg(F.when(F.col("held_out"), (F.col("prediction") == F.col("label")).cast("double")))
+    return found.agg(F.count("*").alias("n"), F.count_if("held_out").alias("n_held_out"), (right > 0.95).alias("accurate"))
 
 
 @query()
@@ -653,7 +656,11 @@ def text_clusters(spark, sf_dir):
     return selection.cluster_texts(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
 
 
-@query()
+@query(
+    """WITH z AS (SELECT p_partkey, (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS a,
+                         (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS b FROM part)
+       SELECT p_partkey, round(pow(a - sign((SELECT corr(a, b) FROM z)) * b, 2) / 2, 6) AS error FROM z"""
+)
 def reconstruction_errors(spark, sf_dir):
     found = selection.reconstruction_errors(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
     return rounded(found.select("p_partkey", "error"))

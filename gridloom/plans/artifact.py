@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import ArtifactError, ArtifactVersionError
+from gridloom.operators.features import FeatureModel
 from gridloom.operators.profile import value_counts
 from gridloom.roles import ColumnRoles
 
@@ -36,16 +37,40 @@ def feature_schema(df: DataFrame) -> dict:
     return out
 
 
+def schema_table(spark: SparkSession, schema: dict) -> DataFrame:
+    """A feature schema as ``column, dtype, low, high, mean, n_unique``."""
+    pick = lambda f, k: None if f.get(k) is None else float(f[k])
+    rows = [(c, f["dtype"], *(pick(f, k) for k in ("min", "max", "mean")), f.get("n_unique")) for c, f in schema.items()]
+    return spark.createDataFrame(rows, "column string, dtype string, low double, high double, mean double, n_unique long")
+
+
 @dataclass
 class Artifact:
+    """A fitted pipeline with what was engineered for it, so that raw tables can be scored."""
+
     model: PipelineModel
     config: dict
     metrics: dict
     schema: dict
+    engineered: FeatureModel | None = None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns that the model makes of it, ``prediction`` among them."""
+        return self.model.transform(self.engineered.transform(df) if self.engineered else df)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """The table's own columns and ``prediction``."""
+        if self.engineered is None:
+            return self.model.transform(df).select(*df.columns, "prediction")
+        row = F.struct(*df.columns).alias("row_")
+        found = self.model.transform(self.engineered.transform(df.select(*df.columns, row), "row_"))
+        return found.select("row_.*", "prediction")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        text = json.dumps({"format": FORMAT, "version": VERSION, "config": self.config, "metrics": self.metrics, "schema": self.schema}, default=str)
+        text = json.dumps({"format": FORMAT, "version": VERSION, "config": self.config, "metrics": self.metrics, "schema": self.schema, "engineered": self.engineered is not None}, default=str)
+        if self.engineered is not None:
+            self.engineered.save(spark, f"{path}/features")
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
@@ -59,7 +84,8 @@ class Artifact:
             raise ArtifactError(f"{path} holds no model of this library")
         if found["version"] > VERSION:
             raise ArtifactVersionError(f"{path} has version {found['version']}, known is {VERSION}")
-        return cls(model, found["config"], found["metrics"], found["schema"])
+        engineered = FeatureModel.load(spark, f"{path}/features") if found.get("engineered") else None
+        return cls(model, found["config"], found["metrics"], found["schema"], engineered)
 
 
 def compare(artifacts: dict[str, Artifact], spark: SparkSession) -> DataFrame:

@@ -11,6 +11,7 @@ from gridloom.errors import DataValidationError
 from gridloom.operators import clean as cleaning
 from gridloom.operators import models
 from gridloom.operators.features import FeatureEngineer
+from gridloom.roles import ColumnRoles
 
 
 class Step:
@@ -70,6 +71,11 @@ class TableState:
             raise DataValidationError("the chain has no table yet")
         return self.df
 
+    @property
+    def numeric_only(self) -> bool:
+        features = self.features if self.features is not None else [c for c in self.table.columns if c != self.target]
+        return set(features) <= set(ColumnRoles.of(self.table).numeric)
+
 
 @dataclass
 class Load(Step):
@@ -117,7 +123,7 @@ class Choose(Step):
     facts: dict = field(default_factory=dict)
 
     def run(self, state: TableState) -> TableState:
-        state.model_name = models.choose_model(self.objective, state.table.count(), **self.facts)
+        state.model_name = models.choose_model(self.objective, state.table.count(), **{"numeric_only": state.numeric_only} | self.facts)
         return state
 
 
@@ -128,7 +134,7 @@ class Train(Step):
     def run(self, state: TableState) -> TableState:
         if state.target is None or state.features is None:
             raise DataValidationError("select a target before training")
-        name = state.model_name or models.choose_model(self.task, state.table.count())
+        name = state.model_name or models.choose_model(self.task, state.table.count(), numeric_only=state.numeric_only)
         state.model = models.train(state.table, state.target, state.features, name, self.task)
         return state
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import clean as cleaning
 from gridloom.operators import profile
 from gridloom.operators.features import FeatureEngineer
+from gridloom.functions.draws import draw_sql
 from gridloom.plans.registry import query, read, rounded
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -291,7 +292,7 @@ def split_stratified_sizes(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("n_test"))
 
 
-@query()
+@query(f"SELECT doc_id, floor(5 * {draw_sql('doc_id', "'fold'", 42)})::INT AS fold FROM documents")
 def kfold_assignment(spark, sf_dir):
     return cleaning.folds(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 

@@ -6,7 +6,8 @@ import html
 import json
 from difflib import unified_diff
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
 from gridloom.plans.chain import Step
@@ -32,6 +33,12 @@ def shade(value, good: float, warn: float, higher_is_better: bool = True) -> str
     return "good" if v >= g else "warn" if v >= w else "bad"
 
 
+def shade_column(value: str, good: float, warn: float, higher_is_better: bool = True) -> Column:
+    """``shade`` as an expression."""
+    v, sign = F.col(value), 1 if higher_is_better else -1
+    return F.when(v.isNull(), "").when(v * sign >= good * sign, "good").when(v * sign >= warn * sign, "warn").otherwise("bad")
+
+
 class Report:
     """Appends fragments; ``save`` writes one file."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,3 +20,18 @@ def session(master: str | None = None, name: str = "gridloom", **settings: str)
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a frame that a lazy result reads more than once, until ``release``."""
+    _KEPT.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Give back what lazy results have kept; they stay valid and are computed anew."""
+    while _KEPT:
+        _KEPT.pop().unpersist()

@@ -52,3 +52,15 @@ def test_errors(data, capsys):
     assert main(["run", data, "nothing"]) == 1
     assert main(["list-models"]) == 0 and "kmeans" in capsys.readouterr().out
     assert main(["check-deps"]) == 0
+
+
+def test_more_commands(data, tmp_path, capsys):
+    path = str(tmp_path / "model")
+    assert out(capsys, "run", data, "y", "--save", path, "--engineer")[0]["r2"] > 0.9
+    found = {r["feature"]: r["importance"] for r in out(capsys, "explain", path, data)}
+    assert found and all(v >= 0 for v in found.values())
+    assert len(out(capsys, "embed", data, "g", "--size", "8")[0]["embedding"]) == 8
+    assert out(capsys, "text", data, "g", "t")[0]["accuracy"] > 0.9
+    assert main(["export", path, "onnx"]) == 1
+    assert main(["init", str(tmp_path / "project")]) == 0 and (tmp_path / "project" / "pipeline.yaml").exists()
+    assert len(out(capsys, "forecast", data, "x1", "--method", "exp_smoothing")) == 12

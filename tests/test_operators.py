@@ -1,12 +1,15 @@
 """Edge cases on small hand-made tables."""
 
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.errors import ConfigError, DataLoadError, DataValidationError, DriftDetectionError
+from gridloom.errors import ConfigError, DataLoadError, DataValidationError, DriftDetectionError, NotSupported
+from gridloom.functions import joins, quantiles
 from gridloom.operators import anomaly, charts, clean, drift, fairness, metrics, models, profile, text
 from gridloom.operators import timeseries as ts
 from gridloom.operators.features import FeatureEngineer
@@ -93,7 +96,7 @@ def test_splits_are_stable(spark):
     assert clean.sample(df, "k", 10).count() == 10
 
 
-def test_features(spark):
+def test_features(spark, tmp_path):
     rng = random.Random(1)
     data = [(math.exp(rng.gauss(0, 1)), float(i), f"c{i % 15}", float(i % 15)) for i in range(200)]
     df = spark.createDataFrame(data, "income double, age double, city string, y double").withColumn("day", F.expr("timestamp_ntz'2020-01-04'"))
@@ -107,6 +110,10 @@ def test_features(spark):
     assert unseen["city_target_enc"] == pytest.approx(7.0)
     assert out.select("age_bin").distinct().count() == 4
     assert model.transform(df.drop("city", "day")).count() == 200
+    assert model.names(df) == out.columns
+    model.save(spark, str(tmp_path / "features"))
+    loaded = type(model).load(spark, str(tmp_path / "features")).transform(df)
+    assert loaded.columns == out.columns and sorted(map(str, loaded.collect())) == sorted(map(str, out.collect()))
     again = FeatureEngineer().fit(df.select("age"))
     assert again.log == [] and again.encodings == {}
 
@@ -126,6 +133,31 @@ def test_drift(spark):
     with pytest.raises(DriftDetectionError):
         drift.detect(a, spark.createDataFrame([("s",)], "z string"))
     assert drift.ks_p_value(0.5, 100, 100) < 1e-6 and drift.ks_p_value(0.0, 10, 10) == 1.0
+    assert drift.ks_asymptotic(0.05, 5000, 5000) == pytest.approx(drift.ks_exact(0.05, 5000, 5000), rel=0.1)
+    sketched = {r["feature"]: r["psi"] for r in drift.psi(a, b, accuracy=10_000).collect()}
+    exact = {r["feature"]: r["psi"] for r in drift.psi(a, b).collect()}
+    assert sketched.keys() == exact.keys() and all(abs(sketched[k] - exact[k]) < 0.5 for k in exact)
+
+
+@pytest.mark.parametrize(("n", "m"), [(3, 4), (5, 5), (2, 7), (1, 1)])
+def test_exact_p_value_counts_all_orders(n, m):
+    def statistic(order):
+        return max(abs(sum(order[:k]) / n - (k - sum(order[:k])) / m) for k in range(1, n + m + 1))
+
+    found = [statistic([int(i in chosen) for i in range(n + m)]) for chosen in itertools.combinations(range(n + m), n)]
+    for d in sorted(set(found)):
+        assert drift.ks_exact(d, n, m) == pytest.approx(sum(x >= d - 1e-9 for x in found) / len(found))
+
+
+def test_quantiles_of_any_size_equal_sorting(spark):
+    rng = random.Random(5)
+    data = [(g, float(rng.choice([rng.randrange(5), rng.gauss(0, 9)]))) for g in "ab" for _ in range(500)] + [("c", 3.0)]
+    counts = spark.createDataFrame(data, "g string, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
+    found = quantiles.exact_quantiles(counts, "g", "x", "n", [0, 0.1, 0.37, 0.5, 1])
+    for g in "abc":
+        assert found[g] == pytest.approx(np.quantile([x for k, x in data if k == g], [0, 0.1, 0.37, 0.5, 1]).tolist())
+    upto = {(r["g"], r["x"]): (r["n_upto"], r["n_total"]) for r in quantiles.cumulate(counts, "g", "x", ["n"]).collect()}
+    assert all(upto[g, x] == (sum(k == g and y <= x for k, y in data), sum(k == g for k, _ in data)) for g, x in data)
 
 
 def test_fairness(spark):
@@ -163,6 +195,12 @@ def test_series(spark):
     assert ts.walk_forward(df.limit(30), 3, 10).orderBy("fold").first()["train_end"] == 15
     spiked = df.withColumn("value", F.when(F.col("pos") == 60, 500.0).otherwise(F.col("value")))
     assert [r["pos"] for r in ts.rolling_median_anomalies(spiked, 24).where("is_anomaly").collect()] == [60]
+    f = ts.sarima(df, 12, 12).orderBy("step").collect()
+    assert all(abs(r["forecast"] - (math.sin(2 * math.pi * (119 + r["step"]) / 12) * 10 + 50)) < 1 and r["lower"] <= r["forecast"] <= r["upper"] for r in f)
+    with pytest.raises(Exception, match="over two periods"):
+        ts.sarima(df.where("pos < 20"), 3, 12).collect()
+    unnamed = df.withColumn("series", F.lit(None).cast("string")).withColumn("residual", F.col("value") - 50)
+    assert ts.residual_anomalies(unnamed, "residual").count() == 120 and ts.autocorrelation(unnamed).count() == 61
     assert (ts.auto_method(100, 12), ts.auto_method(20, 12), ts.auto_method(50, 1)) == ("sarima", "exp_smoothing", "arima")
 
 
@@ -173,7 +211,7 @@ def test_outliers(spark):
     assert anomaly.local_outlier_factor(df, "k", ["x", "y"]).orderBy(F.desc("lof")).first()["k"] == 1000
     assert anomaly.isolation_forest(df, "k", ["x", "y"]).orderBy(F.desc("score")).first()["k"] == 1000
     with pytest.raises(DataValidationError):
-        anomaly.local_outlier_factor(df, "k", ["x"], limit=10)
+        anomaly.local_outlier_factor(df.limit(10), "k", ["x"])
     z = anomaly.standardise(df.withColumn("c", F.lit(1.0)), ["x", "c"])
     assert z.agg(F.stddev_pop("x_z")).first()[0] == pytest.approx(1) and z.agg(F.max("c_z")).first()[0] == 0
     scored = anomaly.flag_top(df.select("k", "x"), "x", 0.05)
@@ -182,6 +220,47 @@ def test_outliers(spark):
         anomaly.consensus(df, ["missing"])
 
 
+@pytest.mark.parametrize("chunk", [64_000_000, 2000])
+def test_chunks_change_no_neighbour_and_no_loss(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-8, 8, size=(200, 2)).astype(float)  # many ties of distance
+    labels = rng.integers(0, 3, 200)
+    rows_of = [(i, float(a), float(b), None if i == 7 else str(c), [float(a), float(b), 1.0]) for i, ((a, b), c) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame(rows_of, "k long, x double, y double, l string, v array<double>")
+    monkeypatch.setattr(joins, "CHUNK_BYTES", chunk)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = [sorted(range(200), key=lambda j: (round(d[i, j], 9), j))[:5] for i in range(200)]
+    reach = np.array([d[i, near[i][-1]] for i in range(200)])
+    lrd = np.array([1 / (np.mean([max(d[i, j], reach[j]) for j in near[i]]) + 1e-10) for i in range(200)])
+    lof = {r["k"]: r["lof"] for r in anomaly.local_outlier_factor(df, "k", ["x", "y"], k=5).collect()}
+    assert len(lof) == 200
+    assert all(lof[i] == pytest.approx(np.mean(lrd[near[i]]) / lrd[i], rel=1e-6) for i in range(200))
+    known = df.where("k >= 50")
+    found = {r["k"]: r["prediction"] for r in models.nearest_neighbours(known, df.where("k < 50"), "k", "l", ["x", "y"], 1).collect()}
+    for i in range(50):
+        least = min(d[i, j] for j in range(50, 200))
+        assert found[i] in {str(labels[j]) for j in range(50, 200) if d[i, j] < least + 1e-6}
+    u = np.c_[x, np.ones(200)] / np.sqrt((x**2).sum(1) + 1)[:, None]
+    gaps, same = 1 - u @ u.T, (labels[:, None] == labels) & (np.arange(200) != 7)[:, None] & (np.arange(200) != 7)
+    pairs = np.triu_indices(200, 1)
+    one = text.pair_losses(df, "k", "l", "v").first()
+    assert one["n_pairs"] == len(pairs[0])
+    assert one["contrastive"] == pytest.approx(np.where(same, gaps**2, np.maximum(0, 1 - gaps) ** 2)[pairs].mean())
+    s = np.where(np.eye(200, dtype=bool), -np.inf, (1 - gaps) / 0.07)
+    positive = same & ~np.eye(200, dtype=bool)
+    each = [np.log(np.exp(s[i]).sum()) - s[i][positive[i]].mean() for i in range(200) if positive[i].any()]
+    assert text.info_nce(df, "k", "l", "v").first()["loss"] == pytest.approx(np.mean(each))
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k int, l string")
+    found = {r["k"]: r["weight"] for r in models.sample_weights(df, "l").collect()}
+    assert found == {1: 0.75, 2: 0.75, 3: 1.5}
+    assert charts.index_to(df, "l", "k").count() == 3
+    assert clean.split(df, "k", 0.5, by="l").count() == 3
+
+
 def test_charts_on_degenerate_data(spark):
     one = spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double")
     assert charts.histogram(one, "x", 4).agg(F.sum("n")).first()[0] == 3
@@ -206,6 +285,16 @@ def test_models(spark):
         assert score > 0.85
     assert models.cluster(df, ["a", "b"], 3).select("cluster").distinct().count() == 3
     assert models.choose_model("regression", 500) == "linear" and models.choose_model("classification", 9000, rows_per_class=400) == "random_forest_classifier"
+    for name in ("mlp_classifier", "psychometric", "sgd_classifier"):
+        found = models.train(df, "c", ["a", "b"], name, "classification").transform(df)
+        assert metrics.classification(found, "c", "prediction").first()["accuracy"] > 0.85
+    svr = models.support_vector_regression(df.union(spark.createDataFrame([(0.0, 0.0, 500.0, 0)] * 5, df.schema)), "y", ["a", "b"], epsilon=0.001)
+    assert (svr.intercept, *svr.coefficients.values()) == pytest.approx((1, 2, 0.5), abs=0.15)  # outliers pull little
+    with pytest.raises(NotSupported):
+        models.choose_model("study", geospatial=True)
+    assert models.choose_model("regression", 100_000, numeric_only=True) == "sgd_regressor" and models.choose_model("regression", 5000) == "gbt_regressor"
+    assert models.choose_model("regression", 5000, numeric_only=True, all_features_matter=True) == "ridge"
+    assert models.choose_model("categorical_known", exogenous_type="categorical", n_features=3) == "psychometric"
     with pytest.raises(Exception, match="unknown model"):
         models.estimator("kriging")
     assert models.grid_size({"a": [1, 2], "b": [1, 2, 3]}, 5, 2.0) == (6, 60.0)

@@ -1,5 +1,10 @@
+import io
+import json
 import math
 import random
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +13,7 @@ from gridloom import config
 from gridloom.errors import ArtifactError, DataValidationError
 from gridloom.operators import models, tuning
 from gridloom.plans import chain as ch
+from gridloom.plans import serve, services
 from gridloom.plans.artifact import Artifact, compare, feature_schema
 from gridloom.plans.report import Report, ReportStep, shade
 from gridloom.streaming import monitor
@@ -80,9 +86,81 @@ def test_validation_and_search(table):
     assert tuning.score(tuning.stacked(table, "k", "y", ["a", "b"], ["linear", "ridge"], 2), "y", "regression")["r2"] > 0.98
 
 
+def test_bootstrap_with_refits(table):
+    fast = tuning.bootstrap_cv(table, "k", "y", ["a", "b"], replicates=10).first()
+    slow = tuning.bootstrap_cv(table, "k", "y", ["a", "b"], "ridge", replicates=10, regParam=1e-9).first()
+    assert fast["metric"] == slow["metric"] == "r2"
+    assert all(fast[c] == pytest.approx(slow[c], abs=1e-4) and 0.99 < fast[c] < 1 for c in ("mean", "low", "high"))
+    assert {tuning.default_space(random.Random(i))["maxIter"] for i in range(300)} <= set(range(50, 301))
+
+
+def test_services_keep_all_rows_and_score_raw_tables(spark, tmp_path):
+    rng = random.Random(11)
+    data = [(a := rng.gauss(0, 1), f"c{i % 15}", float(i % 15) + a + rng.gauss(0, 0.1)) for i in range(300)]
+    data += [data[0]] * 5 + [(None, "c1", 1.0), (40.0, "c2", 2.0)]
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(data, "x double, city string, y double").coalesce(2).write.parquet(path)
+    found = services.detect_anomalies(spark, config.AnomalyConfig(data=path, contamination=0.02))
+    assert found.count() == len(data) and found.where("x is null and is_anomaly").count() == 0
+    assert found.where("x = 40 and is_anomaly").count() == 1
+    saved = str(tmp_path / "model")
+    made = services.train(spark, config.TrainConfig(data=path, target="y", engineer=True, save=saved, advanced_cv=True))
+    assert "city_target_enc" in made.config["features"] and made.config["columns"] == ["x", "city"] and "cv_rmse" in made.metrics
+    scored = services.predict(spark, saved, path)
+    assert scored.columns == ["x", "city", "y", "prediction"]
+    assert services.validate(spark, saved, path)["r2"] > 0.8
+    importance = {r["feature"]: r["importance"] for r in services.explain(spark, saved, path).collect()}
+    assert importance["city_target_enc"] > 0.5
+    page = str(tmp_path / "v.html")
+    flow = f"data: {path}\ntarget: y\ntask: regression\nensemble: voting\nvalidate:\n  test_data: {path}\n  report: {page}\ntest_size: 0.3\nmodel_hint: numerical_prediction\n"
+    result = services.run_pipeline(spark, flow)
+    assert {"voting_r2", "validation_r2"} <= result.metrics.keys() and open(page).read().startswith("<!DOCTYPE html>")
+
+
+def test_a_served_model(spark, table, tmp_path):
+    path = str(tmp_path / "m")
+    fitted = models.train(table, "y", ["a", "b"], "linear")
+    Artifact(fitted, {"target": "y", "model": "linear", "features": ["a", "b"], "task": "regression"}, {}, feature_schema(table.select("a", "b"))).save(spark, path)
+    http = serve.server(serve.Model(spark, path), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_address[1]}"
+    ask = lambda p, body=None: json.load(urllib.request.urlopen(base + p, body and json.dumps(body).encode(), timeout=60))
+    assert ask("/health")["status"] == "ok" and set(ask("/schema")["features"]) == {"a", "b"}
+    assert ask("/predict", {"instances": [{"a": 1.0, "b": 0.0}, {"a": 0.0, "b": 2.0}]})["predictions"] == pytest.approx([2, 2], abs=0.1)
+    for bad in ("/none", "/predict"):
+        with pytest.raises(urllib.error.HTTPError):
+            ask(bad, "text" if bad == "/predict" else None)
+    http.shutdown()
+
+
+def test_tools_over_lines(spark, table, tmp_path):
+    path, out = str(tmp_path / "t.parquet"), io.StringIO()
+    table.coalesce(1).write.parquet(path)
+    ask = [
+        {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"},
+        {"id": 3, "method": "tools/call", "params": {"name": "describe_data", "arguments": {"path": path}}},
+        {"id": 4, "method": "tools/call", "params": {"name": "describe_data", "arguments": {"path": "/none.parquet"}}},
+        {"id": 5, "method": "nothing"}, {"id": 6, "method": "tools/call", "params": {"name": "report_create", "arguments": {"title": "T"}}},
+        {"id": 7, "method": "tools/call", "params": {"name": "report_summary", "arguments": {"report": "1", "data": path}}},
+        {"id": 8, "method": "tools/call", "params": {"name": "create_histogram", "arguments": {"data": path, "column": "a", "output": str(tmp_path / "h.svg")}}},
+        {"id": 9, "method": "prompts/get", "params": {"name": "ml_workflow", "arguments": {"data": "d", "target": "y"}}},
+    ]
+    serve.serve_lines(serve.Tools(spark), [*(json.dumps(a) for a in ask), "", "{"], out)
+    answers = {a["id"]: a for a in map(json.loads, out.getvalue().splitlines())}
+    assert len(answers) == 10 and answers[1]["result"]["serverInfo"]["name"] == "gridloom"
+    listed = {t["name"]: t for t in answers[2]["result"]["tools"]}
+    assert len(listed) > 25 and listed["detect_drift"]["inputSchema"]["required"] == ["reference", "current"]
+    assert len(json.loads(answers[3]["result"]["content"][0]["text"])["rows"]) == 5 and answers[4]["result"]["isError"]
+    assert "error" in answers[5] and not answers[7]["result"]["isError"] and (tmp_path / "h.svg").read_text().startswith("<svg")
+    assert "model of y" in answers[9]["result"]["messages"][0]["content"]["text"]
+
+
 def test_feature_tests(table):
-    found = tuning.boruta(table, "y", ["a", "noise"], rounds=4)
-    assert found["a"] == "confirmed" and found["noise"] != "confirmed"
+    found = {r["feature"]: r for r in tuning.boruta(table, "y", ["a", "noise"], rounds=10, trees=5).collect()}
+    assert found["a"]["decision"] == "confirmed" and found["a"]["rank"] == 1 and found["a"]["hits"] >= 8
+    assert found["noise"]["decision"] != "confirmed" and found["noise"]["rank"] > 1
+    plain = {r["feature"]: r["decision"] for r in tuning.boruta(table, "y", ["a", "noise"], rounds=8, trees=5, two_step=False).collect()}
+    assert plain["a"] == "confirmed"
     fitted = models.train(table, "y", ["a", "noise"], "linear")
     importance = tuning.permutation_importance(table, fitted, "y", ["a", "noise"])
     assert importance["a"] > 10 * abs(importance["noise"])

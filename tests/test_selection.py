@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.errors import NotSupported
-from gridloom.operators import selection
+from gridloom.functions import decorators
+from gridloom.operators import selection, text
 
 
 def test_fisher_exact():
@@ -54,3 +55,44 @@ def test_small_helpers(spark):
     assert [selection.short_number(x) for x in (None, 3, 3.14159, 1234, 5.6e6, 7e9)] == ["–", "3", "3.14", "1.2K", "5.6M", "7.0B"]
     with pytest.raises(NotSupported, match="pretrained"):
         selection.refuse("image_cnn")
+
+
+def test_linkage_and_text_vectors(spark):
+    rng = random.Random(9)
+    spots = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    data = [(i, [x + rng.gauss(0, 0.05) for x in spots[i % 3]]) for i in range(90)] + [(100, None)]
+    found = selection.agglomerate(spark.createDataFrame(data, "k long, v array<double>"), "k", "v", 3, grains=20)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["cluster"], set()).add(r["k"] % 3)
+    assert found.count() == 90 and len(groups) == 3 and all(len(g) == 1 for g in groups.values())
+    texts = spark.createDataFrame([(1, "red apples and pears"), (2, "Red apples, pears!"), (3, "steel bridges"), (4, None), (5, "")], "k long, t string")
+    vectors = {r["k"]: r["embedding"] for r in text.hashed_embeddings(texts, "k", "t", 256).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b]))
+    assert cosine(1, 2) > 0.8 and abs(cosine(1, 3)) < 0.3 and cosine(1, 1) == pytest.approx(1) and not any(vectors[4]) and not any(vectors[5])
+    assert {r["w"] for r in texts.select(text.normalise("t").alias("w")).collect()} == {"red apples pears", "steel bridges", ""}
+    labelled = spark.createDataFrame([(i, "good fine nice" if i % 2 else "bad poor sad", "p" if i % 2 else "n") for i in range(60)] + [(60, "good", None), (61, None, "p")], "k long, t string, l string")
+    predicted = selection.text_classifier(labelled, "k", "t", "l").collect()
+    assert len(predicted) == 62 and all(r["prediction"] == r["label"] for r in predicted if r["label"] is not None and r["k"] < 60)
+    assert next(r for r in predicted if r["k"] == 60)["prediction"] == "p"
+
+
+def test_decorators():
+    calls = []
+
+    @decorators.retry(3, 0, (KeyError,))
+    def shaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise KeyError("x")
+        return 7
+
+    assert shaky() == 7 and len(calls) == 3
+    with pytest.raises(ValueError):
+        decorators.validate(x=lambda v: v > 0)(lambda x: x)(0)
+    assert decorators.suppress(5)(lambda: 1 / 0)() == 5
+    with pytest.warns(DeprecationWarning):
+        decorators.deprecated("old")(lambda: 1)()
+    once = decorators.once(lambda: calls.append(1) or len(calls))
+    assert once() == once() == 4
+    assert decorators.timer(decorators.memory_usage(decorators.log_call(lambda: 3)))() == 3 and decorators.cache(lambda x: x + 1)(1) == 2
