@@ -22,6 +22,8 @@ COMMON_WORDS = (
 ).split()
 _WORD_AT = {w.encode(): i for i, w in reversed(list(enumerate(dict.fromkeys(COMMON_WORDS))))}
 N_WORDS = len(_WORD_AT) + 1
+#: Most languages with a reference, the most frequent ones.
+LANGUAGES = 200
 
 #: Character classes of the histogram, by byte: lead bytes of UTF-8 stand for their characters.
 CLASSES = ("lower", "upper", "digit", "space", "newline", "sentence", "comma", "dash", "symbol", "other", "latin", "wide")
@@ -105,10 +107,11 @@ def references(
     """Histograms of each language, over all texts that pass the base rules and have ``min_words`` words.
 
     Each text counts once, by its shares, so that long texts don't stand for their language. Every
-    task returns one row for each language, and only those sums reach the driver.
+    task returns one row for each language, and only the sums of the ``LANGUAGES`` values with the
+    most texts reach the driver; texts of other values are held against the nearest of these.
     """
     prepare(docs.sparkSession)
-    names = [f"c{i}" for i in range(N_CLASSES)] + [f"w{i}" for i in range(N_WORDS)]
+    names = [f"c{i}" for i in range(N_CLASSES)] + [f"w{i}" for i in range(N_WORDS)] + ["texts"]
 
     def sums(batches):
         total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
@@ -118,7 +121,7 @@ def references(
                 if lang is None or counts[0] < limits.min_words or base_failed(counts[0], counts[4]):
                     continue
                 c, w = histograms(raw)
-                total[lang] += np.concatenate((c / max(c.sum(), 1), w / max(w.sum(), 1)))
+                total[lang] += np.concatenate((c / max(c.sum(), 1), w / max(w.sum(), 1), [1]))
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(list(total), pa.string())}
             | {n: pa.array([float(v[i]) for v in total.values()], pa.float64()) for i, n in enumerate(names)}
@@ -129,9 +132,11 @@ def references(
         .mapInArrow(sums, "lang string, " + ", ".join(f"{n} double" for n in names))
         .groupBy("lang")
         .agg(*(F.sum(n).alias(n) for n in names))
+        .orderBy(F.desc("texts"), "lang")
+        .limit(LANGUAGES)
         .collect()
     )
-    return {r["lang"]: (np.array(r[1 : N_CLASSES + 1]), np.array(r[N_CLASSES + 1 :])) for r in sorted(found)}
+    return {r["lang"]: (np.array(r[1 : N_CLASSES + 1]), np.array(r[N_CLASSES + 1 : -1])) for r in sorted(found)}
 
 
 def verdict(raw: bytes, lang: str | None, refs: dict, limits: Limits) -> tuple:
