@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,23 @@ from gridloom.functions.joins import join_groups
 from gridloom.functions.quantiles import quantiles
 
 
+def convex_hull(xs, ys) -> list[tuple[float, float]]:
+    """Corners against the clock from the least, by the monotone chain."""
+    pts = sorted(set(zip(map(float, xs), map(float, ys))))
+    if len(pts) < 3:
+        return pts
+
+    def half(seq) -> list:
+        out: list = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(pts) + half(reversed(pts))
+
+
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """``bin, lo, hi, n, mean, variance, cumulative``: equal bins, the last closed; empty bins count 0.
 
@@ -76,6 +94,29 @@ def density_2d(df: DataFrame, x: str, y: str, points: int = 20) -> DataFrame:
     return rows.join(F.broadcast(grid), F.lit(True)).groupBy("i", "j", "x", "y").agg(F.sum(kernel).alias("density"))
 
 
+def hull(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
+    """``group, at, x, y``: corners of each group's convex hull, against the clock from the least.
+
+    The hull of all points is that of the parts' hulls: each batch gives its corners alone, of which
+    there are few, and those of a group meet in one task. Rows with a null coordinate are left out.
+    """
+    name = F.lit("all") if group is None else F.col(group).cast("string")
+    rows = df.select(name.alias("group"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop(subset=["x", "y"])
+
+    def corners(frame: pd.DataFrame) -> pd.DataFrame:
+        found = convex_hull(frame["x"].to_numpy(), frame["y"].to_numpy())
+        return pd.DataFrame({"group": [frame["group"].iloc[0]] * len(found), "at": range(len(found)), "x": [p[0] for p in found], "y": [p[1] for p in found]})
+
+    def parts(frames):
+        for frame in frames:
+            found = [corners(part) for _, part in frame.groupby("group", dropna=False)]
+            if found:
+                yield pd.concat(found)[["group", "x", "y"]]
+
+    few = rows.mapInPandas(parts, "group string, x double, y double")
+    return few.groupBy("group").applyInPandas(corners, "group string, at int, x double, y double")
+
+
 def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 20) -> DataFrame:
     """``hx, hy, n``: centres, in units of the range, of the hexagons that hold points."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
@@ -97,20 +97,33 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, by:
     u = draw(key, "split", seed)
     if by is None:
         return df.withColumn("is_test", u < test_share)
-    counts = df.groupBy(F.struct(F.col(by).cast("string").alias("v")).alias("g"), u.alias("x")).agg(F.count("*").alias("n")).persist()
-    found = exact_quantiles(counts.select(F.to_json("g").alias("g"), "x", "n"), "g", "x", "n", [test_share])
-    counts.unpersist()
-    cuts = df.sparkSession.createDataFrame([(g, q[0]) for g, q in found.items()], "g_ string, cut_ double")
-    value = F.to_json(F.struct(F.col(by).cast("string").alias("v")))
-    return df.join(F.broadcast(cuts), value == F.col("g_"), "left").withColumn("is_test", F.coalesce(u < F.col("cut_"), F.lit(False))).drop("g_", "cut_")
+    cuts = _draw_quantiles(df, by, u, [test_share])
+    return cuts.withColumn("is_test", F.coalesce(u < F.get("cuts_", F.lit(0)), F.lit(False))).drop("cuts_")
+
 
+def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, by: str | None = None) -> DataFrame:
+    """``df`` with ``fold`` 0 to k-1 by a draw from the key; no shuffle.
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold`` 0 to k-1 by a draw from the key; no shuffle."""
+    With ``by`` each of its values, which are few, is dealt to the folds evenly, by quantiles of its draws.
+    """
     if k < 2:
         raise DataValidationError("at least two folds")
-    require(df, key)
-    return df.withColumn("fold", F.floor(draw(key, "fold", seed) * k).cast("int"))
+    require(df, key, *([by] if by else []))
+    u = draw(key, "fold", seed)
+    if by is None:
+        return df.withColumn("fold", F.floor(u * k).cast("int"))
+    cuts = _draw_quantiles(df, by, u, [i / k for i in range(1, k)])
+    return cuts.withColumn("fold", F.size(F.filter("cuts_", lambda c: c <= u)).cast("int")).drop("cuts_")
+
+
+def _draw_quantiles(df: DataFrame, by: str, u: Column, at: list[float]) -> DataFrame:
+    """``df`` with ``cuts_``: quantiles of the draws of the row's value of ``by``; a null is a value."""
+    value = F.to_json(F.struct(F.col(by).cast("string").alias("v")))
+    counts = df.groupBy(value.alias("g"), u.alias("x")).agg(F.count("*").alias("n")).persist()
+    found = exact_quantiles(counts, "g", "x", "n", at)
+    counts.unpersist()
+    cuts = df.sparkSession.createDataFrame(list(found.items()), "g_ string, cuts_ array<double>")
+    return df.join(F.broadcast(cuts), value == F.col("g_"), "left").drop("g_")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

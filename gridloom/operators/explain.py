@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,23 +106,38 @@ def word_dropout(df: DataFrame, key: str, text: str, share: float = 0.1, seed: i
     return df.withColumn("augmented", F.when(n > 2, F.array_join(kept, " ")).otherwise(F.col(text)))
 
 
+#: Rows of a label that are numbered together.
+GROUP_ROWS = 50_000
+
+
 def training_pairs(df: DataFrame, key: str, label: str, per_row: int = 1, seed: int = 42) -> DataFrame:
-    """``key, other, same``: for each row, ``per_row`` partners of its label and as many of others.
+    """``key, other, same``: for each row, ``per_row`` partners of its label and as many of the next label.
 
-    Rows stand in a hashed order within their label, and partners are the next ones: a join on
-    numbers, not of all rows with all.
+    A label's rows are dealt to groups of about ``GROUP_ROWS`` by a hash and stand in hashed order within
+    theirs, so no task numbers a whole label; partners are the next ones of the group, or of a group
+    of the next label: a join on numbers, not of all rows with all. Labels are few; rows without one are left out.
     """
     require(df, key, label)
     order = F.xxhash64(F.col(key), F.lit(seed))
-    base = df.select(key, label)
-    within = base.withColumn("at_", F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1)
-    sizes = base.groupBy(label).agg(F.count("*").alias("n_"))
-    ranked = sizes.withColumn("rank_", F.row_number().over(Window.partitionBy().orderBy(label)) - 1).withColumn("labels_", F.count("*").over(Window.partitionBy()))
-    wide = within.join(F.broadcast(ranked), label)
-    step = wide.withColumn("s_", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
-    same = step.where("n_ > 1").select(F.col(key), F.col("rank_").alias("r_"), F.pmod(F.col("at_") + F.col("s_"), F.col("n_")).alias("p_"), F.lit(True).alias("same"))
-    far = step.where("labels_ > 1").select(F.col(key), F.pmod(F.col("rank_") + 1, F.col("labels_")).alias("r_"), (F.col("at_") + F.col("s_")).alias("q_"))
-    counts = ranked.select(F.col("rank_").alias("r_"), F.col("n_").alias("m_"))
-    other = far.join(F.broadcast(counts), "r_").select(key, "r_", F.pmod(F.col("q_"), F.col("m_")).alias("p_"), F.lit(False).alias("same"))
-    partners = wide.select(F.col("rank_").alias("r_"), F.col("at_").alias("p_"), F.col(key).alias("other"))
-    return same.union(other).join(partners, ["r_", "p_"]).select(key, "other", "same")
+    base = df.where(F.col(label).isNotNull()).select(key, label)
+    sizes = base.groupBy(label).agg(F.count("*").alias("n_")).orderBy(label).collect()
+    if not sizes:
+        return base.select(key, F.col(key).alias("other"), F.lit(True).alias("same"))
+    ranks = [(r[label], i, -(-r["n_"] // GROUP_ROWS)) for i, r in enumerate(sizes)]
+    kinds = T.StructType([base.schema[label], T.StructField("rank_", T.IntegerType()), T.StructField("groups_", T.LongType())])
+    ranked = df.sparkSession.createDataFrame(ranks, kinds)
+    placed = base.join(F.broadcast(ranked), label).withColumn("g_", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.col("groups_")))
+    within = Window.partitionBy("rank_", "g_")
+    placed = placed.select(key, "rank_", "g_", (F.row_number().over(within.orderBy(order, key)) - 1).alias("at_"))
+    counts = placed.groupBy("rank_", "g_").agg(F.count("*").alias("n_"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(per_row)))
+    own = placed.join(F.broadcast(counts), ["rank_", "g_"]).where("n_ > 1").select(key, "rank_", "g_", "at_", "n_", step.alias("s_"))
+    same = own.select(key, "rank_", "g_", F.pmod(F.col("at_") + F.col("s_"), F.col("n_")).alias("at_"), F.lit(True).alias("same"))
+    parts = [same]
+    if len(ranks) > 1:
+        following = df.sparkSession.createDataFrame([(i, (i + 1) % len(ranks), ranks[(i + 1) % len(ranks)][2]) for i in range(len(ranks))], "rank_ int, next_ int, next_groups_ long")
+        far = placed.join(F.broadcast(following), "rank_").select(key, F.col("next_").alias("rank_"), F.pmod("g_", "next_groups_").alias("g_"), "at_", step.alias("s_"))
+        far = far.join(F.broadcast(counts), ["rank_", "g_"])
+        parts.append(far.select(key, "rank_", "g_", F.pmod(F.col("at_") + F.col("s_"), F.col("n_")).alias("at_"), F.lit(False).alias("same")))
+    partners = placed.select("rank_", "g_", "at_", F.col(key).alias("other"))
+    return reduce(DataFrame.union, parts).join(partners, ["rank_", "g_", "at_"]).select(key, "other", "same")

@@ -260,9 +260,17 @@ def prepare(df: DataFrame, features: list[str], scale: bool = True) -> list:
 
 
 def train(df: DataFrame, target: str, features: list[str], model: str, task: str = "regression", **options) -> PipelineModel:
-    """The whole pipeline, from raw columns to ``prediction``; text targets are indexed."""
+    """The whole pipeline, from raw columns to ``prediction``; text targets are indexed.
+
+    ``early_stopping`` ends boosted trees once a fifth of the rows, by their features' hash, gains no more.
+    """
     require(df, target, *features)
     df = df.where(F.col(target).isNotNull())
+    if options.pop("early_stopping", False):
+        if not model.startswith("gbt"):
+            raise NotSupported("early stopping is of boosted trees")
+        df = df.withColumn("validate_", F.pmod(F.xxhash64(*features), F.lit(5)) == 0)
+        options["validationIndicatorCol"] = "validate_"
     stages = prepare(df, features, scale=not model.startswith(("naive", "tree", "gbt", "random")))
     label = target
     if task == "classification" and target in ColumnRoles.of(df).text:
@@ -278,8 +286,11 @@ def train(df: DataFrame, target: str, features: list[str], model: str, task: str
 def cluster(df: DataFrame, features: list[str], k: int = 5, method: str = "kmeans") -> DataFrame:
     """``df`` with ``cluster``; rows with a null feature are left out."""
     require(df, *features)
-    fitted = Pipeline(stages=[*prepare(df, features), estimator(method, k=k, predictionCol="cluster")]).fit(df)
-    return fitted.transform(df).select(*df.columns, "cluster")
+    ready = Pipeline(stages=prepare(df, features)).fit(df).transform(df)
+    vectors = ready.select("features").persist()
+    fitted = estimator(method, k=k, predictionCol="cluster").fit(vectors)
+    vectors.unpersist()
+    return fitted.transform(ready).select(*df.columns, "cluster")
 
 
 def soft_vote(df: DataFrame, probabilities: list[str]) -> DataFrame:

@@ -38,16 +38,29 @@ def refuse(name: str):
     raise NotSupported(f"{name}: {UNSUPPORTED.get(name, 'not known')}")
 
 
-def grid_search(df: DataFrame, key: str, target: str, features: list[str], model: str, grid: dict[str, list], task: str = "regression", k: int = 3) -> dict:
-    """The settings of a grid with the best mean score over k folds."""
+def grid_search(
+    df: DataFrame, key: str, target: str, features: list[str], model: str, grid: dict[str, list], task: str = "regression", k: int = 3, test_share: float = 0.2
+) -> dict:
+    """The settings of a grid with the best mean score over k folds, and what the model of them does with rows held out.
+
+    ``metric, score, options, trials`` are of the folds; ``model`` learns from all rows but a
+    ``test_share``, whose ``predictions`` and ``test`` metrics come with it. Classes are split evenly.
+    """
     name, more = tuning.main_metric(task)
+    parts = clean.split(df, key, test_share, by=target if task == "classification" else None).persist()
+    known, test = parts.where("not is_test").drop("is_test"), parts.where("is_test").drop("is_test")
     found = []
     for values in product(*grid.values()):
         options = dict(zip(grid, values))
-        score = tuning.cross_validate(df, key, target, features, model, task, k, **options)[name]["mean"]
+        score = tuning.cross_validate(known, key, target, features, model, task, k, **options)[name]["mean"]
         found.append((score, options))
     best = (max if more else min)(found, key=lambda r: r[0])
-    return {"metric": name, "score": best[0], "options": best[1], "trials": found}
+    fitted = models.train(known, target, features, model, task, **best[1])
+    scored = fitted.transform(test)
+    label = f"{target}_at_" if f"{target}_at_" in scored.columns else target
+    result = tuning.score(scored, label, task)
+    parts.unpersist()
+    return {"metric": name, "score": best[0], "options": best[1], "trials": found, "model": fitted, "predictions": scored.select(key, target, "prediction"), "test": result}
 
 
 def best_head(df: DataFrame, key: str, label: str, vector: str, names: tuple[str, ...] = ("logistic", "svc", "random_forest_classifier"), k: int = 3) -> dict[str, float]:
@@ -102,8 +115,20 @@ def text_classifier(df: DataFrame, key: str, text: str, label: str, vocabulary:
 
 def cluster_texts(df: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """``key, cluster`` of embedded texts, by direction."""
-    ready = df.select(key, array_to_vector(unit(vector)).alias("features"))
-    return KMeans(k=k, seed=42, predictionCol="cluster").fit(ready).transform(ready).select(key, "cluster")
+    return _k_means(df.select(key, array_to_vector(unit(vector)).alias("features")), key, k)
+
+
+def _k_means(ready: DataFrame, key: str, k: int) -> DataFrame:
+    """``key, cluster``; the vectors are kept while the centres move."""
+    ready.persist()
+    fitted = KMeans(k=k, seed=42, predictionCol="cluster").fit(ready)
+    ready.unpersist()
+    return fitted.transform(ready).select(key, "cluster")
+
+
+def cluster_arrays(df: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+    """``key, cluster`` of arrays of one length, such as the pixels of small images, by k-means; null ones are left out."""
+    return _k_means(df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")), key, k)
 
 
 def agglomerate(df: DataFrame, key: str, vector: str, k: int = 5, grains: int = 200) -> DataFrame:

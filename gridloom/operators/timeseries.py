@@ -101,6 +101,32 @@ def walk_forward(df: DataFrame, k: int, horizon: int, series: str = "series") ->
     return spine.where(end < F.col("n_")).select(series, "fold", end.cast("long").alias("train_end"), F.least(end + horizon, F.col("n_")).cast("long").alias("test_end"))
 
 
+def walk_forward_scores(
+    df: DataFrame, k: int, horizon: int, period: int = 1, alpha: float | None = None, series: str = "series", pos: str = "pos", value: str = "value"
+) -> DataFrame:
+    """``series, fold, n, mae, rmse, mape``: exponential smoothing fitted before each fold's end, against what follows.
+
+    A task for each fold of each series; values are repeated once for each fold that learns from or tests them.
+    """
+    place = F.row_number().over(Window.partitionBy(series).orderBy(pos)).alias("at_")
+    ends = walk_forward(df.where(F.col(value).isNotNull()), k, horizon, series)
+    rows = join_groups(df.where(F.col(value).isNotNull()).select(series, place, F.col(value).cast("double").alias("v_")), ends, series, how="inner").where("at_ <= test_end")
+    kind = df.schema[series].dataType.simpleString()
+
+    def judge(frame: pd.DataFrame) -> pd.DataFrame:
+        y = frame.sort_values("at_")["v_"].to_numpy(float)
+        known = int(frame["train_end"].iloc[0])
+        choices = [alpha] if alpha is not None else [a / 10 for a in range(1, 10)]
+        ahead, _ = min((_smooth(y[:known], period, a, 0.1, 0.1, horizon) for a in choices), key=lambda r: r[1])
+        e = y[known:] - ahead[: len(y) - known]
+        share = float(np.mean(np.abs(e / (y[known:] + 1e-8))) * 100) if len(e) else None
+        return pd.DataFrame(
+            {series: [frame[series].iloc[0]], "fold": [int(frame["fold"].iloc[0])], "n": [len(e)], "mae": [float(np.mean(np.abs(e)))], "rmse": [float(np.sqrt(np.mean(e**2)))], "mape": [share]}
+        )
+
+    return rows.groupBy(series, "fold").applyInPandas(judge, f"`{series}` {kind}, fold int, n long, mae double, rmse double, mape double")
+
+
 def auto_method(n: int, period: int) -> str:
     """Which forecast suits a series of n values with this period."""
     if period > 1:

@@ -6,6 +6,8 @@ import html
 import math
 from collections import defaultdict
 
+from gridloom.operators.charts import convex_hull
+
 PALETTE = ("#4e79a7", "#f28e2b", "#59a14f", "#e15759", "#76b7b2", "#edc948", "#b07aa1", "#9c755f")
 W, H, PAD = 640, 400, 40
 
@@ -196,27 +198,10 @@ def parallel(axes: list, rows: list[list[float]]) -> str:
     return svg("".join(out + [_text(x(i), H - PAD / 2, a) for i, a in enumerate(axes)]))
 
 
-def hull(xs: list[float], ys: list[float]) -> list[tuple[float, float]]:
-    """Convex hull, counter-clockwise, by the monotone chain."""
-    pts = sorted(set(zip(xs, ys)))
-    if len(pts) < 3:
-        return pts
-
-    def half(seq):
-        out: list = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return half(pts) + half(reversed(pts))
-
-
 def hulls(groups: dict[str, tuple[list[float], list[float]]]) -> str:
     flat_x, flat_y = [v for x, _ in groups.values() for v in x], [v for _, y in groups.values() for v in y]
     x, y = _scale(min(flat_x, default=0), max(flat_x, default=1), PAD, W - PAD), _scale(min(flat_y, default=0), max(flat_y, default=1), H - PAD, PAD)
-    return svg("".join(_path([(x(a), y(b)) for a, b in hull(*g)], colour(k) + "40", colour(k), True) for k, g in enumerate(groups.values()) if len(set(zip(*g))) >= 3))
+    return svg("".join(_path([(x(a), y(b)) for a, b in convex_hull(*g)], colour(k) + "40", colour(k), True) for k, g in enumerate(groups.values()) if len(set(zip(*g))) >= 3))
 
 
 def tree(rows: list[tuple[str, float]]) -> dict:
@@ -421,11 +406,90 @@ def voronoi(pts: list[tuple[float, float]], labels: list | None = None) -> str:
     return svg("".join(out))
 
 
+Polygon = list[tuple[float, float]]
+
+
+def _area(cell: Polygon) -> float:
+    return abs(sum(x * v - u * y for (x, y), (u, v) in zip(cell, cell[1:] + cell[:1]))) / 2
+
+
+def _middle(cell: Polygon) -> tuple[float, float]:
+    """The centre of a polygon's area."""
+    total = cx = cy = 0.0
+    for (x, y), (u, v) in zip(cell, cell[1:] + cell[:1]):
+        cross = x * v - u * y
+        total, cx, cy = total + cross, cx + (x + u) * cross, cy + (y + v) * cross
+    return (cx / (3 * total), cy / (3 * total)) if total else cell[0]
+
+
+def _clipped(cell: Polygon, a: float, b: float, c: float) -> Polygon:
+    """The part of a convex polygon where a * x + b * y <= c."""
+    out: Polygon = []
+    for k, v in enumerate(cell):
+        u = cell[k - 1]
+        p, q = a * u[0] + b * u[1] - c, a * v[0] + b * v[1] - c
+        if (p <= 0) != (q <= 0):
+            t = p / (p - q)
+            out.append((u[0] + t * (v[0] - u[0]), u[1] + t * (v[1] - u[1])))
+        if q <= 0:
+            out.append(v)
+    return out
+
+
+def power_cells(frame: Polygon, sites: list[tuple[float, float]], weights: list[float]) -> list[Polygon]:
+    """Where each site is nearest by squared distance less its weight."""
+    cells = []
+    for i, (x, y) in enumerate(sites):
+        cell = frame
+        for j, (u, v) in enumerate(sites):
+            if i != j and cell:
+                cell = _clipped(cell, 2 * (u - x), 2 * (v - y), u * u + v * v - weights[j] - x * x - y * y + weights[i])
+        cells.append(cell)
+    return cells
+
+
+def shares_of(frame: Polygon, values: list[float], rounds: int = 200) -> list[Polygon]:
+    """A convex polygon cut into convex cells whose areas are as the values.
+
+    Sites move to their cells' centres while weights grow for cells that are too small.
+    """
+    if len(values) == 1:
+        return [frame]
+    whole, total = _area(frame), sum(values)
+    cx, cy = _middle(frame)
+    reach = 0.5 * math.sqrt(whole / math.pi)
+    sites = [(cx + reach * math.sqrt((i + 0.5) / len(values)) * math.cos(i * 2.399963), cy + reach * math.sqrt((i + 0.5) / len(values)) * math.sin(i * 2.399963)) for i in range(len(values))]
+    weights, best = [0.0] * len(values), (math.inf, [frame])
+    for _ in range(rounds):
+        cells = power_cells(frame, sites, weights)
+        areas = [_area(cell) if len(cell) > 2 else 0.0 for cell in cells]
+        gap = max(abs(a / whole - v / total) for a, v in zip(areas, values))
+        if all(areas) and gap < best[0]:
+            best = (gap, cells)
+        if gap < 0.002 and all(areas):
+            break
+        sites = [_middle(cell) if a else site for cell, a, site in zip(cells, areas, sites)]
+        weights = [w + 0.5 * (whole * v / total - a) / math.pi for w, a, v in zip(weights, areas, values)]
+    return best[1] if len(best[1]) == len(values) else cells
+
+
 def voronoi_treemap(root: dict) -> str:
-    """Cells around leaf centres laid on a sunflower, heavier leaves nearer the middle."""
-    leaves = sorted(root["children"], key=lambda n: -n["value"])
-    pts = [(math.sqrt(i + 0.5) * math.cos(i * 2.399963), math.sqrt(i + 0.5) * math.sin(i * 2.399963)) for i in range(len(leaves))]
-    return voronoi(pts, [n["name"] for n in leaves])
+    """Convex cells with areas as the values, at every depth within the cell of the node above."""
+    out: list[str] = []
+
+    def draw(node: dict, frame: Polygon, shade: int, depth: int) -> None:
+        children = [n for n in sorted(node["children"], key=lambda n: -n["value"]) if n["value"] > 0]
+        if not children:
+            out.append(_path(frame, colour(shade) + "80", "white", True))
+            out.append(_text(*_middle(frame), node["name"]))
+            return
+        for i, (child, cell) in enumerate(zip(children, shares_of(frame, [n["value"] for n in children]))):
+            if len(cell) > 2:
+                draw(child, cell, i if depth == 0 else shade, depth + 1)
+        out.append(_path(frame, "none", "white", True))
+
+    draw(root, [(float(PAD), float(PAD)), (float(W - PAD), float(PAD)), (float(W - PAD), float(H - PAD)), (float(PAD), float(H - PAD))], 0, 0)
+    return svg("".join(out))
 
 
 def plot_spec(kind: str, x: list, series: dict[str, list], title: str = "", stacked: bool = False) -> dict:

@@ -40,6 +40,17 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return df
 
 
+def as_table(spark: SparkSession, data) -> DataFrame:
+    """A Spark table as it is, or one made of a pandas or Arrow table or of what has ``to_arrow`` or ``collect`` (lazy frames)."""
+    if isinstance(data, DataFrame):
+        return data
+    if not hasattr(data, "to_arrow") and not hasattr(data, "columns") and hasattr(data, "collect"):
+        data = data.collect()
+    if hasattr(data, "to_arrow"):
+        data = data.to_arrow()
+    return spark.createDataFrame(data)
+
+
 def from_records(spark: SparkSession, payload: dict | list, schema: T.StructType | str) -> DataFrame:
     """Records of a request: a list, an object with ``instances`` or ``data``, or one object."""
     if isinstance(payload, dict):

@@ -5,12 +5,14 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.errors import ConfigError, DataLoadError, DataValidationError, DriftDetectionError, NotSupported
 from gridloom.functions import joins, quantiles
-from gridloom.operators import anomaly, charts, clean, drift, fairness, metrics, models, profile, text
+from gridloom.operators import anomaly, charts, clean, drift, fairness, metrics, models, profile, selection, text
 from gridloom.operators import timeseries as ts
 from gridloom.operators.features import FeatureEngineer
 from gridloom.roles import ColumnRoles, nan_to_null
@@ -261,6 +263,29 @@ def test_null_groups_stay(spark):
     assert clean.split(df, "k", 0.5, by="l").count() == 3
 
 
+def test_hulls_folds_and_walks(spark):
+    rng = random.Random(12)
+    data = [(i, rng.gauss(0, 1), rng.gauss(0, 1), "ab"[i % 2]) for i in range(400)] + [(900, None, 1.0, "a"), (901, 0.0, 0.0, None)]
+    df = spark.createDataFrame(data, "k long, x double, y double, g string").repartition(5)
+    found = charts.hull(df, "x", "y", "g").orderBy("group", "at").collect()
+    for g in "ab":
+        mine = [(r["x"], r["y"]) for r in found if r["group"] == g]
+        assert mine == charts.convex_hull(*zip(*[(x, y) for _, x, y, h in data if h == g and x is not None]))
+    assert [(r["x"], r["y"]) for r in found if r["group"] is None] == [(0.0, 0.0)]
+    even = clean.folds(df, "k", 4, by="g").groupBy("g", "fold").count().where("g is not null").collect()
+    assert len(even) == 8 and all(50 <= r["count"] <= 51 for r in even)
+    y = [math.sin(2 * math.pi * i / 12) * 10 + 50 for i in range(120)]
+    series = spark.createDataFrame([(s, i, v) for s in ("s", None) for i, v in enumerate(y)], "series string, pos int, value double")
+    scores = ts.walk_forward_scores(series, 3, 12, 12).collect()
+    assert len(scores) == 6 and all(r["n"] == 12 and r["mae"] < 3 and r["mape"] < 10 for r in scores)
+    stopped = models.train(df.na.drop(), "y", ["x"], "gbt_regressor", maxIter=40, early_stopping=True)
+    assert stopped.stages[-1].getNumTrees < 40  # noise gains nothing
+    pixels = spark.createDataFrame([(i, [float(i % 2)] * 4) for i in range(20)] + [(20, None)], "k long, p array<double>")
+    assert selection.cluster_arrays(pixels, "k", "p", 2).groupBy((F.col("k") % 2).alias("m"), "cluster").count().count() == 2
+    assert files.as_table(spark, pd.DataFrame({"a": [1, 2]})).count() == 2 and files.as_table(spark, df) is df
+    assert files.as_table(spark, pa.table({"a": [1]})).count() == 1
+
+
 def test_charts_on_degenerate_data(spark):
     one = spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double")
     assert charts.histogram(one, "x", 4).agg(F.sum("n")).first()[0] == 3

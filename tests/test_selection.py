@@ -44,7 +44,9 @@ def test_search_and_heads(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(i, a := rng.gauss(0, 1), 3 * a, float(a > 0), [a, rng.gauss(0, 1)]) for i in range(150)], "k long, a double, y double, l double, v array<double>")
     best = selection.grid_search(df, "k", "y", ["a"], "elastic_net", {"regParam": [0.001, 10.0]}, k=2)
-    assert best["options"] == {"regParam": 0.001}
+    assert best["options"] == {"regParam": 0.001} and best["test"]["r2"] > 0.9
+    held = best["predictions"]
+    assert held.columns == ["k", "y", "prediction"] and 10 < held.count() < 60
     heads = selection.best_head(df, "k", "l", "v", ("logistic", "svc"), k=2)
     assert set(heads) == {"logistic", "svc"} and max(heads.values()) > 0.9
 
