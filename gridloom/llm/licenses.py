@@ -45,6 +45,42 @@ TEMPLATES = {
         "fee is hereby granted"
     ),
     "all-rights-reserved": "All rights reserved",
+    "apache-notice": (
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    ),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version."
+    ),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
+    "bsd-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission"
+    ),
+    "as-is": (
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software."
+    ),
+    "boost": "Distributed under the Boost Software License, Version 1.0",
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    ),
+    "cc0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and "
+        "related or neighboring rights to this work"
+    ),
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document",
 }
 THRESHOLD = 0.8
 #: Words of a window over line ends, as a multiple of the template's words.
