@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -76,14 +77,18 @@ class Memo(dict):
         self[chunk] = value
         return value
 
+    def _unknown(self, chunks: set[bytes]):
+        # a set's difference with such a dict would walk through all of the dict
+        return filterfalse(self.__contains__, filterfalse(self.old.__contains__, chunks))
+
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the unknown ones among ``chunks`` in few calls to the library."""
         self._turn()
         fresh = set()
-        for chunk in chunks.difference(self).difference(self.old):
+        for chunk in self._unknown(chunks):
             base = chunk.rstrip(TAIL)
             fresh.add(base if base and letters_end(base) else chunk)
-        fresh = list(fresh.difference(self).difference(self.old))
+        fresh = list(self._unknown(fresh))
         if self.many is not None:
             self.update(zip(fresh, self.many(self.tokenizer, fresh)))
         else:

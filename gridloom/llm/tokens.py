@@ -18,6 +18,7 @@ CHUNK = re.compile(rb"[ \t-\r]*+[^ \t-\r]++|[ \t-\r]++")
 #: White space beyond ASCII, and the chunks of a text that has some.
 _WIDE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 WIDE_SPACE = re.compile(_WIDE)
+_WIDE_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 WIDE_CHUNK = re.compile(rb"(?:[ \t-\r]|%s)*+(?:(?![ \t-\r]|%s)[\s\S])++|(?:[ \t-\r]|%s)++" % ((_WIDE,) * 3))
 
 
@@ -39,7 +40,7 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
         tables.clear()
 
     for i, raw in enumerate(texts):
-        wide = not raw.isascii() and WIDE_SPACE.search(raw)
+        wide = not raw.isascii() and any(lead in raw for lead in _WIDE_LEADS) and WIDE_SPACE.search(raw)
         tables.append((i, Counter((WIDE_CHUNK if wide else CHUNK).findall(raw))))
         size += len(raw)
         if size > 4_000_000:
