@@ -27,6 +27,7 @@ TEMPLATE = "data: data.parquet\ntarget: y\ntask: regression\nengineer: false\ntu
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gridloom")
     p.add_argument("--master", help="Spark master; the cluster's default otherwise")
+    p.add_argument("--format", choices=("json", "csv", "table"), default="json", help="of tables that go to stdout")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *args: str, **options) -> None:
@@ -48,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     command("embed", "data", "column", size=64, output=None)
     command("serve", "artifact", host="127.0.0.1", port=8000)
     command("mcp")
-    command("export", "artifact", "format")
+    command("export", "artifact", "kind")
     command("init", "folder")
     command("quality", "data", html=None)
     command("drift", "reference", "current", threshold=0.2, output=None)
@@ -58,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
     command("engineer", "data", target=None, output=None)
     command("cluster", "data", n_clusters=5, method="kmeans", features=(), output=None)
     command("run", "data", "target", task="regression", engineer=False, tune=False, n_trials=10, test_size=0.2, save=None)
-    command("tune", "data", "target", task="regression", n_trials=10, tune_method="random", test_size=0.2, save=None)
+    command("tune", "data", "target", task="regression", n_trials=10, tune_method="tpe", test_size=0.2, save=None)
     command("predict", "artifact", "data", output=None)
     command("validate", "artifact", "data")
     command("info", "artifact")
@@ -73,12 +74,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+FORMAT = "json"
+
+
 def show(df: DataFrame, output: str | None) -> None:
     if output:
         files.save(df, output)
     else:
-        for row in df.toLocalIterator():
-            print(json.dumps(row.asDict(recursive=True), default=str))
+        for line in files.lines_of(df, FORMAT):
+            print(line)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -109,6 +113,8 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def run(a: argparse.Namespace) -> None:
+    global FORMAT
+    FORMAT = a.format
     spark = session(a.master)
     if a.command == "describe":
         show(services.describe(spark, a.data), a.output)
@@ -140,7 +146,7 @@ def run(a: argparse.Namespace) -> None:
         tune = a.command == "tune" or a.tune
         c = config.TrainConfig(
             data=a.data, target=a.target, task=a.task, engineer=getattr(a, "engineer", False), tune=tune, n_trials=a.n_trials,
-            tune_method=getattr(a, "tune_method", "random"), test_size=a.test_size, save=a.save,
+            tune_method=getattr(a, "tune_method", "tpe"), test_size=a.test_size, save=a.save,
         )
         print(json.dumps(services.train(spark, c).metrics))
     elif a.command == "explain":
@@ -157,7 +163,7 @@ def run(a: argparse.Namespace) -> None:
     elif a.command == "mcp":
         serve.serve_lines(serve.Tools(spark), sys.stdin, sys.stdout)
     elif a.command == "export":
-        refuse(a.format)
+        refuse(a.kind)
     elif a.command == "predict":
         show(services.predict(spark, a.artifact, a.data), a.output)
     elif a.command == "validate":

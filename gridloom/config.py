@@ -24,7 +24,7 @@ class TrainConfig(Config):
     engineer: bool = False
     tune: bool = False
     n_trials: Annotated[int, Field(ge=1, le=500)] = 50
-    tune_method: Literal["random", "halving"] = "random"
+    tune_method: Literal["tpe", "random", "halving"] = "tpe"
     test_size: Annotated[float, Field(gt=0, lt=1)] = 0.2
     objective: str | None = None  #: of the choice of model, where it is not the task
     ensemble: Literal["voting", "stacking"] | None = None

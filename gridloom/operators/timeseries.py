@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,22 @@ def sequences(df: DataFrame, length: int, series: str = "series", pos: str = "po
     return df.select(series, pos, F.collect_list(value).over(w).alias("sequence")).where(F.size("sequence") == length)
 
 
+def sequence_errors(df: DataFrame, length: int = 24, k: int = 2, series: str = "series", pos: str = "pos", value: str = "value") -> DataFrame:
+    """``series, pos, error``: squared distance of each run of ``length`` values to the k main shapes of all runs.
+
+    Runs are taken less their mean. Principal components of the runs stand in for a convolutional
+    autoencoder, which they are not. ``residual_anomalies`` of the errors flags odd runs.
+    """
+    runs = sequences(df.where(F.col(value).isNotNull()), length, series, pos, value)
+    mean = F.aggregate("sequence", F.lit(0.0), lambda s, v: s + v) / length
+    flat = runs.withColumn("m_", mean).select(series, pos, F.transform("sequence", lambda v: v - F.col("m_")).alias("x_"))
+    ready = flat.withColumn("features", array_to_vector("x_"))
+    fitted = PCA(k=min(k, length), inputCol="features", outputCol="pc_").fit(ready)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    found = fitted.transform(ready).withColumn("p_", vector_to_array("pc_"))
+    return found.select(series, pos, F.greatest(F.lit(0.0), square("x_") - square("p_")).alias("error"))
+
+
 def autocorrelation(df: DataFrame, most_lags: int = 100, series: str = "series", pos: str = "pos", value: str = "value") -> DataFrame:
     """``series, lag, acf`` for lags 0 to min(n / 2, most_lags).
 

@@ -137,7 +137,8 @@ def _fit(parts: DataFrame, c: config.TrainConfig, features: list[str]) -> tuple[
             grid = [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (50, 100, 200) for d in (3, 5, 8) for s in (0.01, 0.05, 0.1)]
             options = tuning.halving(known, "row_key_", c.target, features, name, grid, c.task.value)["options"]
         else:
-            options = tuning.random_search(known, "row_key_", c.target, features, name, c.task.value, c.n_trials)["options"]
+            search = tuning.random_search if c.tune_method == "random" else tuning.tpe_search
+            options = search(known, "row_key_", c.target, features, name, c.task.value, c.n_trials)["options"]
     return models.train(known, c.target, features, name, c.task.value, **options), name, options
 
 
@@ -245,12 +246,12 @@ def validate(spark: SparkSession, artifact: str, path: str) -> dict:
 def run_pipeline(spark: SparkSession, text: str) -> Artifact:
     """What a pipeline's YAML says: load, engineer, tune or choose, train, validate, save.
 
-    ``tune`` is true, or a mapping with ``method`` (random, halving) and ``n_trials``; ``validate`` a
+    ``tune`` is true, or a mapping with ``method`` (tpe, random, halving) and ``n_trials``; ``validate`` a
     mapping with ``test_data`` and, for a page, ``report``.
     """
     c = files.pipeline_config(text)
     tune = c["tune"] if isinstance(c["tune"], dict) else {}
-    method = "halving" if tune.get("method") == "halving" else "random"
+    method = {"halving": "halving", "random": "random"}.get(tune.get("method", ""), "tpe")
     found = train(
         spark,
         config.TrainConfig(

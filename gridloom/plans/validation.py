@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom import config
 from gridloom.functions.draws import draw_sql
 from gridloom.operators import anomaly, charts, clean, drift, explain, models, selection, text, tuning
 from gridloom.operators import timeseries as ts
-from gridloom.plans import chain
+from gridloom.plans import chain, services
 from gridloom.plans.analytics import _H, _UNIT, _WORDS, _hourly
-from gridloom.plans.artifact import feature_schema, schema_table
+from gridloom.plans.artifact import Artifact, compare, feature_schema, schema_table
 from gridloom.plans.registry import query, read, rounded
 from gridloom.plans.report import shade_column
 from gridloom.roles import ColumnRoles
@@ -277,6 +278,93 @@ def chained_steps(spark, sf_dir):
     return flow.run().df
 
 
+@query("SELECT * FROM (VALUES ('a', NULL::DOUBLE, 0.1::DOUBLE), ('b', 2.0, 0.2)) t(model, mae, rmse)")
+def compared_artifacts(spark, sf_dir):
+    bare = lambda metrics: Artifact(None, {}, metrics, {})
+    return compare({"a": bare({"rmse": 0.1}), "b": bare({"rmse": 0.2, "mae": 2})}, spark)
+
+
+@query("SELECT * FROM (VALUES ('data', 'd.csv'), ('engineer', 'False'), ('save', 'None'), ('target', 'y'), ('task', 'regression'), ('test_size', '0.3'), ('tune', '{''method'': ''halving''}'), ('validate', 'True')) t(key, value)")
+def pipeline_settings(spark, sf_dir):
+    found = files.pipeline_config("data: d.csv\ntarget: y\ntask: regression\ntest_size: 0.3\ntune:\n  method: halving\n")
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "key string, value string")
+
+
+@query("SELECT * FROM (VALUES ('a.x', 1), ('a.y', 3), ('b', 4)) t(key, value)")
+def merged_settings(spark, sf_dir):
+    found = files.merged({"a": {"x": 1, "y": 2}}, {"a": {"y": 3}}, {"b": 4})
+    rows = [(f"a.{k}", v) for k, v in found["a"].items()] + [("b", found["b"])]
+    return spark.createDataFrame(rows, "key string, value int")
+
+
+@query(
+    """WITH g AS (SELECT l_returnflag AS grp, avg((l_linenumber = 1)::INT::DOUBLE) AS s FROM lineitem GROUP BY 1), o AS (SELECT min(s) / max(s) AS dp FROM g)
+       SELECT 'demographic_parity_ratio' AS metric, round(dp, 6) AS value, dp >= 0.8 AS fair FROM o UNION ALL SELECT 'equalized_odds_tpr_diff', 0.0, true FROM o
+       UNION ALL SELECT 'equalized_odds_fpr_diff', 0.0, true FROM o UNION ALL SELECT 'disparate_impact_ratio', round(dp, 6), dp >= 0.8 FROM o
+       UNION ALL SELECT 'equal_opportunity_diff', 0.0, true FROM o"""
+)
+def fairness_service(spark, sf_dir):
+    c = config.FairnessConfig(data=f"{sf_dir}/lineitem.parquet", target="l_linenumber", predicted="l_linenumber", sensitive="l_returnflag")
+    return rounded(services.check_fairness(spark, c))
+
+
+@query("SELECT * FROM (VALUES ('c_custkey'), ('c_nationkey'), ('c_acctbal')) t(feature), (SELECT 0.0::DOUBLE AS psi, 0.0::DOUBLE AS ks_statistic, 1.0::DOUBLE AS ks_p_value, false AS psi_drifted, false AS ks_drifted, false AS drifted)")
+def drift_service(spark, sf_dir):
+    path = f"{sf_dir}/customer.parquet"
+    return rounded(services.detect_drift(spark, config.DriftConfig(reference=path, current=path)))
+
+
+@query("SELECT count(*) AS n, true AS better_than_mean, true AS on_rows_held_out FROM part")
+def train_service(spark, sf_dir):
+    path = f"{sf_dir}/part.parquet"
+    made = services.train(spark, config.TrainConfig(data=path, target="p_retailprice"))
+    scored = made.predict(files.load(spark, path))
+    return scored.agg(F.count("prediction").alias("n"), F.lit(made.metrics["r2"] > 0.05).alias("better_than_mean"), (F.count("*") > made.metrics["n"] * 3).alias("on_rows_held_out"))
+
+
+@query(
+    "SELECT count(*) AS n, true AS some_flagged, true AS all_columns FROM customer"
+)
+def anomaly_service(spark, sf_dir):
+    found = services.detect_anomalies(spark, config.AnomalyConfig(data=f"{sf_dir}/customer.parquet", contamination=0.1, consensus=1))
+    wanted = {"iforest", "lof", "consensus_score", "is_anomaly", "c_custkey"} <= set(found.columns)
+    return found.agg(F.count("*").alias("n"), (F.count_if("is_anomaly") >= F.count("*") * 0.09).alias("some_flagged"), F.lit(wanted).alias("all_columns"))
+
+
+@query("SELECT true AS grid, true AS parzen, true AS stacked, true AS moved, true AS halved")
+def tuning_holds(spark, sf_dir):
+    df = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey", "p_size", (F.col("p_size") * 3.0 + F.col("p_partkey") % 7).alias("y"), (F.col("p_partkey") % 5).alias("noise"))
+    grid = selection.grid_search(df, "p_partkey", "y", ["p_size"], "ridge", {"regParam": [0.001, 1000.0]}, k=2)
+    parzen = tuning.tpe_search(df, "p_partkey", "y", ["p_size"], "ridge", trials=6, startup=4, ranges={"regParam": (0.001, 1000.0, "log")})
+    stacked = tuning.score(tuning.stacked(df, "p_partkey", "y", ["p_size"], ["linear", "ridge"], 2), "y", "regression")["r2"]
+    fitted = models.train(df, "y", ["p_size", "noise"], "linear")
+    moved = tuning.permutation_importance(df, fitted, "y", ["p_size", "noise"])
+    halved = tuning.halving(df, "p_partkey", "y", ["p_size"], "ridge", [{"regParam": p} for p in (0.001, 500.0)])
+    row = (
+        grid["options"] == {"regParam": 0.001} and grid["test"]["r2"] > 0.99,
+        parzen["score"] <= min(s for s, _ in parzen["trials"]) and len(parzen["trials"]) == 6,
+        stacked > 0.99,
+        moved["p_size"] > 10 * abs(moved["noise"]),
+        halved["options"] == {"regParam": 0.001},
+    )
+    return spark.createDataFrame([row], "grid boolean, parzen boolean, stacked boolean, moved boolean, halved boolean")
+
+
+@query("SELECT count(*) - 23 AS n, true AS not_negative FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events)")
+def sequence_errors(spark, sf_dir):
+    found = ts.sequence_errors(_hourly(spark, sf_dir), 24, 2)
+    return found.agg(F.count("*").alias("n"), (F.min("error") >= 0).alias("not_negative"))
+
+
+@query("SELECT * FROM (VALUES ('x', 3.0::DOUBLE), ('z', 0.0::DOUBLE)) t(feature, importance)")
+def lime_holds(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.col("p_partkey") % 11).cast("double").alias("z"))
+    spread = df.agg(F.stddev_samp("x")).first()[0]
+    df = df.withColumn("y", F.col("x") * (3.0 / spread))
+    fitted = models.train(df, "y", ["x", "z"], "linear")
+    return rounded(explain.lime_importance(explain.lime(df, fitted, "p_partkey", ["x", "z"], draws=50)), 2)
+
+
 # What must hold of models that SQL cannot fit.
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import yaml
@@ -72,6 +76,33 @@ def save(df: DataFrame, path: str, fmt: str = "auto", single_file: bool = False)
     writer.csv(path, header=True) if fmt == "csv" else getattr(writer, fmt)(path)
 
 
+def lines_of(df: DataFrame, fmt: str = "json") -> Iterator[str]:
+    """All rows as lines: JSON, CSV with a header, or a table of padded columns.
+
+    Rows come partition by partition; a padded table needs their widths first, by one aggregation.
+    """
+    if fmt == "json":
+        yield from (json.dumps(r.asDict(recursive=True), default=str) for r in df.toLocalIterator())
+    elif fmt == "csv":
+        text = lambda values: csv_line(["" if v is None else str(v) for v in values])
+        yield text(df.columns)
+        yield from (text(r) for r in df.toLocalIterator())
+    elif fmt == "table":
+        cells = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(df.columns)))
+        widest = cells.agg(*(F.max(F.length(c)) for c in cells.columns)).first()
+        widths = [max(len(c), w or 0) for c, w in zip(df.columns, widest)]
+        yield "  ".join(c.ljust(w) for c, w in zip(df.columns, widths)).rstrip()
+        yield from ("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in cells.toLocalIterator())
+    else:
+        raise DataLoadError(f"unsupported format {fmt!r}")
+
+
+def csv_line(values: list[str]) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(values)
+    return out.getvalue()
+
+
 def preview(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
     """The first rows by a column; Spark tables have no order of their own."""
     require(df, order)

@@ -64,3 +64,11 @@ def test_more_commands(data, tmp_path, capsys):
     assert main(["export", path, "onnx"]) == 1
     assert main(["init", str(tmp_path / "project")]) == 0 and (tmp_path / "project" / "pipeline.yaml").exists()
     assert len(out(capsys, "forecast", data, "x1", "--method", "exp_smoothing")) == 12
+
+
+def test_formats(data, capsys):
+    assert main(["--format", "csv", "describe", data]) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if "," in x]
+    assert len(lines) == 7 and lines[0].startswith("column,")
+    assert main(["--format", "table", "describe", data]) == 0
+    assert any(x.startswith("column ") for x in capsys.readouterr().out.splitlines())

@@ -81,6 +81,9 @@ def test_validation_and_search(table):
     assert b["rmse"]["low"] < b["rmse"]["mean"] < b["rmse"]["high"] and 0.08 < b["rmse"]["mean"] < 0.12
     found = tuning.random_search(table, "k", "y", ["a", "b"], "gbt_regressor", trials=2, space=lambda r: {"maxIter": 3, "maxDepth": r.randint(2, 4)})
     assert len(found["trials"]) == 2 and found["metric"] == "rmse"
+    parzen = tuning.tpe_search(table, "k", "y", ["a", "b"], "ridge", trials=14, startup=6, ranges={"regParam": (1e-4, 100.0, "log")})
+    early, late = ([o["regParam"] for _, o in parzen["trials"]][i] for i in (slice(0, 6), slice(6, 14)))
+    assert len(late) == 8 and sorted(late)[4] < sorted(early)[3] and parzen["score"] == min(s for s, _ in parzen["trials"])
     won = tuning.halving(table, "k", "y", ["a", "b"], "elastic_net", [{"regParam": p} for p in (0.001, 5.0, 50.0)])
     assert won["options"] == {"regParam": 0.001}
     assert tuning.score(tuning.stacked(table, "k", "y", ["a", "b"], ["linear", "ridge"], 2), "y", "regression")["r2"] > 0.98
