@@ -1,10 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.llm import common, minhash
 from gridloom.llm.common import SharedTables
@@ -148,3 +149,27 @@ def test_hot_groups_are_dealt_out_with_the_same_result(spark, monkeypatch):
     near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40)]
     texts = list(enumerate([*near, *[near[3]] * 30, *[None] * 20, *[f"single {i} text of its own kind" for i in range(40)]]))
     assert rows_of(minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)
+
+
+def test_intermediate_tables_need_a_shared_folder_and_go_with_a_failure(spark):
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Elsewhere:
+        class sparkContext:
+            master, getConf = "spark://host:7077", staticmethod(Conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Elsewhere())
+    tables = SharedTables(spark, "test")
+    folder = Path(tables.base.removeprefix("file://"))
+    with pytest.raises(KeyError), tables:
+        tables.save(spark.range(3), "one")
+        assert (folder / "one").exists()
+        tables.keep(spark.range(2))
+        raise KeyError
+    assert not folder.exists() and not tables.kept
+    with SharedTables(spark, "test") as kept:
+        found = kept.save(spark.range(3), "one")
+    assert found.count() == 3
