@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import yaml
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,20 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return df
 
 
+#: Numbers of an array file, which the driver writes.
+MOST_NUMBERS = 25_000_000
+
+
+def save_vectors(df: DataFrame, vector: str, path: str, order: str) -> None:
+    """Vectors as rows of one ``.npy`` file on the driver, in the order of a column; larger tables are refused."""
+    require(df, vector, order)
+    rows = df.where(F.col(vector).isNotNull())
+    size = rows.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
+    if size > MOST_NUMBERS:
+        raise DataLoadError(f"over {MOST_NUMBERS} numbers: save Parquet")
+    np.save(path, np.array([r[0] for r in rows.orderBy(order).select(F.col(vector).cast("array<double>")).collect()]))
+
+
 def as_table(spark: SparkSession, data) -> DataFrame:
     """A Spark table as it is, or one made of a pandas or Arrow table or of what has ``to_arrow`` or ``collect`` (lazy frames)."""
     if isinstance(data, DataFrame):
@@ -67,11 +82,17 @@ def from_records(spark: SparkSession, payload: dict | list, schema: T.StructType
 
 
 def save(df: DataFrame, path: str, fmt: str = "auto", single_file: bool = False) -> None:
-    """Write Parquet, CSV or JSON lines, by ``fmt`` or the path's suffix; an existing one is replaced."""
+    """Write Parquet, CSV or JSON lines, by ``fmt`` or the path's suffix; an existing one is replaced.
+
+    CSV holds arrays and structs as JSON.
+    """
     if fmt == "auto":
         fmt = PurePosixPath(path.rstrip("/")).suffix.lower().lstrip(".") or "parquet"
     if fmt not in ("parquet", "csv", "json"):
         raise DataLoadError(f"unsupported format {fmt!r}")
+    if fmt == "csv":
+        nested = (T.ArrayType, T.StructType, T.MapType)
+        df = df.select(*(F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema))
     writer = (df.coalesce(1) if single_file else df).write.mode("overwrite")
     writer.csv(path, header=True) if fmt == "csv" else getattr(writer, fmt)(path)
 

@@ -263,7 +263,7 @@ def test_null_groups_stay(spark):
     assert clean.split(df, "k", 0.5, by="l").count() == 3
 
 
-def test_hulls_folds_and_walks(spark):
+def test_hulls_folds_and_walks(spark, tmp_path):
     rng = random.Random(12)
     data = [(i, rng.gauss(0, 1), rng.gauss(0, 1), "ab"[i % 2]) for i in range(400)] + [(900, None, 1.0, "a"), (901, 0.0, 0.0, None)]
     df = spark.createDataFrame(data, "k long, x double, y double, g string").repartition(5)
@@ -280,6 +280,10 @@ def test_hulls_folds_and_walks(spark):
     assert len(scores) == 6 and all(r["n"] == 12 and r["mae"] < 3 and r["mape"] < 10 for r in scores)
     stopped = models.train(df.na.drop(), "y", ["x"], "gbt_regressor", maxIter=40, early_stopping=True)
     assert stopped.stages[-1].getNumTrees < 40  # noise gains nothing
+    files.save_vectors(spark.createDataFrame([(2, [3.0, 4.0]), (1, [1.0, 2.0]), (3, None)], "k long, v array<double>"), "v", str(tmp_path / "v.npy"), "k")
+    assert np.load(tmp_path / "v.npy").tolist() == [[1, 2], [3, 4]]
+    files.save(spark.createDataFrame([(1, [1.5])], "k long, v array<double>"), str(tmp_path / "v.csv"))
+    assert spark.read.csv(str(tmp_path / "v.csv"), header=True).first()["v"] == "[1.5]"
     pixels = spark.createDataFrame([(i, [float(i % 2)] * 4) for i in range(20)] + [(20, None)], "k long, p array<double>")
     assert selection.cluster_arrays(pixels, "k", "p", 2).groupBy((F.col("k") % 2).alias("m"), "cluster").count().count() == 2
     assert files.as_table(spark, pd.DataFrame({"a": [1, 2]})).count() == 2 and files.as_table(spark, df) is df
