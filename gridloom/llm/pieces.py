@@ -13,13 +13,14 @@ from gridloom.llm.common import MEMO_ENTRIES, MEMOS, focus
 
 #: Punctuation that both tokenizers split from a letter before it and keep together in one run.
 TAIL = b".,*$#%&!|;:?"
-_LATIN1_LETTERS = frozenset(range(0xA0, 0xC0)) - {0xB7}
+#: Second bytes of the small letters of Latin-1, behind 0xC3.
+LATIN1_LETTERS = frozenset(range(0xA0, 0xC0)) - {0xB7}
 
 
 def letters_end(word: bytes) -> bool:
     """Whether a word ends in a-z, A-Z or a small letter of Latin-1."""
     last = word[-1:]
-    return last.isalpha() or (len(word) > 1 and word[-2] == 0xC3 and word[-1] in _LATIN1_LETTERS)
+    return last.isalpha() or (len(word) > 1 and word[-2] == 0xC3 and word[-1] in LATIN1_LETTERS)
 
 
 def load(path: str):

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import common, decontam, langid, licenses, packing, rules, tokens
@@ -129,9 +130,30 @@ def test_packing_of_random_strings():
     lib, rng = library("word_bpe_49k.json"), random.Random(5)
     parts = [" ", "\n", "a", "Word", "É", "é", "12", ".", ",", "'s", "'", "***", " ", "<|endoftext|>", "İ", "日", "ß", "ñandú"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
-    found = packing.encode_texts([t.encode() for t in texts], tokenizer("word_bpe_49k.json"), 2)
-    for t, raw in zip(texts, found):
-        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids + [2], t
+    for kind in (pa.string(), pa.large_string()):
+        ids, totals = packing.encode_texts(pa.array(["dropped", *texts], kind).slice(1), tokenizer("word_bpe_49k.json"), 2)
+        assert len(totals) == len(texts) and totals.sum() == len(ids)
+        for t, part in zip(texts, np.split(ids, np.cumsum(totals))):
+            assert part.tolist() == lib.encode(t, add_special_tokens=False).ids + [2], t
+
+
+def test_punctuation_stands_apart_from_the_word_that_it_ends():
+    texts = ["a. b,,; c.d e", "é! ñ?? ß. ÷. À.", "", ".a", "x.", "* y* .", "<|x|> z|"]
+    found = packing.apart(pa.array(["zz", *texts]).slice(1)).to_pylist()
+    assert found == ["a . b ,,; c.d e", "é ! ñ ?? ß. ÷. À.", "", ".a", "x .", "* y * .", "<|x|> z |"]
+    assert packing.apart(pa.array([], pa.string())).to_pylist() == []
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 3)), pa.array(["x" * 5, None, "y" * 40])], names=["i", "t"]) for a in (0, 3, 6)]
+    groups = list(packing.by_bytes(iter([batches[0].slice(0, 0), *batches])))
+    assert [x for ids, _ in groups for x in ids.to_pylist()] == list(range(9)) and all(len(a) == len(b) for a, b in groups)
+
+
+def test_pieces_cover_each_text_in_order():
+    totals = np.array([1, 4096, 4097, 10_000, 3])
+    row, start, length = packing.pieces_of(totals, 4096)
+    for i, n in enumerate(totals):
+        parts = list(zip(start[row == i].tolist(), length[row == i].tolist()))
+        assert [m for _, m in parts] == packing.split_lengths(int(n), 4096)
+        assert [a for a, _ in parts] == [sum(m for _, m in parts[:k]) for k in range(len(parts))]
 
 
 def test_split_lengths():
