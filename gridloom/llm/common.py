@@ -73,9 +73,6 @@ class SharedTables:
         self.kept: list[DataFrame] = []
         self.saved: list[str] = []
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        files, path = self._files(self.base)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
 
     def __enter__(self) -> SharedTables:
         return self
@@ -94,7 +91,12 @@ class SharedTables:
         """Write and reread; ``files`` deals small results out to so many files."""
         path = f"{self.base}/{name}"
         self.saved.append(name)
-        (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
+        writer = (df.repartition(files) if files else df).write.mode("overwrite")
+        # a marker of success would be one more file, and on local disks a process, of the driver
+        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        if len(self.saved) == 1:
+            system, folder = self._files(self.base)
+            system.deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
 
     Large star hangs a node's larger neighbours under its least one, small star its smaller ones,
     until every node hangs under the least of its component. Each round is a table in the shared
-    folder; only a count and a checksum reach the driver.
+    folder, which cuts its lineage; only a count, a checksum and the hot centres reach the driver.
     """
 
     def mark(df: DataFrame):
@@ -218,11 +218,12 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
         least = degrees.select("u", F.least("u", "m").alias("m"))
         centres = hot_keys(degrees, "u", "n", 2 * before[0])
         hung = join_split(both, least, "u", "v", centres).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = tables.save(hung, f"{name}-{step}-large", files)
+        hung = tables.keep(hung)
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         small = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tables.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}", files)
-        tables.drop(f"{name}-{step}-large", *([f"{name}-{step - 1}"] if step else []))
+        tables.release(hung)
+        tables.drop(*([f"{name}-{step - 1}"] if step else []))
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -276,24 +277,24 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
         .where("members > 1")
         .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
     )
-    hubs = tables.save(hubs, "hubs", files)
+    hubs = tables.keep(hubs)
     members = hubs.agg(F.sum("members")).first()[0] or 0
     crowded = join_split(spread, hubs.drop("members"), "bucket", "id", hot_keys(hubs, "bucket", "members", members))
     crowded = tables.save(crowded, "crowded", files)
     hot_hubs = hot_keys(hubs.groupBy("hub").agg(F.sum("members").alias("n")), "hub", "n", members)
 
-    def placed(reached: DataFrame | None, name: str) -> DataFrame:
+    def placed(reached: DataFrame | None) -> DataFrame:
         """The crowded buckets' members with their component and that of their hub."""
         if reached is None:
             return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
         found = crowded.join(reached.select("id", F.col("component").alias("c")), "id", "left")
         found = join_split(found, reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "id", hot_hubs, "left")
         found = found.select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
-        return tables.save(found, name, files)
+        return tables.keep(found)
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
         """Components after the links that full sets confirm among candidate pairs."""
-        links = _confirmed(tables.save(pairs, f"{name}-pairs", files), body, p, tables)
+        links = _confirmed(tables.keep(pairs), body, p, tables)
         if reached is not None:
             if not links.limit(1).count():
                 return reached
@@ -315,12 +316,12 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
             .select("a", "b")
         )
 
-    one = spokes(placed(None, "")).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    one = spokes(placed(None)).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     reached = joined(sketched(one.select("a", "b")), None, "one")
-    every = spokes(placed(reached, "placed-every")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    every = spokes(placed(reached)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     reached = joined(sketched(every), reached, "every")
 
-    settled = placed(reached, "placed-across")
+    settled = placed(reached)
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
     banded = nodes.select("id", "bands", *sketch)
