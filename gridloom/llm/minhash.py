@@ -218,12 +218,11 @@ def components(links: DataFrame, tables: SharedTables, name: str) -> DataFrame:
         least = degrees.select("u", F.least("u", "m").alias("m"))
         centres = hot_keys(degrees, "u", "n", 2 * before[0])
         hung = join_split(both, least, "u", "v", centres).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hung = tables.keep(hung)
+        hung = tables.save(hung, f"{name}-{step}-large", files)
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         small = hung.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tables.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}", files)
-        tables.release(hung)
-        tables.drop(*([f"{name}-{step - 1}"] if step else []))
+        tables.drop(f"{name}-{step}-large", *([f"{name}-{step - 1}"] if step else []))
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -261,13 +260,15 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
     total = signed.count()
     files = -(-total // FILE_NODES) or 1
     body = body.where("id is not null")
+    keyed = tables.save(signed.select("id", "n", "key"), "keyed", files)
     # of the copies of a set the least id stands for all, with what the first such row carries
     copies = (
         signed.where("key is not null")
         .groupBy("key")
         .agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", *sketch), "id").alias("s_"), F.count("*").alias("copies"))
     )
-    copies = tables.keep(copies)
+    copies = tables.save(copies, "copies", files)  # a table, so that the plans below it stay short
+    tables.release(signed)
     nodes = copies.where("rep is not null").select(F.col("rep").alias("id"), "s_.*")
 
     spread = nodes.select("id", "n", F.explode("bands").alias("bucket"))
@@ -277,24 +278,24 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
         .where("members > 1")
         .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
     )
-    hubs = tables.keep(hubs)
+    hubs = tables.save(hubs, "hubs", files)
     members = hubs.agg(F.sum("members")).first()[0] or 0
     crowded = join_split(spread, hubs.drop("members"), "bucket", "id", hot_keys(hubs, "bucket", "members", members))
     crowded = tables.save(crowded, "crowded", files)
     hot_hubs = hot_keys(hubs.groupBy("hub").agg(F.sum("members").alias("n")), "hub", "n", members)
 
-    def placed(reached: DataFrame | None) -> DataFrame:
+    def placed(reached: DataFrame | None, name: str = "") -> DataFrame:
         """The crowded buckets' members with their component and that of their hub."""
         if reached is None:
             return crowded.select("bucket", "id", "n", "hub", "hub_n", F.col("id").alias("c"), F.col("hub").alias("hub_c"))
         found = crowded.join(reached.select("id", F.col("component").alias("c")), "id", "left")
         found = join_split(found, reached.select(F.col("id").alias("hub"), F.col("component").alias("hub_c")), "hub", "id", hot_hubs, "left")
         found = found.select("bucket", "id", "n", "hub", "hub_n", F.coalesce("c", "id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
-        return tables.keep(found)
+        return tables.save(found, name, files)
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
         """Components after the links that full sets confirm among candidate pairs."""
-        links = _confirmed(tables.keep(pairs), body, p, tables)
+        links = _confirmed(tables.save(pairs, f"{name}-pairs", files), body, p, tables)
         if reached is not None:
             if not links.limit(1).count():
                 return reached
@@ -318,10 +319,10 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
 
     one = spokes(placed(None)).groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     reached = joined(sketched(one.select("a", "b")), None, "one")
-    every = spokes(placed(reached)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    every = spokes(placed(reached, "placed-every")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     reached = joined(sketched(every), reached, "every")
 
-    settled = placed(reached)
+    settled = placed(reached, "placed-across")
     strays = settled.where("c <> hub_c")
     mixed = settled.where("id <> hub").join(strays.select("bucket").distinct(), "bucket", "left_semi")
     banded = nodes.select("id", "bands", *sketch)
@@ -339,7 +340,7 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
     reached = joined(across.distinct(), reached, "across")
     reps = copies.select("key", "rep", "copies").join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left")
     reps = reps.select("key", F.coalesce("component", "rep").alias("least"), "copies")
-    known = join_split(signed.select("id", "n", "key"), reps.drop("copies"), "key", "id", hot_keys(reps, "key", "copies", total), "left")
+    known = join_split(keyed, reps.drop("copies"), "key", "id", hot_keys(reps, "key", "copies", total), "left")
     found = known.withColumn("component_id", F.coalesce("least", "id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     found = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
