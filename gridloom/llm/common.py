@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; a row is a whole document, so the default of 10 000 is too many.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bytes of an intermediate table's row group, which its writer holds in memory.
+ROW_GROUP_BYTES = 16 << 20
 #: Entries of a worker's memo of words; it is emptied when full.
 MEMO_ENTRIES = 400_000
 
@@ -93,12 +95,17 @@ class SharedTables:
         self.saved.append(name)
         writer = (df.repartition(files) if files else df).write.mode("overwrite")
         # a marker of success would be one more file, and on local disks a process, of the driver
-        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        writer = writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        writer.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
         if len(self.saved) == 1:
             system, folder = self._files(self.base)
             system.deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Have the driver forget plans, broadcasts and shuffles that no frame refers to any more."""
+        self.spark._jvm.System.gc()
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.persist(StorageLevel.DISK_ONLY))
         return self.kept[-1]

@@ -269,6 +269,7 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
     )
     copies = tables.save(copies, "copies", files)  # a table, so that the plans below it stay short
     tables.release(signed)
+    tables.settle()
     nodes = copies.where("rep is not null").select(F.col("rep").alias("id"), "s_.*")
 
     spread = nodes.select("id", "n", F.explode("bands").alias("bucket"))
@@ -295,6 +296,7 @@ def _judged(tables: SharedTables, body: DataFrame, p: Params, id_col: str) -> Da
 
     def joined(pairs: DataFrame, reached: DataFrame | None, name: str) -> DataFrame:
         """Components after the links that full sets confirm among candidate pairs."""
+        tables.settle()
         links = _confirmed(tables.save(pairs, f"{name}-pairs", files), body, p, tables)
         if reached is not None:
             if not links.limit(1).count():
