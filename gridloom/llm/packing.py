@@ -14,9 +14,9 @@ from gridloom.llm.common import column, prepare
 from gridloom.llm.pieces import LATIN1_LETTERS, TAIL, Memo, as_bytes, measure_each, memo_for
 
 #: Words of one generation of a worker's memo.
-ENTRIES = 250_000
+ENTRIES = 200_000
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 5_000_000
+GROUP_BYTES = 4_000_000
 
 
 _SPACE, _TAIL = 1, 2
