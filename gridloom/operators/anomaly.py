@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DataValidationError
-from gridloom.functions.joins import against_all, nearest
+from gridloom.functions.neighbours import nearest_rows
 from gridloom.functions.quantiles import exact_quantiles
 from gridloom.roles import require
 from gridloom.session import keep
@@ -29,35 +29,14 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 20) -> DataFrame:
     """``key, lof``: exact local outlier factors in Euclidean distance.
 
-    Every row is a query against all rows, which come to the tasks in chunks of bounded size; of each
-    chunk a row keeps its k nearest, and of those the k nearest of all. The work is the square of the
-    number of rows, as the factor has no exact form that avoids all distances; the isolation forest
-    has no such cost. Ties of distance are broken by key; keys are unique, rows with a null left out.
+    Neighbours come from ``nearest_rows``, which looks only at boxes of points near a row. Ties of
+    distance are broken by key; keys are unique, rows with a null left out.
     """
     require(df, key, *columns)
     points = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).na.drop()
-    n = points.count()
-    if n <= k:
+    if points.limit(k + 1).count() <= k:
         raise DataValidationError(f"local outlier factors need more than {k} rows")
-
-    def neighbours(batches, chunk: pa.Table):
-        chunk = chunk.sort_by("id")
-        ids = chunk.column("id").to_numpy()
-        x = np.column_stack([chunk.column(i).to_numpy() for i in range(1, chunk.num_columns)])
-        step = max(1, 4_000_000 // max(len(ids), 1))
-        for batch in batches:
-            mine = batch.column(0).to_numpy(zero_copy_only=False)
-            y = np.column_stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
-            for lo in range(0, len(mine), step):
-                at = mine[lo : lo + step]
-                q, other, d = nearest(y[lo : lo + step], x, k, at[:, None] == ids)
-                yield pa.RecordBatch.from_pydict({"id": at[q], "other": ids[other], "d": np.sqrt(d)})
-
-    kind = points.schema["id"].dataType.simpleString()
-    near, chunks = against_all(points, "id", neighbours, f"id {kind}, other {kind}, d double", 8 * (len(columns) + 1))
-    if chunks > 1:
-        place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-        near = near.withColumn("place_", place).where(F.col("place_") <= k).drop("place_")
+    near = nearest_rows(points, points, k, same=True, root=True).select(F.col("id_").alias("id"), F.col("id").alias("other"), "d")
     near = keep(near)
     reach = near.groupBy("id").agg(F.max("d").alias("k_distance"))
     density = (
