@@ -89,7 +89,8 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
     """``key, score``: 2 ** (-mean path / expected path), near 1 for outliers.
 
     Each tree grows on ``rows`` points of a pool, the ``trees * rows`` rows of least seeded hash of
-    the key, so the driver sees no more; scoring is one map over all rows, tree by tree in numpy.
+    the key, so the driver sees no more; scoring is one map over all rows, tree by tree in numpy, dealt
+    to all cores whatever the number of files.
     Rows with a null are left out.
     """
     require(df, key, *columns)
@@ -120,7 +121,8 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
             total += length[at]
         return pa.array(np.exp2(-total / trees / expected))
 
-    return base.select(key, score(*x).alias("score"))
+    dealt = base.select(key, *(v.alias(f"x{i}_") for i, v in enumerate(x))).repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return dealt.select(key, score(*(f"x{i}_" for i in range(len(x)))).alias("score"))
 
 
 def flag_top(df: DataFrame, score: str, contamination: float) -> DataFrame:

@@ -75,7 +75,7 @@ def detect_anomalies(spark: SparkSession, c: config.AnomalyConfig) -> DataFrame:
             scored = anomaly.local_outlier_factor(z, "row_key_", names).withColumnRenamed("lof", "s_")
         else:
             raise NotSupported(f"unknown method {method!r}; known: iforest, lof")
-        flags.append(anomaly.flag_top(scored, "s_", c.contamination).select("row_key_", F.col("is_anomaly").alias(method)))
+        flags.append(anomaly.flag_top(keep(scored), "s_", c.contamination).select("row_key_", F.col("is_anomaly").alias(method)))
     wide = reduce(lambda a, b: a.join(b, "row_key_", "left"), flags, df).fillna(False, list(c.methods))
     return anomaly.consensus(wide, list(c.methods), min(c.consensus, len(c.methods))).drop("row_key_")
 

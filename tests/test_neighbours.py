@@ -64,6 +64,11 @@ def test_infinite_rows_are_no_neighbours(spark):
     assert neighbours.nearest_rows(df.where("id = 2"), df, 1).count() == 0
 
 
+def test_a_forest_scores_on_all_cores(spark):
+    df = spark.range(100).select("id", F.sqrt("id").alias("x")).coalesce(1)
+    assert anomaly.isolation_forest(df, "id", ["x"], trees=2).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_distances_that_round_to_one_are_in_order_of_key(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.5e-8), (2, 0.0, 1.0), (3, 0.0, 1.1)], "id long, x double, y double")
     found = {r["id"]: r["lof"] for r in anomaly.local_outlier_factor(df, "id", ["x", "y"], 1).collect()}
