@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,38 +26,16 @@ def join_groups(df: DataFrame, stats: DataFrame, *keys: str, how: str = "left")
 
 
 def against_all(
-    df: DataFrame, key: str, look: Callable[[Iterator[pa.RecordBatch], pa.Table], Iterator[pa.RecordBatch]], schema: str, row_bytes: int,
-    others: DataFrame | None = None,
-) -> tuple[DataFrame, int]:
+    df: DataFrame, key: str, look: Callable[[Iterator[pa.RecordBatch], pa.Table], Iterator[pa.RecordBatch]], schema: str, row_bytes: int
+) -> tuple[DataFrame, int]:
     """What ``look`` makes of batches of rows and a chunk of all rows, over all chunks; and their number.
 
-    The chunks are of ``others`` where those are given. They are dealt by a hash of the key. Each is at most about ``CHUNK_BYTES`` and goes to every
-    task, so memory is bounded whatever the table's size, while work is the square of it.
+    The chunks are dealt by a hash of the key. Each is at most about ``CHUNK_BYTES`` and goes to every task,
+    so memory is bounded whatever the table's size, while work is the square of it.
     """
-    others = df if others is None else others
-    n = max(1, math.ceil(others.count() * row_bytes / CHUNK_BYTES))
+    n = max(1, math.ceil(df.count() * row_bytes / CHUNK_BYTES))
     sc, parts = df.sparkSession.sparkContext, []
     for i in range(n):
-        sent = sc.broadcast(others.where(F.pmod(F.xxhash64(key), F.lit(n)) == i).toArrow())
+        sent = sc.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i).toArrow())
         parts.append(df.mapInArrow(lambda batches, sent=sent: look(batches, sent.value), schema))
     return reduce(DataFrame.union, parts), n
-
-
-def nearest(y: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``y`` its k nearest rows of ``x``: row, place in x and squared distance, nearest first.
-
-    Products of matrices find who is near up to rounding; their distances are then taken from the
-    differences, and equal ones stand in the order of ``x``. ``skip`` marks pairs to leave out.
-    """
-    d = (y * y).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * y @ x.T
-    if skip is not None:
-        d[skip] = np.inf
-    most = min(k, d.shape[1])
-    edge = np.partition(d, most - 1, axis=1)[:, most - 1]
-    slack = 1e-9 * ((y * y).sum(axis=1) + (x * x).sum(axis=1).max(initial=0) + 1e-300)
-    q, at = np.nonzero((d <= (edge + slack)[:, None]) & np.isfinite(d))
-    exact = ((y[q] - x[at]) ** 2).sum(axis=1)
-    order = np.lexsort((at, exact, q))
-    q, at, exact = q[order], at[order], exact[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[place < k], at[place < k], exact[place < k]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import clustering as mk
@@ -15,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import ModelTrainingError, NotSupported
-from gridloom.functions.joins import against_all, join_groups, nearest
+from gridloom.functions.joins import join_groups
+from gridloom.functions.neighbours import nearest_rows
 from gridloom.roles import ColumnRoles, require
 
 
@@ -102,34 +102,15 @@ def sample_weights(df: DataFrame, label: str) -> DataFrame:
 def nearest_neighbours(train: DataFrame, df: DataFrame, key: str, label: str, features: list[str], k: int = 5) -> DataFrame:
     """``key, prediction``: the label that most of a row's k nearest rows of ``train`` have, the least among equals.
 
-    Distances are Euclidean, ties broken by key. ``train`` comes to the tasks in chunks of bounded
-    size; of each chunk a row keeps its k nearest. Rows with a null feature, and unlabelled rows of
-    ``train``, are left out.
+    Distances are Euclidean, ties broken by key; neighbours come from ``nearest_rows``, which looks only
+    at boxes of points near a row. Rows with a null feature, and unlabelled rows of ``train``, are left out.
     """
     require(train, key, label, *features)
     require(df, key, *features)
     x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
     known = train.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), *x).na.drop()
     asked = df.select(F.col(key).alias("id"), *x).na.drop()
-
-    def look(batches, chunk: pa.Table):
-        chunk = chunk.sort_by("id")
-        names = np.array(chunk.column("label").to_pylist(), object)
-        x = np.column_stack([chunk.column(i).to_numpy() for i in range(2, chunk.num_columns)])
-        step = max(1, 4_000_000 // max(len(x), 1))
-        for batch in batches:
-            ids, y = batch.column(0), np.column_stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
-            for lo in range(0, len(y) if len(x) else 0, step):
-                q, other, d = nearest(y[lo : lo + step], x, k)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, step).take(pa.array(q)), chunk.column("id").combine_chunks().take(pa.array(other)), pa.array(names[other], pa.string()), pa.array(d)],
-                    names=["id", "other", "label", "d"],
-                )
-
-    kind = known.schema["id"].dataType.simpleString()
-    near, _ = against_all(asked, "id", look, f"id {asked.schema['id'].dataType.simpleString()}, other {kind}, label string, d double", 8 * (len(features) + 4), known)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-    votes = near.withColumn("at", place).where(F.col("at") <= k).groupBy("id", "label").agg(F.count("*").alias("n"))
+    votes = nearest_rows(asked, known, k).groupBy(F.col("id_").alias("id"), "label").agg(F.count("*").alias("n"))
     winner = F.min_by("label", F.struct((-F.col("n")).alias("n"), "label"))
     return votes.groupBy("id").agg(winner.cast(train.schema[label].dataType).alias("prediction")).withColumnRenamed("id", key)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import joins, neighbours
-from gridloom.operators import anomaly
+from gridloom.operators import anomaly, models
 
 
 def wanted(x, y, k):
@@ -73,3 +73,12 @@ def test_distances_that_round_to_one_are_in_order_of_key(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.5e-8), (2, 0.0, 1.0), (3, 0.0, 1.1)], "id long, x double, y double")
     found = {r["id"]: r["lof"] for r in anomaly.local_outlier_factor(df, "id", ["x", "y"], 1).collect()}
     assert found[0] == pytest.approx(1)  # SQL orders by the root, so row 1 is nearest
+
+
+def test_a_prediction_sends_few_of_equal_points(spark, monkeypatch):
+    sent, plain = [], neighbours.Leaves.__init__
+    monkeypatch.setattr(neighbours.Leaves, "__init__", lambda self, x, k: sent.append(len(x)) or plain(self, x, k))
+    df = spark.range(5000).select("id", (F.col("id") % 5).cast("double").alias("x"), F.when(F.col("id") < 25, F.col("id") % 5).otherwise(9).alias("label"))
+    found = models.nearest_neighbours(df, df, "id", "label", ["x"])
+    assert found.where("prediction = id % 5").count() == 5000  # of equal points those of least key vote
+    assert sent == [5 * 5]
