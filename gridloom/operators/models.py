@@ -202,7 +202,8 @@ FACTORY = {
     "elastic_net": lambda **o: mr.LinearRegression(elasticNetParam=0.5, regParam=o.pop("regParam", 1.0), **o),
     "sgd_regressor": lambda **o: mr.LinearRegression(solver="l-bfgs", **o),
     "tree_regressor": lambda **o: mr.DecisionTreeRegressor(seed=42, **o),
-    "gbt_regressor": lambda **o: mr.GBTRegressor(seed=42, maxIter=o.pop("maxIter", 20), **o),
+    # The library's 32 bins a column are too coarse for columns of many values; it takes no more bins than rows.
+    "gbt_regressor": lambda **o: mr.GBTRegressor(seed=42, maxIter=o.pop("maxIter", 20), maxBins=o.pop("maxBins", 1024), **o),
     "random_forest_regressor": lambda **o: mr.RandomForestRegressor(seed=42, **o),
     "naive_bayes": lambda **o: mc.NaiveBayes(modelType="gaussian", **o),
     "tree_classifier": lambda **o: mc.DecisionTreeClassifier(seed=42, **o),
