@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def trim_native_heap(spark: SparkSession) -> bool:
+    """Return what the driver's JVM has freed of its native memory to the system; False where it cannot.
+
+    Compiling and planning on hundreds of threads leaves freed blocks in as many arenas of the C
+    library, which keeps them. JVMs on glibc have a diagnostic command that gives them back.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # by the interface's method, since the server's own class is not open to reflection
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in kind.getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = command, "systemTrimNativeHeap"
+        invoke.invoke(beans, given)
+    except Py4JError:  # another JVM or C library
+        return False
+    return True
+
+
 class SharedTables:
     """Parquet tables in the shared folder, which outlive lost executors, and kept frames.
 
@@ -100,11 +122,13 @@ class SharedTables:
         if len(self.saved) == 1:
             system, folder = self._files(self.base)
             system.deleteOnExit(folder)
+        trim_native_heap(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
         """Have the driver forget plans, broadcasts and shuffles that no frame refers to any more."""
         self.spark._jvm.System.gc()
+        trim_native_heap(self.spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.persist(StorageLevel.DISK_ONLY))

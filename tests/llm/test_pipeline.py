@@ -1,9 +1,11 @@
 import re
 import struct
+from pathlib import Path
 
 import corpus_pipeline as cp
 import pytest
 
+from gridloom.llm.common import SharedTables
 from tests.llm.test_dedup import brute
 from tests.llm.test_text_operators import brute_hits, library
 
@@ -61,3 +63,33 @@ def test_packing_stage_and_run(spark, tiny, stages):
         assert joined[i] == struct.pack(f"<{len(ids)}I", *ids)
     key = lambda r: (r["doc_id"], r["start"], r["length"], bytes(r["ids"]))
     assert sorted(map(key, cp.run(spark, tiny).collect())) == sorted(map(key, stages[4].collect()))
+
+
+def test_tables_return_freed_native_memory(spark):
+    """What the driver's JVM has freed natively goes back to the system with each intermediate table."""
+    jvm = spark._jvm
+    maps = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps")
+
+    def resident():
+        """MB in the C library's arenas, which are of 64 MB at most and start at a multiple of that."""
+        total = arena = 0
+        for line in maps.read_text().splitlines():
+            if found := re.match(r"([0-9a-f]+)-([0-9a-f]+) ", line):
+                start, end = (int(x, 16) for x in found.groups())
+                arena = start % (64 << 20) == 0 and end - start <= 64 << 20
+            elif arena and line.startswith("Anonymous:"):
+                total += int(line.split()[1]) / 1024
+        return total
+
+    with SharedTables(spark, "native") as tables:
+        for i in range(2):
+            tables.save(spark.range(1), f"before-{i}")
+        blocks = [jvm.java.util.zip.Deflater() for _ in range(1000)]
+        for block in blocks[:-1]:  # the last one stands at the end of its arena
+            block.end()
+        freed = resident()
+        tables.save(spark.range(1), "after")
+        assert resident() < freed - 40
+        blocks[-1].end()
+        assert spark.read.parquet(f"{tables.base}/after").count() == 1
+        tables.drop("before-0", "before-1", "after")
