@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import clustering as mk
 from pyspark.ml import regression as mr
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,8 +226,47 @@ def estimator(name: str, **options):
     return FACTORY[name](**options)
 
 
-def prepare(df: DataFrame, features: list[str], scale: bool = True) -> list:
-    """Stages that make a vector ``features`` of numbers, and of texts one-hot; unseen texts are a kind of their own."""
+#: Rows of one of the ranges whose mean targets boosted regression trees see, and values of the columns that get them.
+LOCAL_ROWS, LOCAL_VALUES = 64, 1024
+
+
+def local_means(df: DataFrame, target: str, columns: list[str], weights: str | None = None) -> tuple[list, list[str]]:
+    """Fitted stages that add ``{c}_local_``, the mean target of a row's range of ``c``, and the names of these.
+
+    Trees split greedily, so of a target that rises and falls many times along a column they find next
+    to nothing, more bins or not. Ranges hold about ``LOCAL_ROWS`` rows each, so their number grows with
+    the rows. A column of over ``LOCAL_VALUES`` values gets them if the mean of the other rows of a
+    row's range says more of its target than the mean of all rows does. The means are coefficients of
+    a linear model of the ranges, so that the stages are Spark's own and can be stored.
+    """
+    stages, names = [], []
+    counts = df.agg(*(F.approx_count_distinct(c) for c in columns)).first() if columns else ()
+    for c, values in zip(columns, counts):
+        if values <= LOCAL_VALUES:
+            continue
+        known = df.select(c, F.col(target).cast("double").alias(target), *([weights] if weights else [])).where(F.col(c).isNotNull() & F.col(target).isNotNull())
+        ranges = max(2, known.count() // LOCAL_ROWS)
+        cut = QuantileDiscretizer(inputCol=c, outputCol=f"{c}_range_", numBuckets=ranges, relativeError=0.25 / ranges, handleInvalid="skip").fit(known)
+        ranged = cut.transform(known).groupBy(f"{c}_range_").agg(F.count("*").alias("n"), F.avg(target).alias("m"), F.var_pop(target).alias("v"))
+        # a row's distance from the mean of its range's others is n / (n - 1) times that from the mean of all of them
+        others = F.when(F.col("n") > 1, F.col("n") * F.col("v") * (F.col("n") / (F.col("n") - 1)) ** 2)
+        whole = known.agg(F.avg(target).alias("whole"))
+        alone = (F.col("m") - F.col("whole")) ** 2
+        left = ranged.join(F.broadcast(whole), F.lit(True)).agg(F.sum(F.coalesce(others, alone)).alias("near"), F.sum(F.col("n") * (F.col("v") + alone)).alias("all")).first()
+        if not left["near"] < left["all"]:
+            continue
+        hot = OneHotEncoder(inputCol=f"{c}_range_", outputCol=f"{c}_ranged_", dropLast=False).fit(cut.transform(known))
+        line = mr.LinearRegression(featuresCol=f"{c}_ranged_", labelCol=target, predictionCol=f"{c}_local_", solver="l-bfgs", **({"weightCol": weights} if weights else {}))
+        stages += [cut, hot, line.fit(hot.transform(cut.transform(known)))]
+        names.append(f"{c}_local_")
+    return stages, names
+
+
+def prepare(df: DataFrame, features: list[str], scale: bool = True, made: list[str] | None = None) -> list:
+    """Stages that make a vector ``features`` of numbers, and of texts one-hot; unseen texts are a kind of their own.
+
+    ``made`` names numbers that earlier stages add.
+    """
     roles = ColumnRoles.of(df)
     numeric = [c for c in features if c in roles.numeric]
     text = [c for c in features if c in roles.text]
@@ -235,7 +274,7 @@ def prepare(df: DataFrame, features: list[str], scale: bool = True) -> list:
     if text:
         stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_at_" for c in text], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"{c}_at_" for c in text], outputCols=[f"{c}_hot_" for c in text], handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *(f"{c}_hot_" for c in text)], outputCol="raw_" if scale else "features", handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=[*numeric, *(made or []), *(f"{c}_hot_" for c in text)], outputCol="raw_" if scale else "features", handleInvalid="skip"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_", outputCol="features", withMean=True))
     return stages
@@ -245,6 +284,7 @@ def train(df: DataFrame, target: str, features: list[str], model: str, task: str
     """The whole pipeline, from raw columns to ``prediction``; text targets are indexed.
 
     ``early_stopping`` ends boosted trees once a fifth of the rows, by their features' hash, gains no more.
+    Boosted regression trees also see the ``local_means`` of numeric columns.
     """
     require(df, target, *features)
     df = df.where(F.col(target).isNotNull())
@@ -253,7 +293,11 @@ def train(df: DataFrame, target: str, features: list[str], model: str, task: str
             raise NotSupported("early stopping is of boosted trees")
         df = df.withColumn("validate_", F.pmod(F.xxhash64(*features), F.lit(5)) == 0)
         options["validationIndicatorCol"] = "validate_"
-    stages = prepare(df, features, scale=not model.startswith(("naive", "tree", "gbt", "random")))
+    local, made = [], []
+    if model == "gbt_regressor":
+        seen = df.where("not validate_") if "validationIndicatorCol" in options else df
+        local, made = local_means(seen, target, [c for c in features if c in ColumnRoles.of(df).numeric], options.get("weightCol"))
+    stages = [*local, *prepare(df, features, not model.startswith(("naive", "tree", "gbt", "random")), made)]
     label = target
     if task == "classification" and target in ColumnRoles.of(df).text:
         label = f"{target}_at_"
