@@ -84,6 +84,17 @@ def trim_native_heap(spark: SparkSession) -> bool:
     return True
 
 
+def collect_on_executors(spark: SparkSession) -> None:
+    """Have each executor's JVM collect its garbage, with a task for each.
+
+    A JVM grows its heap as work comes and seldom gives any back by itself, so what a stage of large
+    joins took would stand beside the memory of the next stage's Python workers. After a full
+    collection it keeps little more than what is in use.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class SharedTables:
     """Parquet tables in the shared folder, which outlive lost executors, and kept frames.
 
@@ -126,9 +137,10 @@ class SharedTables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
-        """Have the driver forget plans, broadcasts and shuffles that no frame refers to any more."""
+        """Have the driver forget plans, broadcasts and shuffles that no frame refers to any more, and all JVMs return freed memory."""
         self.spark._jvm.System.gc()
         trim_native_heap(self.spark)
+        collect_on_executors(self.spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.persist(StorageLevel.DISK_ONLY))

@@ -65,6 +65,17 @@ def test_packing_stage_and_run(spark, tiny, stages):
     assert sorted(map(key, cp.run(spark, tiny).collect())) == sorted(map(key, stages[4].collect()))
 
 
+def test_stages_start_on_collected_heaps(spark, tiny):
+    """Each stage has the executors, here the driver's JVM, collect their garbage before its own work."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(20)
+    for name, stage in cp.STAGES[2:]:
+        before = full()
+        stage(spark, docs, tiny)
+        assert full() > before, name
+
+
 def test_tables_return_freed_native_memory(spark):
     """What the driver's JVM has freed natively goes back to the system with each intermediate table."""
     jvm = spark._jvm
